@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, sharding
+from . import decontaminate, exact_dedup, packing, sharding
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
@@ -16,6 +16,24 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+def byte_bpe_path() -> str:
+    """The vocabulary file of the packing query; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its words inside benchmark windows."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.report(decontaminate.find_contamination(_docs(spark, sf_dir), benchmark))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence."""
+    return packing.pack(_docs(spark, sf_dir), byte_bpe_path())
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the row of its text that stays."""
     return exact_dedup.exact_dedup(_docs(spark, sf_dir))
@@ -26,6 +44,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"), "doc_id", SHARDS)
 
 
+def _op7_sql() -> str:
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+        WITH d AS (SELECT doc_id, {words} AS w FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {words} AS w FROM benchmark),
+        bw AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS win
+               FROM (SELECT item_id, w, least(13, len(w)) AS m, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+        lens AS (SELECT DISTINCT m FROM bw),
+        dw AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS win
+               FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, lens WHERE len(w) >= m)),
+        hit AS (SELECT doc_id, item_id, i, dw.m FROM dw JOIN bw ON dw.win = bw.win AND dw.m = bw.m),
+        words AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS pos FROM hit) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM hit GROUP BY doc_id)
+        SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id"""
+
+
 def _op9_sql() -> str:
     norm = f"translate(coalesce(text, ''), '{exact_dedup.UPPER}', '{exact_dedup.LOWER}')"
     return f"""
@@ -46,9 +82,9 @@ def _op10_sql() -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query of the operators on this list."""
-    return {"op9_exact_dedup": op9_exact_dedup, "op10_sharding": op10_sharding}
+    return {"op7_decontaminate": op7_decontaminate, "op8_packing": op8_packing, "op9_exact_dedup": op9_exact_dedup, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
     """Name -> SQL where SQL can express the query."""
-    return {"op9_exact_dedup": _op9_sql(), "op10_sharding": _op10_sql()}
+    return {"op7_decontaminate": _op7_sql(), "op9_exact_dedup": _op9_sql(), "op10_sharding": _op10_sql()}
