@@ -24,31 +24,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_folder
+from .shared import shared_folder, written
 
 #: Rows of a group that are compared against one copy of its retained text.
 SALT_ROWS = 2_000
 #: Bytes of input files in one micro-batch.
 TRIGGER_BYTES = 256 << 30
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Settings while the stream runs: disk-backed state; no file space is set aside ahead, as a small store would hold megabytes of it.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def normalised(text: Column) -> Column:
-    """A-Z in lower case, everything else as it is; null is empty."""
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    """A-Z in lower case, everything else as it is; null is empty. For ASCII texts that is ``lower``, which is faster."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def _digest(text: Column) -> Column:
     return F.sha2(normalised(text).cast("binary"), 256)
 
 
-def digest_stream(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest) as a stream: identifiers and digests are written to the shared folder, which the stream reads."""
-    path = shared_folder(docs.sparkSession, "dedup-input")
+def digests(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest) of every row, written to the shared folder: as a table and as a stream."""
+    spark, path = docs.sparkSession, shared_folder(docs.sparkSession, "dedup-input")
     docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest(F.col("text")).alias("digest")).write.parquet(path)
-    return docs.sparkSession.readStream.schema("doc_id long, digest string").option("maxBytesPerTrigger", TRIGGER_BYTES).parquet(path)
+    schema = "doc_id long, digest string"
+    return spark.read.schema(schema).parquet(path), spark.readStream.schema(schema).option("maxBytesPerTrigger", TRIGGER_BYTES).parquet(path)
 
 
 def digest_state(stream: DataFrame) -> DataFrame:
@@ -60,17 +66,19 @@ def digest_state(stream: DataFrame) -> DataFrame:
     def store(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         changed = stream.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         query = changed.writeStream.outputMode("update").option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(store).start()
         query.awaitTermination()
     finally:
-        if provider is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     if query.lastProgress is None:  # no file, no batch
         return spark.createDataFrame([], entries)
     written = spark.read.schema(entries).option("recursiveFileLookup", "true").parquet(out)
@@ -80,25 +88,22 @@ def digest_state(stream: DataFrame) -> DataFrame:
 def _by_text(rows: DataFrame) -> DataFrame:
     """The exact answer for rows whose digest stands for several texts: groups by the whole text."""
     keep = rows.groupBy("digest", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return rows.drop("keep_id", "group_size").join(keep, ["digest", "norm"]).select("doc_id", "digest", "keep_id", "group_size")
+    return rows.select("doc_id", "digest", "norm").join(keep, ["digest", "norm"]).select("doc_id", "digest", "keep_id", "group_size")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of ``docs``."""
-    state = digest_state(digest_stream(docs))
-    rows = docs.select("doc_id", normalised(F.col("text")).alias("norm")).withColumn("digest", F.sha2(F.col("norm").cast("binary"), 256))
-    found = rows.join(state, "digest")
-    alone = found.filter("group_size = 1").select("doc_id", "digest", "keep_id", "group_size")
-    hits = found.filter("group_size > 1")
-    # full bytes of every hit against the text at the locator
+    table, stream = digests(docs)
+    found = table.join(digest_state(stream), "digest").select("doc_id", "digest", "keep_id", "group_size")
+    # texts of the hits only; several rows may share an identifier, hence the digest
+    wanted = found.filter("group_size > 1").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    hits = texts.join(wanted.withColumnRenamed("doc_id", "wanted_id"), F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("doc_id", "digest", "keep_id", "group_size", normalised(F.col("text")).alias("norm")).filter(F.sha2(F.col("norm").cast("binary"), 256) == F.col("digest"))
     copies = F.ceil(F.col("group_size") / SALT_ROWS).cast("int")
-    held = hits.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest", "keep_id", "group_size").agg(F.first("norm").alias("held")).select("digest", "held", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"))
-    salted = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id"), copies).cast("int"))
-    compared = salted.join(held, ["digest", "salt"], "left").withColumn("same", F.col("norm").eqNullSafe(F.col("held")))
-    wrong = compared.filter(~F.col("same")).select("digest").distinct()
-    verdict = compared.select("doc_id", "digest", "keep_id", "group_size", "same")
-    if wrong.isEmpty():
-        verified = verdict.drop("same")
-    else:
-        verified = verdict.drop("same").join(wrong, "digest", "left_anti").unionByName(_by_text(hits.join(wrong, "digest", "left_semi")))
-    return alone.unionByName(verified).select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.col("digest").alias("text_sha256"))
+    held = hits.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.first("norm").alias("held"), F.max(copies).alias("copies")).select("digest", "held", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
+    salted = hits.select("digest", "norm", F.pmod(F.xxhash64("doc_id"), copies).cast("int").alias("salt"))
+    compared = salted.join(held, ["digest", "salt"], "left")
+    wrong = written(compared.filter(~F.col("norm").eqNullSafe(F.col("held"))).select("digest").distinct(), "dedup-collisions")
+    if not wrong.isEmpty():
+        found = found.join(wrong, "digest", "left_anti").unionByName(_by_text(hits.join(wrong, "digest", "left_semi")))
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
