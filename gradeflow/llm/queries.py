@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, packing, sharding
+from . import decontaminate, exact_dedup, packing, sharding, toxicity
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
@@ -23,6 +23,16 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its toxicity score."""
+    docs = _docs(spark, sf_dir)
+    return toxicity.score_documents(docs, toxicity.learn(docs, _labels(spark, sf_dir)))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its words inside benchmark windows."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -82,7 +92,7 @@ def _op10_sql() -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query of the operators on this list."""
-    return {"op7_decontaminate": op7_decontaminate, "op8_packing": op8_packing, "op9_exact_dedup": op9_exact_dedup, "op10_sharding": op10_sharding}
+    return {"op2_toxicity": op2_toxicity, "op7_decontaminate": op7_decontaminate, "op8_packing": op8_packing, "op9_exact_dedup": op9_exact_dedup, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
