@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, packing, sharding, toxicity
+from . import decontaminate, exact_dedup, packing, sharding, token_count, toxicity
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
@@ -16,11 +16,16 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
-def byte_bpe_path() -> str:
-    """The vocabulary file of the packing query; operators take any path."""
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file; operators take any path."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its number of unigram pieces."""
+    return token_count.count_tokens(_docs(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +46,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence."""
-    return packing.pack(_docs(spark, sf_dir), byte_bpe_path())
+    return packing.pack(_docs(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +97,7 @@ def _op10_sql() -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query of the operators on this list."""
-    return {"op2_toxicity": op2_toxicity, "op7_decontaminate": op7_decontaminate, "op8_packing": op8_packing, "op9_exact_dedup": op9_exact_dedup, "op10_sharding": op10_sharding}
+    return {"op1_token_counts": op1_token_counts, "op2_toxicity": op2_toxicity, "op7_decontaminate": op7_decontaminate, "op8_packing": op8_packing, "op9_exact_dedup": op9_exact_dedup, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
