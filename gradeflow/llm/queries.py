@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, lm_score, packing, sharding, token_count, toxicity
+from . import decontaminate, exact_dedup, lm_score, packing, quality, sharding, token_count, toxicity
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
@@ -45,6 +45,12 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", lm_score.is_held_out())
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its expected quality grade."""
+    docs = _docs(spark, sf_dir)
+    return quality.grade(docs, quality.learn(docs, _labels(spark, sf_dir))).withColumn("held_out", quality.is_held_out())
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its words inside benchmark windows."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -104,7 +110,7 @@ def _op10_sql() -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query of the operators on this list."""
-    return {"op1_token_counts": op1_token_counts, "op2_toxicity": op2_toxicity, "op4_lm_score": op4_lm_score, "op7_decontaminate": op7_decontaminate, "op8_packing": op8_packing, "op9_exact_dedup": op9_exact_dedup, "op10_sharding": op10_sharding}
+    return {"op1_token_counts": op1_token_counts, "op2_toxicity": op2_toxicity, "op4_lm_score": op4_lm_score, "op5_quality": op5_quality, "op7_decontaminate": op7_decontaminate, "op8_packing": op8_packing, "op9_exact_dedup": op9_exact_dedup, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
