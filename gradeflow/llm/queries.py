@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, lm_score, packing, quality, sharding, token_count, toxicity
+from . import decontaminate, exact_dedup, lm_score, packing, quality, sharding, substring_dedup, token_count, toxicity
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
@@ -38,6 +38,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.learn(docs, _labels(spark, sf_dir)))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its words outside repeated passages."""
+    return substring_dedup.remove_repeats(_docs(spark, sf_dir))
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its base score and its score under the bigram filter."""
     docs = _docs(spark, sf_dir)
@@ -110,7 +115,7 @@ def _op10_sql() -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query of the operators on this list."""
-    return {"op1_token_counts": op1_token_counts, "op2_toxicity": op2_toxicity, "op4_lm_score": op4_lm_score, "op5_quality": op5_quality, "op7_decontaminate": op7_decontaminate, "op8_packing": op8_packing, "op9_exact_dedup": op9_exact_dedup, "op10_sharding": op10_sharding}
+    return {"op1_token_counts": op1_token_counts, "op2_toxicity": op2_toxicity, "op3_substring_dedup": op3_substring_dedup, "op4_lm_score": op4_lm_score, "op5_quality": op5_quality, "op7_decontaminate": op7_decontaminate, "op8_packing": op8_packing, "op9_exact_dedup": op9_exact_dedup, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
