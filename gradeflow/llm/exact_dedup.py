@@ -107,3 +107,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     if not wrong.isEmpty():
         found = found.join(wrong, "digest", "left_anti").unionByName(_by_text(hits.join(wrong, "digest", "left_semi")))
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with the row of the largest doc_id of each text (rows that repeat it as a whole stay together)."""
+    dropped = exact_dedup(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped_id"), "text_sha256").distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("dropped_id")) & (_digest(F.col("text")) == F.col("text_sha256"))
+    return docs.join(dropped, same, "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, lm_score, packing, quality, sharding, substring_dedup, token_count, toxicity
+from . import decontaminate, exact_dedup, lm_score, near_dedup, packing, quality, sharding, substring_dedup, token_count, toxicity
 
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
@@ -56,6 +56,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(docs, quality.learn(docs, _labels(spark, sf_dir))).withColumn("held_out", quality.is_held_out())
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near duplicates."""
+    return near_dedup.near_duplicates(_docs(spark, sf_dir))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its words inside benchmark windows."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -115,7 +120,7 @@ def _op10_sql() -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query of the operators on this list."""
-    return {"op1_token_counts": op1_token_counts, "op2_toxicity": op2_toxicity, "op3_substring_dedup": op3_substring_dedup, "op4_lm_score": op4_lm_score, "op5_quality": op5_quality, "op7_decontaminate": op7_decontaminate, "op8_packing": op8_packing, "op9_exact_dedup": op9_exact_dedup, "op10_sharding": op10_sharding}
+    return {"op1_token_counts": op1_token_counts, "op2_toxicity": op2_toxicity, "op3_substring_dedup": op3_substring_dedup, "op4_lm_score": op4_lm_score, "op5_quality": op5_quality, "op6_near_dedup": op6_near_dedup, "op7_decontaminate": op7_decontaminate, "op8_packing": op8_packing, "op9_exact_dedup": op9_exact_dedup, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
