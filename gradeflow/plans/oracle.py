@@ -1,0 +1 @@
+def oracle_sql(): return {}
