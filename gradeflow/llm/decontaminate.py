@@ -11,7 +11,7 @@ words and each block is one more ``mapInArrow`` over the same rows, whose hits a
 Nothing is shuffled, so groups of copies and hot sources cost what other rows cost.
 
 Edge cases: null texts and items have no words; an item without words gives no pattern; windows
-that several items share count for each; an empty benchmark hits nothing; an empty table gives no rows; rows
+that several items share count for each; a null item_id is named null; an empty benchmark hits nothing; an empty table gives no rows; rows
 that repeat are each returned; other columns of ``docs`` are kept out of the result but may have any name.
 """
 
@@ -131,7 +131,7 @@ def searchers(texts: list[str | None], window: int = WINDOW) -> list[Searcher]:
 def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[list[str], list[str | None]]]:
     """(item_ids, texts) of bounded size; the driver holds one block at a time."""
     ids, texts, size = [], [], 0
-    for r in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
+    for r in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), "text").toLocalIterator():
         n = 1 + len(r[1] or "") // 4
         if ids and size + n > block_words:
             yield ids, texts

@@ -45,8 +45,12 @@ def normalised(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def _hash(norm: Column) -> Column:
+    return F.sha2(norm.cast("binary"), 256)
+
+
 def _digest(text: Column) -> Column:
-    return F.sha2(normalised(text).cast("binary"), 256)
+    return _hash(normalised(text))
 
 
 def digests(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -98,7 +102,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     # texts of the hits only; several rows may share an identifier, hence the digest
     wanted = found.filter("group_size > 1").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hits = texts.join(wanted.withColumnRenamed("doc_id", "wanted_id"), F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("doc_id", "digest", "keep_id", "group_size", normalised(F.col("text")).alias("norm")).filter(F.sha2(F.col("norm").cast("binary"), 256) == F.col("digest"))
+    hits = texts.join(wanted.withColumnRenamed("doc_id", "wanted_id"), F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("doc_id", "digest", "keep_id", "group_size", normalised(F.col("text")).alias("norm")).filter(_hash(F.col("norm")) == F.col("digest"))
     copies = F.ceil(F.col("group_size") / SALT_ROWS).cast("int")
     held = hits.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.first("norm").alias("held"), F.max(copies).alias("copies")).select("digest", "held", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"))
     salted = hits.select("digest", "norm", F.pmod(F.xxhash64("doc_id"), copies).cast("int").alias("salt"))
@@ -112,5 +116,5 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with the row of the largest doc_id of each text (rows that repeat it as a whole stay together)."""
     dropped = exact_dedup(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped_id"), "text_sha256").distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("dropped_id")) & (_digest(F.col("text")) == F.col("text_sha256"))
+    same = docs["doc_id"].cast("long").eqNullSafe(dropped["dropped_id"]) & (_digest(docs["text"]) == dropped["text_sha256"])
     return docs.join(dropped, same, "left_anti")

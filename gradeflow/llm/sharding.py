@@ -11,7 +11,7 @@ that parameter (``MAX_TABLE``); larger tables are refused.
 
 Edge cases: a null key goes to the slot of the empty string's hash under its own tag, so all null keys
 share one shard; an empty table gives no rows; extra columns are kept; a shard list with
-repeated names is refused; columns named like the output are refused rather than overwritten.
+repeated names is refused; columns of the input that are named like the output give way to it.
 """
 
 from __future__ import annotations
@@ -69,13 +69,12 @@ def slot_of(key: Column, table_size: int) -> Column:
 
 def assign_shards(df: DataFrame, key: str, shards: Sequence[str], table_size: int = DEFAULT_TABLE, weights: Sequence[int] | None = None) -> DataFrame:
     """``df`` with ``slot`` and ``shard``. The table travels as a broadcast join of fixed size."""
-    if {"slot", "shard"} & {c.lower() for c in df.columns}:
-        raise ValueError("the input already has a column named slot or shard")
     table = lookup_table(shards, table_size, weights)
     spark = df.sparkSession
     lookup = spark.createDataFrame([([shards[k] for k in table.tolist()],)], "shards array<string>").select(F.posexplode("shards").alias("slot", "shard"))
-    placed = df.withColumn("slot", slot_of(F.col(key), table_size))
-    return placed.join(F.broadcast(lookup), "slot").select(*[df[c] for c in df.columns], "slot", "shard")
+    kept = [c for c in df.columns if c.lower() not in ("slot", "shard")]
+    placed = df.select(*kept, slot_of(F.col(key), table_size).alias("slot"))
+    return placed.join(F.broadcast(lookup), "slot").select(*kept, "slot", "shard")
 
 
 def write_shards(placed: DataFrame, path: str) -> None:

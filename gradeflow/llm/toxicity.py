@@ -151,10 +151,10 @@ def _counted(rows: DataFrame, of) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def _odds(n_toxic: int, n_other: int):
-    """Smoothed log odds of a term, less what chance makes of few documents (1.64 standard errors)."""
+def _odds(n_toxic: int, n_other: int, margin: float = 1.64):
+    """Smoothed log odds of a term, less what chance makes of few documents (in standard errors)."""
     a, b = F.col("toxic") + 0.5, F.col("other") + 0.5
-    return F.log(a / (n_toxic + 1)) - F.log(b / (n_other + 1)) - 1.64 * F.sqrt(1 / a + 1 / b)
+    return F.log(a / (n_toxic + 1)) - F.log(b / (n_other + 1)) - margin * F.sqrt(1 / a + 1 / b)
 
 
 def _pruned(found: list[tuple[str, int, float]]) -> dict[str, float]:
@@ -194,7 +194,7 @@ def fit(rows: DataFrame, exceptions: Sequence[str] = ()) -> Lexicon:
                 out.add(folded[at + 1 : after])
         return out
 
-    benign = _counted(rows, pairs).filter((F.col("other") >= LEAST_DOCS) & (odds < -LEAST_ODDS)).orderBy(F.desc("other"), "term").limit(MOST_ENTRIES)
+    benign = _counted(rows, pairs).filter((F.col("other") >= LEAST_DOCS) & (_odds(n[True], n[False], 0.0) < -1)).orderBy(F.desc("other"), "term").limit(MOST_ENTRIES)
     lexicon = Lexicon(lexicon.entries, tuple(dict.fromkeys([*lexicon.exceptions, *(r[0] for r in benign.select("term").collect())])))
     held_all = spark.sparkContext.broadcast(lexicon)
     points = np.array([(r[0], r[1]) for r in scored(rows.select("text", "label"), held_all, ["label int"]).select("density", "label").collect()], dtype=float)
