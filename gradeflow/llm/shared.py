@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -31,6 +32,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_count_of(df: DataFrame) -> int:
-    """Rows of ``df``; a plain count, named so that call sites say why they run a job."""
-    return df.count()
+def parts_bits(docs: DataFrame, bytes_a_part: int, most: int) -> int:
+    """Bits of a hash space cut into parts of about ``bytes_a_part`` bytes of text: parts grow in number, not in size.
+
+    One scan of the text column sums its bytes up. ``most`` bits bound what a task has to keep apart.
+    """
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(most, max(2, (total // bytes_a_part).bit_length()))

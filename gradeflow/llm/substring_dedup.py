@@ -28,12 +28,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import parts_bits
 from .textkernel import NOT_SPACE, U64, extremes, find_words, hash_spans, ragged, text_bytes, windows
 
 #: Words of a window that is removed; words of the first level's windows.
 WINDOW, START = 50, 25
-#: Parts of the hash space; windows that a task compares before it sends them; bytes of text for that at level one.
-PARTS_BITS, FLUSH_WINDOWS, FLUSH_BYTES = 8, 1_500_000, 24 << 20
+#: Bytes of text whose windows make one part of the hash space; most bits of parts.
+PART_BYTES, MOST_BITS = 4 << 20, 20
+#: Windows that a task compares before it sends them; bytes of text for that at level one.
+FLUSH_WINDOWS, FLUSH_BYTES = 1_500_000, 24 << 20
 NO_ID, MOST = (1 << 63) - 1, U64((1 << 64) - 1)
 
 KEYED = "doc_id long, rid long"
@@ -249,7 +252,7 @@ def _by_row(packets: DataFrame, both: bool) -> DataFrame:
     return found.groupBy("doc_id", "rid").agg(F.collect_list("place").alias("places"))
 
 
-def repeated_windows(zipped: DataFrame, start: int = START, bits: int = PARTS_BITS, flush_bytes: int = FLUSH_BYTES, flush_windows: int = FLUSH_WINDOWS) -> DataFrame:
+def repeated_windows(zipped: DataFrame, start: int = START, bits: int = 8, flush_bytes: int = FLUSH_BYTES, flush_windows: int = FLUSH_WINDOWS) -> DataFrame:
     """(doc_id, rid, places) of windows of ``2 * start`` words that also start under a smaller doc_id."""
     chosen = _by_row(zipped.mapInArrow(lambda it: _first_level(it, bits, start, flush_bytes), PACKET), True)
     candidates = zipped.join(chosen, ["doc_id", "rid"])
@@ -270,7 +273,7 @@ OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row, and with ``keep_text`` kept_text. ``window`` must be even."""
     zipped = _compressed(docs)
-    found = repeated_windows(zipped, window // 2)
+    found = repeated_windows(zipped, window // 2, parts_bits(docs, PART_BYTES, MOST_BITS))
     rows = zipped.join(found, ["doc_id", "rid"], "left")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
