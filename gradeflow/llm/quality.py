@@ -6,7 +6,7 @@ bucket: one bucket for each word in lower case, one for its shape (kinds of its
 bytes, and its length). From the score follow the expected grade and the probability of a grade of at least
 ``tail``, by which documents are selected.
 
-Bounds: the fit looks at ``labelled.MOST_LABELLED`` rows at most; the weights are 2 ** ``FEATURE_BITS`` numbers whatever the data.
+Bounds: the fit looks at ``MOST_FITTED`` rows at most; the weights are 2 ** ``FEATURE_BITS`` numbers whatever the data.
 
 Edge cases: null and empty texts, or texts of white space, have no features and score 0; without labels, or with one
 grade only, the expected grade is that grade (0 without any); labels that are null are ignored; very long texts are read whole; rows that repeat are
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from . import labelled
 from .textkernel import LOWER, NOT_SPACE, U64, find_words, hash_spans, mix, slices, text_bytes
 
+#: Labelled rows that the fit looks at, at most; the driver holds some 2 KB of each.
+MOST_FITTED = 12_000
 #: Buckets of the features; steps, step size and shrinkage of the fit; grade whose tail is reported.
 FEATURE_BITS, STEPS, RATE, SHRINK = 17, 150, 0.5, 2e-6
 #: Kinds of bytes: lower case, upper case, digits, beyond ASCII, and each sign by itself.
@@ -100,7 +102,7 @@ def fit_ordinal(rows: np.ndarray, buckets: np.ndarray, shares: np.ndarray, y: np
     return OrdinalModel(w, t, grades.astype(float))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = labelled.MOST_LABELLED) -> OrdinalModel:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_FITTED) -> OrdinalModel:
     """The model of a bounded sample of the labelled rows of the training fold."""
     rows = labelled.sample(docs, labels, label, ~is_held_out(), most)
 
