@@ -12,11 +12,13 @@ registers of its text. Registers of two texts agree with a probability of exactl
 Candidates: texts with one bag become one node. ``BANDS`` bands of ``BAND_ROWS`` registers put nodes in buckets. A bucket's nodes are
 compared with its smallest node; after components are known, nodes of one bucket that are still apart are compared
 with neighbours in hash order, in rounds of more and more (in the last all pairs of a bucket of up to 16), and so are the components of a
-bucket; nodes that a round has joined need no more comparing. At similarity
+bucket; nodes that a round has joined need no more comparing. What is then still apart in a larger bucket is compared pair by pair, block
+with block, each pair in the first bucket that its nodes share. At similarity
 0.8 two nodes share no bucket with a probability of 3e-6, and fewer than two with 6e-5; pairs whose bands or sizes rule that similarity out
 aren't compared, nor are pairs again. Every candidate pair is verified on its whole bags.
 
-Bounds: rows of a bucket are counted before; a bucket with more than ``SALT_ROWS`` nodes is cut by hash for the neighbours. Nodes,
+Bounds: rows of a bucket are counted before; a bucket with more than ``SALT_ROWS`` nodes is cut by hash for the neighbours, and one
+that is compared whole into blocks of about ``BLOCK_ROWS`` nodes and ``BLOCK_BYTES`` of bags, of which a task holds two. Nodes,
 pairs and labels are tables; bags of nodes in pairs alone are shuffled.
 
 Edge cases: a text without words has no shingles and is a class of its own; null is empty; rows that repeat are in
@@ -48,6 +50,8 @@ LOW_BITS = {4: 0x0F0F0F0F0F0F0F0F, 2: 0x3F3F3F3F3F3F3F3F, 1: 0x7F7F7F7F7F7F7F7F,
 OF_NODE = ("node", "size", "s0", "s1", "s2")
 #: Nodes in a row of a bucket that are compared, by round; nodes of a bucket that are put in order together.
 NEAR, SALT_ROWS = (4, 16), 20_000
+#: Nodes, and bytes of their bags, in a block of a bucket that is compared whole; nodes that are compared with a block at once.
+BLOCK_ROWS, BLOCK_BYTES, STEP_ROWS = 1024, 32 << 20, 128
 
 
 def bags(raw: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,6 +171,16 @@ def _pairs(found: DataFrame, tried: DataFrame | None) -> DataFrame:
     return written(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), "pairs")
 
 
+def _similar(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    """Whether two bags of sorted elements are similar enough."""
+    if min(len(x), len(y)) < threshold * max(len(x), len(y)) - 1e-9:
+        return False
+    z = np.concatenate([x, y])
+    z.sort(kind="stable")
+    both = int((z[1:] == z[:-1]).sum())
+    return both >= threshold * (len(z) - both) - 1e-9
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float, size: int) -> DataFrame:
     """The pairs (a, b) whose bags are similar enough."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -177,15 +191,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float, size: int) -
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("bag_a"), batch.column("bag_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                n = min(len(x), len(y))
-                if n < threshold * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                z = np.concatenate([x, y])
-                z.sort(kind="stable")
-                both = int((z[1:] == z[:-1]).sum())
-                keep.append(both >= threshold * (len(z) - both) - 1e-9)
+                keep.append(_similar(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), threshold))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], names=["a", "b"])
 
@@ -213,6 +219,84 @@ def _neighbours(rows: DataFrame, near: int, threshold: float) -> DataFrame:
     return pairs.filter(_likely("x", "y", threshold)).select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
 
 
+GROUP = ["bucket", "i", "j"]
+
+
+def _open_pairs(table: pa.Table, threshold: float) -> pa.Table:
+    """All pairs of blocks i and j of one bucket that may be similar, are apart and share no earlier bucket."""
+    bucket, i, j = (table.column(c)[0].as_py() for c in GROUP)
+    node, comp, size, own = (table.column(c).to_numpy() for c in ("node", "comp", "size", "own"))
+    bands = np.ascontiguousarray(table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS).T)
+    at = int(np.flatnonzero(bands[:, 0] == bucket)[0])
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    found = []
+    for k in range(0, len(left), STEP_ROWS):
+        x = left[k : k + STEP_ROWS]
+        agree, ok = np.zeros((len(x), len(right)), np.uint8), comp[x][:, None] != comp[right][None]
+        for b in range(BANDS):
+            same = bands[b][x][:, None] == bands[b][right][None]
+            agree += same
+            if b < at:
+                ok &= ~same
+        small, large = np.minimum(size[x][:, None], size[right][None]), np.maximum(size[x][:, None], size[right][None])
+        ok &= (agree >= LEAST_BANDS) & (small >= threshold * large - 1e-9)
+        if i == j:
+            ok &= node[x][:, None] < node[right][None]
+        a, b = np.nonzero(ok)
+        found.append((node[x[a]], node[right[b]]))
+    a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    n = 1 if len(a) else 0
+    keys = [pa.array([x] * n, t) for x, t in ((bucket, pa.int64()), (i, pa.int64()), (j, pa.int64()))]
+    return pa.table([*keys, *(pa.array([x.astype("<i8").tobytes()] * n, pa.binary()) for x in (a, b))], names=[*GROUP, "a", "b"])
+
+
+def _of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, i, j, node) of the nodes of packed pairs."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            node = np.unique(np.frombuffer(r["a"] + r["b"], "<i8"))
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(node), r[c], np.int64)) for c in GROUP), pa.array(node)], names=[*GROUP, "node"])
+
+
+def _links_of(packed: pa.Table, held: pa.Table, threshold: float) -> pa.Table:
+    """Similar pairs of one group of packed pairs; pairs that its links already join are left out."""
+    node = held.column("node").to_numpy()
+    bag = [np.frombuffer(x.as_buffer(), "<u8") for x in held.column("bag")]
+    order = np.argsort(node)
+    up, links = list(range(len(node))), []
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for p, q in zip(packed.column("a"), packed.column("b"), strict=True):
+        a, b = (order[np.searchsorted(node, np.frombuffer(z.as_buffer(), "<i8"), sorter=order)].tolist() for z in (p, q))
+        for x, y in zip(a, b, strict=True):
+            if (r := root(x)) != (s := root(y)) and _similar(bag[x], bag[y], threshold):
+                up[r] = s
+                links.append((node[x], node[y]))
+    return pa.table([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], names=["a", "b"])
+
+
+def _rest(filled: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: float, size: int) -> DataFrame:
+    """Links (a, b) among all pairs of different components in buckets too large for the last round of neighbours."""
+    large = filled.filter(F.col("n") > min(NEAR[-1], SALT_ROWS)).select("bucket", "node", "size")
+    apart = large.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    of_bucket = apart.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("sum"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("sum") * 8 / BLOCK_BYTES))
+    cut = written(apart.join(of_bucket.filter("low != high").select("bucket", blocks.alias("blocks")), "bucket"), "rest")
+    dealt = cut.withColumn("own", F.pmod(F.xxhash64("node", F.lit(11)), "blocks")).join(nodes.select("node", "bands"), "node")
+    sent = dealt.select("bucket", "node", "size", "comp", "bands", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    sent = sent.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "size", "comp", "bands", "own")
+    packed = written(sent.groupBy(*GROUP).applyInArrow(lambda t: _open_pairs(t, threshold), "bucket long, i long, j long, a binary, b binary"), "packed")
+    wanted = written(packed.mapInArrow(_of_pairs, "bucket long, i long, j long, node long"), "wanted")
+    held = written(_elements_of(nodes.join(wanted.select("node").distinct(), "node", "left_semi"), size), "bags")
+    of_group = wanted.join(held, "node")
+    return written(packed.groupBy(*GROUP).cogroup(of_group.groupBy(*GROUP)).applyInArrow(lambda x, y: _links_of(x, y, threshold), "a long, b long"), "links")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
     """(doc_id, class_id: smallest doc_id of the class, class_size, kept) of every row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
@@ -239,6 +323,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)
+    more = _rest(filled, labels, nodes, threshold, size)
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     placed = table.select("uid", "doc_id", "text_key").join(members, "uid", "left").join(labels, "node", "left").select("uid", "doc_id", "text_key", F.coalesce("comp", "node", "uid").alias("comp"))
     named = placed.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("low"))
     out = placed.join(named, "comp")

@@ -100,3 +100,18 @@ def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (10, 11), *((k, k + 1) for k in range(100, 140)), (7, 7)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 10: 10, 11: 10, 7: 7} | {k: 100 for k in range(100, 141)}
+
+
+@pytest.mark.parametrize("block_rows", [1024, 100])
+def test_template_group_in_one_bucket(spark, monkeypatch, block_rows):
+    """Hundreds of texts of one template share buckets and are apart (0.78), but for pairs that have one more word in common (0.81)."""
+    monkeypatch.setattr(X, "BLOCK_ROWS", block_rows)
+    rows = []
+    for k in range(330):
+        w = [f"t{p}" for p in range(300)]
+        for p in range(0, 300, 38):
+            w[p] = f"own{k % 300 if p == 152 else k}x{p}"
+        rows.append((k, " ".join(w)))
+    want = brute(rows)
+    assert len({c for _, c, _ in want}) == 300
+    assert got(X.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == want
