@@ -8,8 +8,9 @@ mass K of its pairs and D, its count plus its kept pairs' number. With these
     p(w | h) = q(hw) / D(h) + (1 - K(h) / D(h)) p(w),    p(w) = (c + 0.1) / (N + 0.1 (V + 1)),
 and p(w) alone where h has no kept pair.
 
-Bounds of what is sent to workers: the filter takes ``BITS`` bits a key and ``MOST_FILTER_MB`` at most; for more keys it takes
-fewer bits each (more false positives, no key is left out). The exact word counts travel in blocks of at most ``BLOCK_WORDS`` words; every
+Bounds of what is sent to workers: the filter takes ``BITS`` bits a key at every size and travels in blocks of at most
+``MOST_FILTER_MB``, cut by part of the hash space. Where there are several, each is one more pass over the rows, which adds the levels
+of its part to a column of three bytes a token (written after each pass, so that a worker holds one block). The exact word counts travel in blocks of at most ``BLOCK_WORDS`` words; every
 block is one more pass over the rows, and the passes' sums add up. Everything else is tables in the shared folder.
 Words and pairs are known by 64 and 48 bits of hash.
 
@@ -32,6 +33,8 @@ from .textkernel import LOWER, NOT_SPACE, U64, find_words, hash_spans, mix, slic
 
 #: Least count of a kept pair; base of the quantised counts; bits and probes of a filter key.
 LEAST_PAIR, BASE, BITS, PROBES = 2, 1.5, 10, 4
+#: No count of 64 bits has a higher level.
+MOST_LEVEL = 120
 #: Limits of what is sent to workers, and tokens that a task sums before it sends them.
 MOST_FILTER_MB, BLOCK_WORDS, FLUSH_TOKENS = 128, 8_000_000, 1_500_000
 #: Bytes of text whose words and pairs make one part of the hash space, which is merged, and is a segment of the filter, by itself; most bits of parts.
@@ -273,7 +276,7 @@ class LogFrequencyFilter:
         start, n_bits = self.start[part], self.n_bits[part].astype(U64)
         out, on, j = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys)), 1
         keys = keys ^ U64(tag)
-        while len(on):
+        while len(on) and j <= MOST_LEVEL:
             high, low = _halves(keys, j)
             for k in range(PROBES):  # those that miss a probe are asked no more
                 bit = start + _place(high, low, k, n_bits)
@@ -284,11 +287,27 @@ class LogFrequencyFilter:
         return out
 
 
+class Filters:
+    """Pairs and contexts whose hashes lie in the parts of one block."""
+
+    def __init__(self, pairs: LogFrequencyFilter, contexts: LogFrequencyFilter) -> None:
+        self.pairs, self.contexts = pairs, contexts
+
+    def levels(self, token: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Levels of each token's pair, and of K and D of its context; 0: not there, or in another block."""
+        q = self.pairs.levels(pair_hash(before, token) >> U64(16))
+        context, back = np.unique(before >> U64(16), return_inverse=True)
+        k = self.contexts.levels(context, K_TAG)
+        d = np.zeros_like(k)
+        d[k > 0] = self.contexts.levels(context[k > 0], D_TAG)
+        return q, k[back], d[back]
+
+
 class Model:
-    """The filters, totals and one block of exact word counts."""
+    """The broadcast blocks of the filters, and totals."""
 
-    def __init__(self, pairs: LogFrequencyFilter, contexts: LogFrequencyFilter, n: int, v: int) -> None:
-        self.pairs, self.contexts, self.n, self.v = pairs, contexts, n, v
+    def __init__(self, filters: list, n: int, v: int) -> None:
+        self.filters, self.n, self.v = filters, n, v
 
 
 class Block:
@@ -314,6 +333,34 @@ class Block:
         return np.where(self.keys[at] == h, self.counts[at], 0).astype(np.int64)
 
 
+def _ranges(keyed: DataFrame, most_filter_mb: float) -> list[tuple[int, int]]:
+    """Ranges of parts whose keys, at ``BITS`` bits each, take at most ``most_filter_mb``; a part is never cut."""
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [float(sum(np.frombuffer(x, "<u8").sum() for x in ((r["counts"], r["more"]) if r["kind"] == "context" else (r["counts"],)))) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("part"), pa.array(n, pa.float64())], names=["part", "n"])
+
+    out, low, held = [], 0, 0.0
+    # a row for each part: 2 ** MOST_BITS at most
+    for r in keyed.select("kind", "part", "more", "counts").mapInArrow(sizes, "part int, n double").groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
+        mb = r.n * BITS / 8e6
+        if held and held + mb > most_filter_mb:
+            out.append((low, r.part))
+            low, held = r.part, 0.0
+        held += mb
+    return [*out, (low, 1 << MOST_BITS)]
+
+
+def _filters(keyed: DataFrame, low: int, high: int, bits: int) -> Filters:
+    """The filters of the parts from ``low`` to below ``high``; the driver holds one block at a time."""
+    found: dict[str, list] = {"pair": [], "context": []}
+    own = keyed.filter((F.col("part") >= low) & (F.col("part") < high))
+    for r in own.mapInArrow(lambda it: _segment(it, BITS), "kind string, part int, n_bits long, data binary").toLocalIterator():
+        found[r.kind].append((r.part, r.n_bits, r.data))
+    return Filters(LogFrequencyFilter(found["pair"], bits), LogFrequencyFilter(found["context"], bits))
+
+
 def train(docs: DataFrame, bits: int | None = None, most_filter_mb: int = MOST_FILTER_MB, block_words: int = BLOCK_WORDS, flush: int = FLUSH_TOKENS) -> tuple[Model, list]:
     """The model of all rows of ``docs`` and the broadcast blocks of word counts."""
     spark = docs.sparkSession
@@ -323,13 +370,7 @@ def train(docs: DataFrame, bits: int | None = None, most_filter_mb: int = MOST_F
     dealt = merged.filter("kind != 'pair'").mapInArrow(lambda it: _dealt(it, bits), PACKET)
     contexts = written(dealt.groupBy("part").applyInArrow(_contexts, PACKET), "lm-contexts")
     keyed = merged.filter("kind = 'pair'").unionByName(contexts)
-    size = lambda it: (pa.RecordBatch.from_arrays([pa.array([float(sum(np.frombuffer(r["counts"], "<u8").sum() + (np.frombuffer(r["more"], "<u8").sum() if r["kind"] == "context" else 0) for r in b.to_pylist()))])], names=["n"]) for b in it)
-    n_keys = keyed.mapInArrow(size, "n double").agg(F.sum("n")).first()[0] or 0.0
-    per_key = min(BITS, most_filter_mb * 8e6 / max(1.0, n_keys))
-    # bounded by most_filter_mb: the filter itself
-    found: dict[str, list] = {"pair": [], "context": []}
-    for r in keyed.mapInArrow(lambda it: _segment(it, per_key), "kind string, part int, n_bits long, data binary").toLocalIterator():
-        found[r.kind].append((r.part, r.n_bits, r.data))
+    filters = [spark.sparkContext.broadcast(_filters(keyed, low, high, bits)) for low, high in _ranges(keyed, most_filter_mb)]
     total = {"n": 0, "v": 0}
     blocks, keys, counts, low = [], [], [], 0
     sc = spark.sparkContext
@@ -355,7 +396,7 @@ def train(docs: DataFrame, bits: int | None = None, most_filter_mb: int = MOST_F
         total["n"] += int(c.sum())
         total["v"] += len(c)
     close(1 << 64)
-    return Model(LogFrequencyFilter(found["pair"], bits), LogFrequencyFilter(found["context"], bits), total["n"], total["v"]), blocks
+    return Model(filters, total["n"], total["v"]), blocks
 
 
 SCORES = "n_tokens long, n_known long, base_score double, score double"
@@ -363,28 +404,47 @@ SCORES = "n_tokens long, n_known long, base_score double, score double"
 SCORE_BYTES = 1 << 20
 
 
-def _score(batches: Iterator[pa.RecordBatch], model, block, keep: list[str]) -> Iterator[pa.RecordBatch]:
-    """Adds one block's tokens to the sums; ``keep``: columns that go along."""
-    model, block = model.value, block.value
-    below = model.n + 0.1 * (model.v + 1)
+def _read_levels(batches: Iterator[pa.RecordBatch], filters) -> Iterator[pa.RecordBatch]:
+    """Adds one filter block's levels to those of the blocks before: three bytes of each token."""
+    filters = filters.value
+    for batch in batches:
+        raw, offs = text_bytes(batch.column("text"))
+        for a, b in slices(raw, offs, SCORE_BYTES):
+            part = batch.slice(a, b - a)
+            token, before, row = tokens(raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+            found = np.stack(filters.levels(token, before), axis=1).astype(np.uint8)
+            if "levels" in batch.schema.names:  # a key is in one block alone
+                found = found + _levels_of(part)
+            edges = 3 * np.searchsorted(row, np.arange(b - a + 1))
+            data = found.tobytes()
+            levels = [data[x:y] for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(levels, pa.binary())], names=["doc_id", "text", "levels"])
+
+
+def _levels_of(part: pa.RecordBatch) -> np.ndarray:
+    """(tokens, 3) of levels of a batch's rows."""
+    return np.frombuffer(b"".join(x.as_py() for x in part.column("levels")), np.uint8).reshape(-1, 3)
+
+
+def _score(batches: Iterator[pa.RecordBatch], total: tuple[int, int], filters, block, keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """Adds one block's tokens to the sums; levels come from the only filter block, or else from their column. ``keep``: columns that go along."""
+    block, filters = block.value, filters.value if filters is not None else None
+    below = total[0] + 0.1 * (total[1] + 1)
     for batch in batches:
         raw, offs = text_bytes(batch.column("text"))
         before_sums = [batch.column(c).to_numpy() for c in ("n_tokens", "n_known", "base_score", "score")] if "score" in batch.schema.names else None
         for a, b in slices(raw, offs, SCORE_BYTES):
             token, before, row = tokens(raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
             n_tokens = np.bincount(row, minlength=b - a)
+            given = None if filters is not None else _levels_of(batch.slice(a, b - a)).astype(np.int64)
             if block.low or block.high < 1 << 64:
                 own = (token >= U64(block.low)) & (token <= U64(block.high - 1))
                 token, before, row = token[own], before[own], row[own]
+                given = given[own] if given is not None else None
             c = block.find(token)
             p = (c + 0.1) / below
             base = np.log10(p)
-            q = model.pairs.levels(pair_hash(before, token) >> U64(16))
-            context, back = np.unique(before >> U64(16), return_inverse=True)
-            k = model.contexts.levels(context, K_TAG)
-            d = np.zeros_like(k)
-            d[k > 0] = model.contexts.levels(context[k > 0], D_TAG)
-            k, d = k[back], d[back]
+            q, k, d = filters.levels(token, before) if given is None else given.T
             seen = (k > 0) & (d > 0)
             low = np.maximum(value(d), value(k) * 1.05)
             p = np.where(seen, np.where(q > 0, np.minimum(value(q), value(k)), 0) / low + (1 - value(k) / low) * p, p)
@@ -398,11 +458,15 @@ def _score(batches: Iterator[pa.RecordBatch], model, block, keep: list[str]) ->
 
 def score(docs: DataFrame, model: Model, blocks: list) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    total, one = (model.n, model.v), model.filters[0] if len(model.filters) == 1 else None
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    more = [] if one else ["levels"]
+    for filters in model.filters if more else []:
+        out = written(out.mapInArrow(lambda it, filters=filters: _read_levels(it, filters), "doc_id long, text string, levels binary"), "lm-levels")
+    types = {"doc_id": "doc_id long", "text": "text string", "levels": "levels binary"}
     for k, block in enumerate(blocks):
-        keep = ["doc_id", "text"] if k + 1 < len(blocks) else ["doc_id"]  # the text goes along while it is needed
-        out = out.mapInArrow(lambda it, block=block, keep=keep: _score(it, held, block, keep), ", ".join([*("doc_id long" if c == "doc_id" else "text string" for c in keep), SCORES]))
+        keep = ["doc_id", "text", *more] if k + 1 < len(blocks) else ["doc_id"]  # the text goes along while it is needed
+        out = out.mapInArrow(lambda it, block=block, keep=keep: _score(it, total, one, block, keep), ", ".join([*(types[c] for c in keep), SCORES]))
     return out.select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -76,3 +76,20 @@ def test_levels():
     c = np.arange(1, 5000)
     assert (np.diff(L.level(c)) >= 0).all() and L.level(np.array([1]))[0] == 1
     assert (np.abs(np.log(L.quantised(c) / c)) <= np.log(L.BASE)).all()
+
+
+def test_filter_blocks_keep_precision(docs):
+    """A filter limit far below the keys gives more blocks, not fewer bits a key: scores don't change."""
+    train = docs.filter(~L.is_held_out())
+    model, words = L.train(train, bits=4, most_filter_mb=0.005, block_words=700, flush=5000)
+    assert len(model.filters) > 2
+    assert all(f.value.pairs.data.nbytes + f.value.contexts.data.nbytes < 20_000 for f in model.filters)
+    a = {r.doc_id: (r.n_known, r.base_score, r.score) for r in L.score(docs, model, words).collect()}
+    b = {r.doc_id: (r.n_known, r.base_score, r.score) for r in run(docs, bits=4).collect()}
+    for k in a:
+        assert a[k] == pytest.approx(b[k], abs=1e-6)
+
+
+def test_full_segments_end():
+    full = L.LogFrequencyFilter([(p, 64, bytes([255] * 8)) for p in range(4)], 2)
+    assert (full.levels(np.arange(5, dtype=np.uint64)) == L.MOST_LEVEL).all()
