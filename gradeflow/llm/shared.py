@@ -4,32 +4,89 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Most buckets of a written table (Spark's own limit is 100,000).
+MOST_BUCKETS = 100_000
+#: Folders and broadcasts of the innermost ``temporary`` block.
+_made: list[list] = []
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder path under ``spark.checkpoint.dir``.
 
-    Where that setting is missing (tests, a laptop) a temporary folder of this machine is
-    made the checkpoint folder of the session; on a cluster the setting must be there.
+    Where that setting is missing in a session on this machine alone (tests, a laptop), a temporary folder is made the
+    session's checkpoint folder; on a cluster executors couldn't share it, so the setting must be there.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        set_already = spark.sparkContext.getCheckpointDir()
-        if set_already is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gradeflow-"))
-            set_already = spark.sparkContext.getCheckpointDir()
-        root = set_already
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gradeflow-"))
+        root = spark.sparkContext.getCheckpointDir()
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def bucketed(df: DataFrame, key: str, keys: int, name: str) -> DataFrame:
+    """As ``written``, but rows are dealt by ``key`` (of about ``keys`` values) into buckets, so that grouping by it shuffles them no more."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
+    n = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), keys // 8))
+    table = f"gradeflow_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.option("path", path).option("compression", "zstd").bucketBy(n, key).saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # noqa: B018  resolved: the catalog's entry is needed no more, the files stay
+    spark.sql(f"DROP TABLE {table}")
+    out._folder = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, in whatever store it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a written table that no frame still to be computed reads."""
+    delete(df.sparkSession, df._folder)
+
+
+def broadcast(spark: SparkSession, value: object):
+    """A broadcast that the ``temporary`` block around it destroys."""
+    out = spark.sparkContext.broadcast(value)
+    if _made:
+        _made[-1].append(out)
+    return out
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes the folders and destroys the broadcasts made inside when it is over; results must be written elsewhere by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for x in _made.pop():
+            if isinstance(x, str):
+                delete(spark, x)
+            else:
+                x.destroy()
 
 
 def parts_bits(docs: DataFrame, bytes_a_part: int, most: int) -> int:
@@ -39,3 +96,19 @@ def parts_bits(docs: DataFrame, bytes_a_part: int, most: int) -> int:
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return min(most, max(2, (total // bytes_a_part).bit_length()))
+
+
+def keep_rows(docs: DataFrame, judged: DataFrame, key: Column) -> DataFrame:
+    """Rows of ``docs`` that stay. judged: (doc_id, a hash of the text, kept) of every row; key: that hash in ``docs``.
+
+    Of rows that repeat both as a whole, where one is kept, one stays.
+    """
+    ident = judged.columns[1]
+    rows = judged.groupBy("doc_id", ident).agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("kept")
+    rows = written(rows.select(F.col("doc_id").alias("_kept_id"), F.col(ident).alias("_kept_key"), "n"), "kept")
+    same = docs["doc_id"].cast("long").eqNullSafe(rows["_kept_id"]) & (key == rows["_kept_key"])
+    many = rows.filter("n > 1")
+    if many.isEmpty():
+        return docs.join(rows, same, "left_semi")
+    repeated = docs.join(many.drop("n"), same).dropDuplicates(["_kept_id", "_kept_key"]).drop("_kept_id", "_kept_key")
+    return docs.join(rows.filter("n = 1"), same, "left_semi").unionByName(repeated)

@@ -1,18 +1,21 @@
 """Removal of repeated passages by level-wise doubling (operator 3).
 
-Level one: windows of ``START`` words. Only those are looked at that are the smallest by hash among all that lie in some
-window of twice the length; equal long windows choose the same one, so none is lost and one in some 13 remains.
-Those that occur under several doc_ids alone are extended: level two holds the windows of ``2 * START`` words whose chosen
-short window is repeated. Windows repeated at a level alone make the next level's candidates (``longer``), until a level has none or the
-wanted length is reached; removal needs the level of ``WINDOW`` words only.
+Sizes of windows double from ``START`` words until the next one would reach the size asked for, which is the last (``levels``). The
+first level's candidates are all windows of its size; those of each other level are the windows whose anchor, the smallest by hash among
+the windows of the size before inside them, is repeated. Windows repeated at one size alone are so extended to the next, until a level
+finds none repeated (then nothing is removed) or the last size is reached, whose repeated windows are removed.
 
-At each level a task first compares its own rows: what it finds repeated is settled there, and of equal windows only
-those of its smallest doc_id are sent on, in sorted packets by part of the hash space. So a passage in a third of all
-rows costs one entry a task, and no group is ever gathered. Texts travel compressed.
+Below the last size only anchors are looked at: windows that are the smallest in some window of the next size. Equal windows have
+equal anchors, so none is lost, and one in some 13 remains.
 
-Windows are known by 64 bits of hash and 32 more bits as a check.
+Texts are written once to the shared folder, bucketed by a key of their row, and are not shuffled again: at each level a task
+compares the windows of its own rows; what it finds repeated is settled there, and of equal windows only those of its smallest doc_id are
+sent on, in sorted packets by part of the hash space. So a passage in a third of all rows costs one entry a key, and no group is ever
+gathered. A part's answers go back as one packet for each key of rows, which meets the key's texts without moving them.
 
-Edge cases: a null text has no words; texts under ``WINDOW`` words lose nothing; equal windows under the same
+Windows are known by 64 bits of hash, and by 32 more bits at the last size.
+
+Edge cases: a null text has no words; texts under ``window`` words lose nothing; equal windows under the same
 doc_id (also in rows that repeat it) don't count as repeated by themselves; a null doc_id counts as larger than all others, and such rows
 as one document; very long texts are slices of their own; an empty table gives no rows; other columns don't matter.
 """
@@ -24,239 +27,260 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import parts_bits
-from .textkernel import NOT_SPACE, U64, extremes, find_words, hash_spans, ragged, text_bytes, windows
+from .shared import bucketed, discard, parts_bits, written
+from .textkernel import NOT_SPACE, U64, extremes, find_words, hash_spans, ragged, slices, text_bytes, windows
 
-#: Words of a window that is removed; words of the first level's windows.
+#: Words of a window that is removed; most words of the first level's windows.
 WINDOW, START = 50, 25
-#: Bytes of text whose windows make one part of the hash space; most bits of parts.
+#: Bytes of text whose windows make one part of the hash space, and whose rows make one key; most bits of either.
 PART_BYTES, MOST_BITS = 4 << 20, 20
-#: Windows that a task compares before it sends them; bytes of text for that at level one.
-FLUSH_WINDOWS, FLUSH_BYTES = 1_500_000, 24 << 20
-NO_ID, MOST = (1 << 63) - 1, U64((1 << 64) - 1)
+#: Bytes of text whose windows the first level compares before it sends them.
+FLUSH_BYTES = 24 << 20
+MOST = U64((1 << 64) - 1)
 
-KEYED = "doc_id long, rid long"
-ZIPPED = f"{KEYED}, zipped binary"
 PACKET = "part int, ids binary, rids binary, keys binary, checks binary, docs binary, places binary"
+FOUND = "key int, ids binary, rids binary, counts binary, places binary"
+
+
+def levels(window: int, start: int = START) -> list[int]:
+    """Sizes of windows, doubling; the last is ``window``."""
+    out = [max(1, min(start, (window + 1) // 2))]
+    while 2 * out[-1] < window:
+        out.append(2 * out[-1])
+    return out if out[-1] == window else [*out, window]
 
 
-def _compressed(docs: DataFrame) -> DataFrame:
-    """(doc_id, rid, zipped) of every row; rid tells rows with one doc_id but different texts apart."""
+def _texts(docs: DataFrame, bits: int) -> DataFrame:
+    """(key, doc_id, id, rid, text) of every row, bucketed by key: the upper bits of rid.
+
+    rid tells rows with one doc_id but different texts apart; its lowest bit is set where doc_id is null (and id is 0).
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("doc_id", "text").alias("rid"), "text")
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                raw, offs = text_bytes(part.column("text"))
-                data = raw.tobytes()
-                zipped = [tool.compress(data[x:y]) for x, y in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("rid"), pa.array(zipped, pa.binary())], names=["doc_id", "rid", "zipped"])
-
-    return rows.mapInArrow(pack, ZIPPED)
-
-
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of compressed texts, in slices."""
-    tool = zstandard.ZstdDecompressor()
-    a, held, size = 0, [], 0
-    column = batch.column("zipped")
-    for k in range(batch.num_rows):
-        held.append(tool.decompress(column[k].as_py()))
-        size += len(held[-1])
-        if size >= 2 << 20 or k == batch.num_rows - 1:
-            raw = np.frombuffer(b"".join(held), np.uint8)
-            yield a, k + 1, raw, np.concatenate([[0], np.cumsum([len(x) for x in held])])
-            a, held, size = k + 1, [], 0
-
-
-def _windows_of(raw: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word; of the window there, the largest value where a row has none; row of each word; rows' first words)."""
+    rid = F.xxhash64("doc_id", "text")
+    rid = F.when(F.col("doc_id").isNull(), rid.bitwiseOR(F.lit(1))).otherwise(rid.bitwiseAND(F.lit(-2)))
+    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("id"), rid.alias("rid"), "text")
+    return bucketed(rows.select(F.shiftrightunsigned("rid", 64 - bits).cast("int").alias("key"), "*"), "key", 1 << bits, "passages")
+
+
+def _words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, its row, rows' first words)."""
     w = find_words(raw, offs, NOT_SPACE)
-    h = hash_spans(raw, w.starts, w.ends)
-    out = np.full(len(h), MOST, dtype=U64)
-    found = windows(h, size)
-    row = w.row_of()
-    whole = np.arange(len(found)) + size <= w.rows[1:][row[: len(found)]] if len(found) else np.zeros(0, bool)
-    out[: len(found)][whole] = np.minimum(found[whole], MOST - U64(1))
-    return h, out, row, w.rows
+    return hash_spans(raw, w.starts, w.ends), w.row_of(), w.rows
 
 
-def _long_fit(row: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+def _whole(row: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     """Whether a window of ``size`` words starts at each word."""
     return np.arange(len(row)) + size <= rows[1:][row] if len(row) else np.zeros(0, bool)
 
 
-def _smallest(short: np.ndarray, fits: np.ndarray, span: int) -> np.ndarray:
-    """For each long window that fits: the smallest of its ``span`` short ones; 0 elsewhere."""
+def _windows_of(h: np.ndarray, whole: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the window at each word; the largest value where a row has none."""
+    out = np.full(len(h), MOST, dtype=U64)
+    found = windows(h, size)
+    at = np.flatnonzero(whole)
+    out[at] = np.minimum(found[at], MOST - U64(1))
+    return out
+
+
+def _smallest(short: np.ndarray, whole: np.ndarray, span: int) -> np.ndarray:
+    """For each long window that is there: the smallest of its ``span`` short ones; 0 elsewhere."""
     out = np.zeros(len(short), dtype=U64)
     if len(short) >= span:
         low = extremes(short, span, np.minimum)
-        out[: len(low)] = np.where(fits[: len(low)], low, 0)
+        out[: len(low)] = np.where(whole[: len(low)], low, 0)
     return out
 
 
-def _chosen(short: np.ndarray, fits: np.ndarray, span: int) -> np.ndarray:
-    """Places of short windows that are the smallest in some long one."""
-    low = _smallest(short, fits, span)
+def _anchors(short: np.ndarray, whole: np.ndarray, span: int) -> np.ndarray:
+    """Whether each short window is the smallest in some long one."""
+    low = _smallest(short, whole, span)
     high = extremes(np.concatenate([np.zeros(span - 1, U64), low]), span, np.maximum)
-    return np.flatnonzero((high == short) & (short != MOST))
+    return (high == short) & (short != MOST)
+
+
+def candidates(raw: np.ndarray, offs: np.ndarray, sizes: list[int], k: int, repeated: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """(hashes, checks, rows, places) of level ``k``'s candidates; ``repeated``: words at which the level before has a repeated window."""
+    h, row, rows = _words(raw, offs)
+    whole = _whole(row, rows, sizes[k])
+    own = _windows_of(h, whole, sizes[k])
+    on = whole.copy()
+    if k:
+        span, short = sizes[k] - sizes[k - 1] + 1, _windows_of(h, _whole(row, rows, sizes[k - 1]), sizes[k - 1])
+        known = np.full(len(short), MOST, dtype=U64)
+        known[repeated] = short[repeated]
+        low = _smallest(short, whole, span)
+        on &= (_smallest(known, whole, span) == low) & (low != MOST)
+    last = k == len(sizes) - 1
+    if not last:
+        on &= _anchors(own, _whole(row, rows, sizes[k + 1]), sizes[k + 1] - sizes[k] + 1)
+    at = np.flatnonzero(on)
+    checks = (windows(h * U64(0xC2B2AE3D27D4EB4F) + U64(1), sizes[k])[at] >> U64(32)).astype(np.uint32) if last and len(at) else np.zeros(len(at), np.uint32)
+    return own[at], checks, row[at], (at - rows[:-1][row[at]]).astype(np.uint32)
+
+
+def _ranks(ids: np.ndarray, rids: np.ndarray) -> np.ndarray:
+    """Numbers of documents in order of doc_id, null last; equal for equal ones."""
+    null = rids & 1
+    order = np.lexsort((ids, null))
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[order][1:] != ids[order][:-1]) | (null[order][1:] != null[order][:-1])
+    out = np.empty(len(ids), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def compare(doc: np.ndarray, keys: np.ndarray, checks: np.ndarray, both: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(entries known to be repeated, entries of the smallest document of each window).
+
+    Repeated are windows with a smaller document; with ``both`` also the smallest's own, if there is another.
+    """
+    order = np.lexsort((doc, checks, keys))
+    k, c, d = keys[order], checks[order], doc[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]) if len(k) else np.zeros(0, bool)
+    group = np.cumsum(new) - 1
+    least = d[new]
+    above = d > least[group]
+    many = np.zeros(len(least), bool)
+    many[group[above]] = True
+    return order[many[group] if both else above], order[~above]
 
 
-class _Flush:
+class _Sender:
     """Windows of several rows: settles what is repeated among them, and packs the rest."""
 
-    def __init__(self, level: str, bits: int) -> None:
-        self.level, self.bits = level, bits
+    def __init__(self, both: bool, bits: int) -> None:
+        self.both, self.bits = both, bits
         self._new()
 
     def _new(self) -> None:
-        self.ids, self.rids, self.keys, self.checks, self.docs, self.places, self.n = [], [], [], [], [], [], 0
+        self.held, self.n_docs, self.n = [], 0, 0
 
     def add(self, ids: np.ndarray, rids: np.ndarray, keys: np.ndarray, checks: np.ndarray, docs: np.ndarray, places: np.ndarray) -> None:
-        self.docs.append(docs + sum(map(len, self.ids)))
-        self.ids.append(ids)
-        self.rids.append(rids)
-        self.keys.append(keys)
-        self.checks.append(checks)
-        self.places.append(places)
+        self.held.append((ids, rids, keys, checks, docs + self.n_docs, places))
+        self.n_docs += len(ids)
         self.n += len(keys)
 
-    def packets(self) -> Iterator[pa.RecordBatch]:
-        if not self.n:
-            self._new()
-            return
-        ids, rids, keys, checks, docs, places = (np.concatenate(x) for x in (self.ids, self.rids, self.keys, self.checks, self.docs, self.places))
+    def packets(self) -> pa.Table:
+        """One row for each part of the hash space; places settled here go along without keys, each document's to one part."""
+        ids, rids, keys, checks, docs, places = (np.concatenate(x) for x in zip(*self.held, strict=True)) if self.n else [np.zeros(0, np.int64)] * 6
         self._new()
-        settled, sent = compare(ids[docs], keys, checks, self.level == "chosen")
-        keys, checks, own, places_sent = keys[sent], checks[sent], docs[sent], places[sent]
-        order = np.argsort(keys, kind="stable")
-        keys, checks, own, places_sent = keys[order], checks[order], own[order], places_sent[order]
-        edges = np.searchsorted(keys, np.arange(1, 1 << self.bits).astype(U64) << U64(64 - self.bits))
-        rows = []
-        for part, (k, c, d, p) in enumerate(zip(*(np.split(x, edges) for x in (keys, checks, own, places_sent)), strict=True)):
-            if len(k):
-                used, d = np.unique(d, return_inverse=True)
-                rows.append((part, ids[used].astype("<i8").tobytes(), rids[used].astype("<i8").tobytes(), k.tobytes(), c.astype("<u4").tobytes(), d.astype("<u4").tobytes(), p.astype("<u4").tobytes()))
-        # settled places go along without keys, each document to one part
-        used, d = np.unique(docs[settled], return_inverse=True)
-        part = (rids[used].astype(U64) >> U64(64 - self.bits)).astype(np.int64)
-        order = np.argsort(part[d], kind="stable")
-        d, p = d[order], places[settled][order]
-        for k in np.unique(part[d]).tolist():
-            a, b = np.searchsorted(part[d], [k, k + 1])
-            mine, e = np.unique(d[a:b], return_inverse=True)
-            rows.append((k, ids[used[mine]].astype("<i8").tobytes(), rids[used[mine]].astype("<i8").tobytes(), b"", b"", e.astype("<u4").tobytes(), p[a:b].astype("<u4").tobytes()))
+        settled, sent = compare(_ranks(ids, rids)[docs], keys, checks, self.both)
+        shift, rows = U64(64 - self.bits), []
+        for at, part, keyed in ((sent, (keys[sent].astype(U64) >> shift).astype(np.int64), True), (settled, (rids[docs[settled]].astype(U64) >> shift).astype(np.int64), False)):
+            order = np.lexsort((docs[at], part))
+            at, part = at[order], part[order]
+            edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                x = at[a:b]
+                used, d = np.unique(docs[x], return_inverse=True)
+                hashes = (keys[x].astype("<u8").tobytes(), checks[x].astype("<u4").tobytes()) if keyed else (b"", b"")
+                rows.append((int(part[a]), ids[used].astype("<i8").tobytes(), rids[used].astype("<i8").tobytes(), *hashes, d.astype("<u4").tobytes(), places[x].astype("<u4").tobytes()))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["part", "ids", "rids", "keys", "checks", "docs", "places"])
+        return pa.table([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["part", "ids", "rids", "keys", "checks", "docs", "places"])
 
 
-def compare(doc: np.ndarray, keys: np.ndarray, checks: np.ndarray, both: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(entries known to be repeated, entries of the smallest doc_id of each window).
-
-    Repeated are windows with a smaller doc_id; with ``both`` also the smallest's own, if there is another.
-    """
-    order = np.lexsort((doc, checks, keys))
-    k, c, d = keys[order], checks[order], doc[order]
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]) if len(k) else np.zeros(0, bool)
-    group = np.cumsum(new) - 1
-    least = d[new]
-    above = d > least[group]
-    many = np.zeros(len(least), bool)
-    many[group[above]] = True
-    repeated = many[group] if both else above
-    return order[repeated], order[~above]
+def _rows_of(part) -> tuple[np.ndarray, np.ndarray]:
+    """(id, rid) of a batch's or table's rows."""
+    return tuple(part.column(c).to_numpy() for c in ("id", "rid"))
 
 
-def _first_level(batches: Iterator[pa.RecordBatch], bits: int, start: int, flush: int) -> Iterator[pa.RecordBatch]:
-    held = _Flush("chosen", bits)
-    size = 0
+def _first(batches: Iterator[pa.RecordBatch], sizes: list[int], bits: int, flush: int) -> Iterator[pa.RecordBatch]:
+    held, size = _Sender(len(sizes) > 1, bits), 0
     for batch in batches:
-        for a, b, raw, offs in _texts(batch):
-            h, short, row, rows = _windows_of(raw, offs, start)
-            at = _chosen(short, _long_fit(row, rows, 2 * start), start + 1)
-            ids, rids = (batch.column(c).slice(a, b - a).to_numpy() for c in ("doc_id", "rid"))
-            held.add(ids, rids, short[at], np.zeros(len(at), np.uint32), row[at], (at - rows[:-1][row[at]]).astype(np.uint32))
-            size += len(raw)
+        raw, offs = text_bytes(batch.column("text"))
+        for a, b in slices(raw, offs):
+            keys, checks, row, places = candidates(raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a], sizes, 0, None)
+            held.add(*_rows_of(batch.slice(a, b - a)), keys, checks, row, places)
+            size += int(offs[b] - offs[a])
             if size >= flush:
-                yield from held.packets()
+                yield from held.packets().to_batches()
                 size = 0
-    yield from held.packets()
-
-
-def _second_level(batches: Iterator[pa.RecordBatch], bits: int, start: int, flush: int) -> Iterator[pa.RecordBatch]:
-    held = _Flush("removed", bits)
-    for batch in batches:
-        for a, b, raw, offs in _texts(batch):
-            h, short, row, rows = _windows_of(raw, offs, start)
-            fits = _long_fit(row, rows, 2 * start)
-            repeated = np.full(len(short), MOST, dtype=U64)
-            for k, places in enumerate(batch.column("places").slice(a, b - a)):
-                for p in places.as_py():
-                    at = np.frombuffer(p, "<u4").astype(np.int64) + rows[k]
-                    repeated[at] = short[at]
-            low = _smallest(short, fits, start + 1)
-            its = _smallest(repeated, fits, start + 1)
-            at = np.flatnonzero(fits & (its == low) & (low != MOST))
-            key, check = windows(h, 2 * start), windows(h * U64(0xC2B2AE3D27D4EB4F) + U64(1), 2 * start)
-            ids, rids = (batch.column(c).slice(a, b - a).to_numpy() for c in ("doc_id", "rid"))
-            held.add(ids, rids, key[at], (check[at] >> U64(32)).astype(np.uint32), row[at], (at - rows[:-1][row[at]]).astype(np.uint32))
-            if held.n >= flush:
-                yield from held.packets()
-    yield from held.packets()
-
-
-def _settle(both: bool):
-    """One part of the hash space: places of repeated windows, by row."""
-
-    def settle(table: pa.Table) -> pa.Table:
-        ids, rids, keys, checks, docs, places, done, done_places, n = [], [], [], [], [], [], [], [], 0
-        for i, r, k, c, d, p in zip(*(table.column(x).to_pylist() for x in ("ids", "rids", "keys", "checks", "docs", "places")), strict=True):
-            ids.append(np.frombuffer(i, "<i8"))
-            rids.append(np.frombuffer(r, "<i8"))
-            own = np.frombuffer(d, "<u4").astype(np.int64) + n
-            n += len(ids[-1])
-            if k:
-                keys.append(np.frombuffer(k, "<u8"))
-                checks.append(np.frombuffer(c, "<u4"))
-                docs.append(own)
-                places.append(np.frombuffer(p, "<u4"))
-            else:
-                done.append(own)
-                done_places.append(np.frombuffer(p, "<u4"))
-        ids, rids = np.concatenate(ids), np.concatenate(rids)
-        if keys:
-            doc, place = np.concatenate(docs), np.concatenate(places)
-            found, _ = compare(ids[doc], np.concatenate(keys), np.concatenate(checks), both)
-            done.append(doc[found])
-            done_places.append(place[found])
-        doc, place = np.concatenate(done), np.concatenate(done_places)
-        order = np.argsort(doc, kind="stable")
-        doc, place = doc[order], place[order]
-        used, first = np.unique(doc, return_index=True)
-        lists = [p.astype("<u4").tobytes() for p in np.split(place, first[1:])] if len(used) else []
-        return pa.table([pa.array(ids[used]), pa.array(rids[used]), pa.array(lists, pa.binary())], names=["doc_id", "rid", "place"])
-
-    return settle
-
-
-def _by_row(packets: DataFrame, both: bool) -> DataFrame:
-    """(doc_id, rid, places): binary lists of the places of a row's repeated windows."""
-    found = packets.groupBy("part").applyInArrow(_settle(both), f"{KEYED}, place binary")
-    return found.groupBy("doc_id", "rid").agg(F.collect_list("place").alias("places"))
-
-
-def repeated_windows(zipped: DataFrame, start: int = START, bits: int = 8, flush_bytes: int = FLUSH_BYTES, flush_windows: int = FLUSH_WINDOWS) -> DataFrame:
-    """(doc_id, rid, places) of windows of ``2 * start`` words that also start under a smaller doc_id."""
-    chosen = _by_row(zipped.mapInArrow(lambda it: _first_level(it, bits, start, flush_bytes), PACKET), True)
-    candidates = zipped.join(chosen, ["doc_id", "rid"])
-    return _by_row(candidates.mapInArrow(lambda it: _second_level(it, bits, start, flush_windows), PACKET), False)
+    yield from held.packets().to_batches()
+
+
+def _places_of(found: pa.Table, ids: np.ndarray, rids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of the found places of rows, in order of rows."""
+    of = lambda c, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in found.column(c)])
+    if not found.num_rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    counts, place = of("counts", "<u4"), of("places", "<u4").astype(np.int64)
+    rid, own = np.repeat(of("rids", "<i8"), counts), np.repeat(of("ids", "<i8"), counts)
+    order = np.argsort(rid, kind="stable")
+    rid, own, place = rid[order], own[order], place[order]
+    low = np.searchsorted(rid, rids)
+    size = np.searchsorted(rid, rids, "right") - low
+    row, at = np.repeat(np.arange(len(rids)), size), ragged(low, size)
+    same = own[at] == ids[row]
+    return row[same], place[at[same]]
+
+
+def _next(texts: pa.Table, found: pa.Table, sizes: list[int], k: int, bits: int) -> pa.Table:
+    """Level ``k``'s packets of one key's rows."""
+    ids, rids = _rows_of(texts)
+    row, place = _places_of(found, ids, rids)
+    held = _Sender(k < len(sizes) - 1, bits)
+    raw, offs = text_bytes(texts.column("text"))
+    for a, b in slices(raw, offs) if len(row) else ():
+        x, y = np.searchsorted(row, [a, b])
+        if x < y:
+            own, edges = raw[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
+            at = place[x:y] + find_words(own, edges, NOT_SPACE).rows[row[x:y] - a]
+            held.add(ids[a:b], rids[a:b], *candidates(own, edges, sizes, k, at))
+    return held.packets()
+
+
+def _settled(packets: DataFrame, both: bool, key_bits: int) -> DataFrame:
+    """Every part's answers, as packets for the keys of rows."""
+    return packets.groupBy("part").applyInArrow(lambda table: _settle(table, both, key_bits), FOUND)
+
+
+def _settle(table: pa.Table, both: bool, key_bits: int) -> pa.Table:
+    """One part of the hash space: places of repeated windows, a packet for each key of rows."""
+    of = lambda c, kind: [np.frombuffer(x.as_buffer(), kind) for x in table.column(c)]
+    ids, rids, keys, checks, docs, places = of("ids", "<i8"), of("rids", "<i8"), of("keys", "<u8"), of("checks", "<u4"), of("docs", "<u4"), of("places", "<u4")
+    first = np.cumsum([0, *map(len, ids)])
+    docs = [d.astype(np.int64) + n for d, n in zip(docs, first, strict=False)]
+    open_ = [k for k in range(len(keys)) if len(keys[k])]
+    done = [k for k in range(len(keys)) if not len(keys[k])]
+    join = lambda xs, which, kind: np.concatenate([np.zeros(0, kind), *(xs[k] for k in which)])
+    ids, rids = np.concatenate(ids), np.concatenate(rids)
+    doc, place = join(docs, open_, np.int64), join(places, open_, np.uint32)
+    found, _ = compare(_ranks(ids, rids)[doc], join(keys, open_, U64), join(checks, open_, np.uint32), both)
+    doc, place = np.concatenate([doc[found], join(docs, done, np.int64)]), np.concatenate([place[found], join(places, done, np.uint32)])
+    key = (rids[doc].astype(U64) >> U64(64 - key_bits)).astype(np.int64)
+    order = np.lexsort((place, rids[doc], key))
+    key, doc, place = key[order], doc[order], place[order]
+    rows, edges = [], np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        at = np.flatnonzero(np.concatenate([[True], doc[a + 1 : b] != doc[a : b - 1]]))
+        who, counts = doc[a:b][at], np.diff(np.append(at, b - a))
+        rows.append((int(key[a]), ids[who].astype("<i8").tobytes(), rids[who].astype("<i8").tobytes(), counts.astype("<u4").tobytes(), place[a:b].astype("<u4").tobytes()))
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    return pa.table([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["key", "ids", "rids", "counts", "places"])
+
+
+def _beside(texts: DataFrame, found: DataFrame, use, schema: str) -> DataFrame:
+    """``use(texts, found)`` of every key that has texts."""
+    return texts.groupBy("key").cogroup(found.groupBy("key")).applyInArrow(lambda x, y: use(x, y), schema)
+
+
+def repeated_windows(texts: DataFrame, sizes: list[int], bits: int, flush: int = FLUSH_BYTES) -> DataFrame | None:
+    """Packets of the places of windows of the last size that also start under a smaller doc_id; None if a level finds none repeated."""
+    found = None
+    for k in range(len(sizes)):
+        if found is None:
+            packets = texts.mapInArrow(lambda it: _first(it, sizes, bits, flush), PACKET)
+        else:
+            packets = _beside(texts, found, lambda x, y, k=k: _next(x, y, sizes, k, bits), PACKET)
+        before, found = found, written(_settled(packets, k < len(sizes) - 1, bits), f"passages-{sizes[k]}")
+        if before is not None:
+            discard(before)
+        if found.isEmpty():
+            return None
+    return found
 
 
 def covered(places: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -268,36 +292,43 @@ def covered(places: np.ndarray, n: int, size: int) -> np.ndarray:
 
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-
-
-def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) of every row, and with ``keep_text`` kept_text. ``window`` must be even."""
-    zipped = _compressed(docs)
-    found = repeated_windows(zipped, window // 2, parts_bits(docs, PART_BYTES, MOST_BITS))
-    rows = zipped.join(found, ["doc_id", "rid"], "left")
-
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, raw, offs in _texts(batch):
-                w = find_words(raw, offs, NOT_SPACE)
-                gone = np.zeros(len(w.starts), dtype=bool)
-                for k, places in enumerate(batch.column("places").slice(a, b - a)):
-                    if places.is_valid:
-                        at = np.concatenate([np.frombuffer(p, "<u4") for p in places.as_py()]).astype(np.int64)
-                        gone[w.rows[k] : w.rows[k + 1]] = covered(at, int(w.counts[k]), window)
-                kept, row = ~gone, w.row_of()
-                text, edges = _joined(w, kept, row, b - a)
-                removed = np.bincount(row[gone], minlength=b - a).astype(np.int64)
-                texts = [text[x:y] for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-                columns = [batch.column("doc_id").slice(a, b - a), pa.array(w.counts.astype(np.int64)), pa.array(removed), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
-                names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-                if keep_text:
-                    columns.append(pa.array([t.decode() for t in texts], pa.string()))
-                    names.append("kept_text")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    out = rows.mapInArrow(remove, OUT + (", kept_text string" if keep_text else ""))
-    return out.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_ID)))
+NAMES = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+
+
+def _removed(texts, row: np.ndarray, place: np.ndarray, window: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
+    """The result's rows for a batch or table of texts; row, place: of windows to remove."""
+    raw_all, offs = text_bytes(texts.column("text"))
+    doc_id = texts.column("doc_id")
+    doc_id = doc_id.combine_chunks() if isinstance(doc_id, pa.ChunkedArray) else doc_id
+    for a, b in slices(raw_all, offs):
+        w = find_words(raw_all[offs[a] : offs[b]], offs[a : b + 1] - offs[a], NOT_SPACE)
+        x, y = np.searchsorted(row, [a, b])
+        # windows never reach beyond their row, so all rows of a slice are covered at once
+        gone = covered(place[x:y] + w.rows[row[x:y] - a], len(w.starts), window)
+        of = w.row_of()
+        text, edges = _joined(w, ~gone, of, b - a)
+        texts_kept = [text[p:q] for p, q in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        columns = [doc_id.slice(a, b - a), pa.array(w.counts.astype(np.int64)), pa.array(np.bincount(of[gone], minlength=b - a).astype(np.int64)), pa.array([hashlib.sha256(t).hexdigest() for t in texts_kept])]
+        if keep_text:
+            columns.append(pa.array([t.decode() for t in texts_kept], pa.string()))
+        yield pa.RecordBatch.from_arrays(columns, names=[*NAMES, *["kept_text"] * keep_text])
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = False, start: int = START) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of every row, and with ``keep_text`` kept_text."""
+    bits = parts_bits(docs, PART_BYTES, MOST_BITS)
+    texts = _texts(docs, bits)
+    found = repeated_windows(texts, levels(window, start), bits)
+    schema = OUT + (", kept_text string" if keep_text else "")
+    if found is None:
+        none = np.zeros(0, np.int64)
+        return texts.mapInArrow(lambda it: (out for batch in it for out in _removed(batch, none, none, window, keep_text)), schema)
+
+    def remove(rows: pa.Table, places: pa.Table) -> pa.Table:
+        out = list(_removed(rows, *_places_of(places, *_rows_of(rows)), window, keep_text))
+        return pa.Table.from_batches(out) if out else pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), *[("kept_text", pa.string())] * keep_text]).empty_table()
+
+    return _beside(texts, found, remove, schema)
 
 
 def _joined(w, kept: np.ndarray, row: np.ndarray, n_rows: int) -> tuple[bytes, np.ndarray]:
