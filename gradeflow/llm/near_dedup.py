@@ -9,17 +9,19 @@ number), so that a point belongs to a text if its place is below the shingle's c
 register at random and a register keeps its earliest point; a process stops when it is later than all
 registers of its text. Registers of two texts agree with a probability of exactly their weighted Jaccard.
 
-Candidates: texts with one bag become one node. ``BANDS`` bands of ``BAND_ROWS`` registers put nodes in buckets. A bucket's nodes are
-compared with its smallest node; after components are known, nodes of one bucket that are still apart are compared
-with neighbours in hash order, in rounds of more and more (in the last all pairs of a bucket of up to 16), and so are the components of a
-bucket; nodes that a round has joined need no more comparing. What is then still apart in a larger bucket is compared pair by pair, block
-with block, each pair in the first bucket that its nodes share. At similarity
-0.8 two nodes share no bucket with a probability of 3e-6, and fewer than two with 6e-5; pairs whose bands or sizes rule that similarity out
-aren't compared, nor are pairs again. Every candidate pair is verified on its whole bags.
-
-Bounds: rows of a bucket are counted before; a bucket with more than ``SALT_ROWS`` nodes is cut by hash for the neighbours, and one
-that is compared whole into blocks of about ``BLOCK_ROWS`` nodes and ``BLOCK_BYTES`` of bags, of which a task holds two. Nodes,
-pairs and labels are tables; bags of nodes in pairs alone are shuffled.
+Candidates: texts with one bag become one node. ``BANDS`` bands of ``BAND_ROWS`` registers put nodes in buckets; at similarity 0.8 two nodes
+share no bucket with a probability of 3e-6. Which pairs of a bucket are compared:
+1. each node with one other: of the smallest nodes of its buckets, the one that it shares most buckets with;
+2. in ``PIVOT_ROUNDS`` rounds, for large buckets that still hold several components: each node outside the bucket's largest component with
+   one pivot, a member of that component drawn anew in each round (of its buckets' pivots, the one it meets most often);
+3. then all pairs of nodes that share a bucket and are still in different components, each in the first bucket that they share: small
+   buckets many at a time, large ones block with block. Nothing is left out but pairs whose sizes rule the similarity out or fewer than
+   ``LEAST_AGREE`` of whose ``REGISTERS`` registers agree (at 0.8: 4e-7 of pairs). ``exact=False`` ends before this.
+Every candidate pair is verified on its whole bags. The first two make at most one pair a node and round.
+
+Bounds: a task of step 3 holds two blocks of about ``BLOCK_ROWS`` nodes and ``BLOCK_BYTES`` of bags; its work, not its rows, grows with the
+square of a group of unlike nodes. Nodes, pairs and labels are tables; bags of nodes in pairs alone are shuffled. Joins that a pivot or a large
+class could make uneven have plain exchanges on both sides, which Spark splits where they are skewed.
 
 Edge cases: a text without words has no shingles and is a class of its own; null is empty; rows that repeat are in
 one class; a null doc_id never names a class unless all of the class are null; very long texts are taken whole; an empty table gives no
@@ -33,25 +35,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import discard, keep_rows, written
 from .textkernel import LOWER, NOT_SPACE, U64, find_words, hash_spans, mix, slices, text_bytes, windows
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 24, 4
 REGISTERS = BANDS * BAND_ROWS
-#: Of the bands of a pair, so many agree at least (0.8: all but 6e-5), or it isn't compared.
-LEAST_BANDS = 2
-#: Masks that keep shifted bits inside their byte; at 0 the lowest bit of each byte (fixed values).
-LOW_BITS = {4: 0x0F0F0F0F0F0F0F0F, 2: 0x3F3F3F3F3F3F3F3F, 1: 0x7F7F7F7F7F7F7F7F, 0: 0x0101010101010101}
-OF_NODE = ("node", "size", "s0", "s1", "s2")
-#: Nodes in a row of a bucket that are compared, by round; nodes of a bucket that are put in order together.
-NEAR, SALT_ROWS = (4, 16), 20_000
+#: Of the registers of a pair, so many agree at least, or step 3 doesn't compare it.
+LEAST_AGREE = 56
+#: Rounds of pivots; nodes of a small bucket, and rows of small buckets that are compared together.
+PIVOT_ROUNDS, SMALL, TOGETHER = 2, 16, 20_000
 #: Nodes, and bytes of their bags, in a block of a bucket that is compared whole; nodes that are compared with a block at once.
-BLOCK_ROWS, BLOCK_BYTES, STEP_ROWS = 1024, 32 << 20, 128
+BLOCK_ROWS, BLOCK_BYTES, STEP_ROWS = 1024, 32 << 20, 64
 
 
 def bags(raw: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,7 +116,7 @@ def _elements(key: np.ndarray, count: np.ndarray) -> np.ndarray:
     return mix(np.repeat(key, count) + nth.astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
-NODES = "doc_id long, text_key long, bag_a long, bag_b long, size long, s0 long, s1 long, s2 long, bands array<long>, zipped binary"
+NODES = "doc_id long, text_key long, bag_a long, bag_b long, size long, sketch binary, bands array<long>, zipped binary"
 
 
 def _nodes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -141,10 +140,10 @@ def _nodes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
                 h = mix(h * U64(0x9E3779B97F4A7C15) + sig[:, k::BAND_ROWS] + np.arange(BANDS, dtype=U64) * U64(1 << 33))
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)), pa.array(h[some].ravel().astype(np.int64)))
             size_of = np.bincount(row, count, m).astype(np.int64)
-            sketch = np.ascontiguousarray(h.astype(np.uint8)).view("<i8")  # a byte of each band
+            sketch = [x.tobytes() for x in sig.astype(np.uint8)]  # a byte of each register
             data = raw.tobytes()
             zipped = [tool.compress(data[x:y]) for x, y in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, m), batch.column("text_key").slice(a, m), *(pa.array(x) for x in sums), pa.array(size_of), *(pa.array(sketch[:, k].copy()) for k in range(3)), bands, pa.array(zipped, pa.binary())], names=["doc_id", "text_key", "bag_a", "bag_b", "size", "s0", "s1", "s2", "bands", "zipped"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, m), batch.column("text_key").slice(a, m), *(pa.array(x) for x in sums), pa.array(size_of), pa.array(sketch, pa.binary()), bands, pa.array(zipped, pa.binary())], names=["doc_id", "text_key", "bag_a", "bag_b", "size", "sketch", "bands", "zipped"])
 
 
 def _elements_of(nodes: DataFrame, size: int) -> DataFrame:
@@ -165,12 +164,6 @@ def _elements_of(nodes: DataFrame, size: int) -> DataFrame:
     return nodes.select("node", "zipped").mapInArrow(expand, "node long, bag binary")
 
 
-def _pairs(found: DataFrame, tried: DataFrame | None) -> DataFrame:
-    """Pairs with a < b that weren't tried before."""
-    found = found.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return written(found if tried is None else found.join(tried, ["a", "b"], "left_anti"), "pairs")
-
-
 def _similar(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
     """Whether two bags of sorted elements are similar enough."""
     if min(len(x), len(y)) < threshold * max(len(x), len(y)) - 1e-9:
@@ -181,42 +174,83 @@ def _similar(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
     return both >= threshold * (len(z) - both) - 1e-9
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, threshold: float, size: int) -> DataFrame:
-    """The pairs (a, b) whose bags are similar enough."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    held = written(_elements_of(nodes.join(wanted, "node", "left_semi"), size), "bags")
+def _bags_of(wanted: DataFrame, table: DataFrame, size: int) -> DataFrame:
+    """(node, bag) of the nodes of ``wanted``."""
+    return written(_elements_of(table.withColumnRenamed("uid", "node").join(wanted.select("node").distinct(), "node", "left_semi"), size), "bags")
+
+
+def _verified(pairs: DataFrame, table: DataFrame, threshold: float, size: int) -> DataFrame:
+    """The pairs (a, b) whose bags are similar enough. pairs: written."""
+    held = _bags_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))), table, size)
     of = lambda c: held.select(F.col("node").alias(c), F.col("bag").alias(f"bag_{c}"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("bag_a"), batch.column("bag_b"), strict=True):
-                keep.append(_similar(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), threshold))
+            keep = [_similar(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), threshold) for x, y in zip(batch.column("bag_a"), batch.column("bag_b"), strict=True)]
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], names=["a", "b"])
 
-    return written(pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "bag_a", "bag_b").mapInArrow(verify, "a long, b long"), "links")
+    out = written(pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "bag_a", "bag_b").mapInArrow(verify, "a long, b long"), "links")
+    discard(held)
+    return out
+
+
+def _may_be(size_a: Column, size_b: Column, threshold: float) -> Column:
+    """Sizes that allow the similarity."""
+    return F.least(size_a, size_b) >= threshold * F.greatest(size_a, size_b) - 1e-9
 
 
-def _likely(x: str, y: str, threshold: float) -> Column:
-    """Sizes that allow the similarity, and ``LEAST_BANDS`` bands that agree. x, y: names of structs with size and sketch."""
-    small, large = F.least(f"{x}.size", f"{y}.size"), F.greatest(f"{x}.size", f"{y}.size")
-    apart = F.lit(0)
-    for c in ("s0", "s1", "s2"):
-        z = F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))
-        for k in (4, 2, 1):  # the lowest bit of each byte tells whether any is set
-            z = z.bitwiseOR(F.shiftrightunsigned(z, k).bitwiseAND(F.lit(LOW_BITS[k])))
-        apart = apart + F.bit_count(z.bitwiseAND(F.lit(LOW_BITS[0])))
-    return (small >= threshold * large - 1e-9) & (apart <= BANDS - LEAST_BANDS)
+def _star(filled: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): each node b with the smallest node a of most of its buckets."""
+    rows = filled.filter((F.col("rep") != F.col("node")) & _may_be(F.col("size"), F.col("rep_size"), threshold))
+    return written(rows.groupBy(F.col("node").alias("b")).agg(F.mode("rep", True).alias("a")).select("a", "b"), "pairs")
 
 
-def _neighbours(rows: DataFrame, near: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) of up to ``near`` rows in a row, in hash order, of each bucket whose components differ."""
-    cut = F.when(F.col("n") > SALT_ROWS, F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col("n") / SALT_ROWS))).otherwise(F.lit(0))
-    w = Window.partitionBy("bucket", "cut").orderBy(F.xxhash64("node"), "node").rowsBetween(-(near - 1), -1)
-    last = rows.select("bucket", cut.alias("cut"), "node", F.struct(*OF_NODE, "comp").alias("y")).withColumn("before", F.collect_list("y").over(w))
-    pairs = last.select("y", F.explode("before").alias("x")).filter(F.col("x.comp") != F.col("y.comp"))
-    return pairs.filter(_likely("x", "y", threshold)).select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
+def _apart(filled: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (bucket, node, size, n, comp) of the buckets that hold several components."""
+    rows = filled.join(labels, "node", "left").select("bucket", "node", "size", "n", F.coalesce("comp", "node").alias("comp"))
+    mixed = rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("bucket")
+    return written(rows.join(mixed, "bucket"), "apart")
+
+
+def _pivots(apart: DataFrame, turn: int, threshold: float) -> DataFrame:
+    """(a, b): each node b outside its buckets' largest components with a pivot a of one of these."""
+    drawn = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "size")).alias("y")
+    comps = apart.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"), drawn)
+    main = comps.groupBy("bucket").agg(F.max(F.struct("m", "comp", "y")).alias("top")).select("bucket", F.col("top.comp").alias("main"), F.col("top.y.node").alias("a"), F.col("top.y.size").alias("pivot_size"))
+    rows = apart.join(main, "bucket").filter((F.col("comp") != F.col("main")) & _may_be(F.col("size"), F.col("pivot_size"), threshold))
+    return written(rows.groupBy(F.col("node").alias("b")).agg(F.mode("a", True).alias("a")).select("a", "b"), "pairs")
+
+
+def _columns(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """(node, comp, size, (rows, REGISTERS) sketches, (BANDS, rows) buckets) of a group's rows."""
+    node, comp, size = (table.column(c).to_numpy() for c in ("node", "comp", "size"))
+    sketch = np.frombuffer(b"".join(x.as_py() for x in table.column("sketch")), np.uint8).reshape(-1, REGISTERS)
+    bands = np.ascontiguousarray(table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS).T)
+    return node, comp, size, sketch, bands
+
+
+def _small_pairs(table: pa.Table, threshold: float) -> pa.Table:
+    """All pairs of many small buckets that may be similar, are apart and share no earlier bucket."""
+    bucket = table.column("bucket").to_numpy()
+    order = np.argsort(bucket, kind="stable")
+    bucket, (node, comp, size, sketch, bands) = bucket[order], _columns(table.take(pa.array(order)))
+    where = (bands == bucket[None]).argmax(axis=0)  # which band the bucket is of
+    found = [(node[:0], node[:0])]
+    x = np.arange(len(bucket))
+    for step in range(1, SMALL):
+        x = x[x + step < len(bucket)]
+        x = x[bucket[x] == bucket[x + step]]
+        y = x + step
+        on = (comp[x] != comp[y]) & (np.minimum(size[x], size[y]) >= threshold * np.maximum(size[x], size[y]) - 1e-9)
+        p, q = x[on], y[on]
+        on = (sketch[p] == sketch[q]).sum(axis=1) >= LEAST_AGREE
+        p, q = p[on], q[on]
+        same = bands[:, p] == bands[:, q]
+        on = same.argmax(axis=0) == where[p]
+        found.append((node[p[on]], node[q[on]]))
+    a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 GROUP = ["bucket", "i", "j"]
@@ -225,21 +259,21 @@ GROUP = ["bucket", "i", "j"]
 def _open_pairs(table: pa.Table, threshold: float) -> pa.Table:
     """All pairs of blocks i and j of one bucket that may be similar, are apart and share no earlier bucket."""
     bucket, i, j = (table.column(c)[0].as_py() for c in GROUP)
-    node, comp, size, own = (table.column(c).to_numpy() for c in ("node", "comp", "size", "own"))
-    bands = np.ascontiguousarray(table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS).T)
+    own = table.column("own").to_numpy()
+    node, comp, size, sketch, bands = _columns(table)
     at = int(np.flatnonzero(bands[:, 0] == bucket)[0])
     left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
     found = []
     for k in range(0, len(left), STEP_ROWS):
         x = left[k : k + STEP_ROWS]
-        agree, ok = np.zeros((len(x), len(right)), np.uint8), comp[x][:, None] != comp[right][None]
-        for b in range(BANDS):
-            same = bands[b][x][:, None] == bands[b][right][None]
-            agree += same
-            if b < at:
-                ok &= ~same
+        agree = np.zeros((len(x), len(right)), np.uint8)
+        for r in range(REGISTERS):
+            agree += sketch[x, r][:, None] == sketch[right, r][None]
+        ok = (agree >= LEAST_AGREE) & (comp[x][:, None] != comp[right][None])
+        for b in range(at):
+            ok &= bands[b][x][:, None] != bands[b][right][None]
         small, large = np.minimum(size[x][:, None], size[right][None]), np.maximum(size[x][:, None], size[right][None])
-        ok &= (agree >= LEAST_BANDS) & (small >= threshold * large - 1e-9)
+        ok &= small >= threshold * large - 1e-9
         if i == j:
             ok &= node[x][:, None] < node[right][None]
         a, b = np.nonzero(ok)
@@ -280,60 +314,60 @@ def _links_of(packed: pa.Table, held: pa.Table, threshold: float) -> pa.Table:
     return pa.table([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], names=["a", "b"])
 
 
-def _rest(filled: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: float, size: int) -> DataFrame:
-    """Links (a, b) among all pairs of different components in buckets too large for the last round of neighbours."""
-    large = filled.filter(F.col("n") > min(NEAR[-1], SALT_ROWS)).select("bucket", "node", "size")
-    apart = large.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    of_bucket = apart.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("sum"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("sum") * 8 / BLOCK_BYTES))
-    cut = written(apart.join(of_bucket.filter("low != high").select("bucket", blocks.alias("blocks")), "bucket"), "rest")
-    dealt = cut.withColumn("own", F.pmod(F.xxhash64("node", F.lit(11)), "blocks")).join(nodes.select("node", "bands"), "node")
-    sent = dealt.select("bucket", "node", "size", "comp", "bands", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    sent = sent.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "size", "comp", "bands", "own")
+def _small_rest(apart: DataFrame, table: DataFrame, threshold: float, size: int) -> DataFrame:
+    """Links (a, b) among all pairs of different components in small buckets."""
+    rows = apart.filter(F.col("n") <= SMALL)
+    parts = max(1, -(-rows.count() // TOGETHER))
+    rows = rows.join(table.select(F.col("uid").alias("node"), "sketch", "bands"), "node").withColumn("part", F.pmod(F.xxhash64("bucket"), F.lit(parts)))
+    pairs = rows.groupBy("part").applyInArrow(lambda t: _small_pairs(t, threshold), "a long, b long")
+    return _verified(written(pairs.distinct(), "pairs"), table, threshold, size)
+
+
+def _large_rest(apart: DataFrame, table: DataFrame, threshold: float, size: int) -> DataFrame:
+    """Links (a, b) among all pairs of different components in large buckets."""
+    large = apart.filter(F.col("n") > SMALL)
+    of_bucket = large.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("sum"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("sum") * 8 / BLOCK_BYTES))
+    cut = large.join(of_bucket.select("bucket", blocks.alias("blocks")), "bucket")
+    dealt = cut.withColumn("own", F.pmod(F.xxhash64("node", F.lit(11)), "blocks")).join(table.select(F.col("uid").alias("node"), "sketch", "bands"), "node")
+    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    sent = sent.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "size", "comp", "sketch", "bands", "own")
     packed = written(sent.groupBy(*GROUP).applyInArrow(lambda t: _open_pairs(t, threshold), "bucket long, i long, j long, a binary, b binary"), "packed")
     wanted = written(packed.mapInArrow(_of_pairs, "bucket long, i long, j long, node long"), "wanted")
-    held = written(_elements_of(nodes.join(wanted.select("node").distinct(), "node", "left_semi"), size), "bags")
-    of_group = wanted.join(held, "node")
+    of_group = wanted.join(_bags_of(wanted, table, size), "node")
     return written(packed.groupBy(*GROUP).cogroup(of_group.groupBy(*GROUP)).applyInArrow(lambda x, y: _links_of(x, y, threshold), "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, class_id: smallest doc_id of the class, class_size, kept) of every row of ``docs``."""
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, exact: bool = True) -> DataFrame:
+    """(doc_id, class_id: smallest doc_id of the class, class_size, kept, text_key) of every row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
     table = written(rows.mapInArrow(lambda it: _nodes(it, size), NODES).withColumn("uid", F.monotonically_increasing_id()), "bag-nodes")
     shingled = table.filter(F.size("bands") > 0)
     first = shingled.groupBy("bag_a", "bag_b").agg(F.min("uid").alias("node"))
     members = written(shingled.select("uid", "bag_a", "bag_b").join(first, ["bag_a", "bag_b"]).select("uid", "node"), "members")
-    nodes = table.join(members.filter("uid = node"), "uid").select(*OF_NODE, "bands", "zipped")
-    entries = nodes.select(*OF_NODE, F.explode("bands").alias("bucket"))
-    buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*OF_NODE)).alias("rep")).filter("n > 1")
-    filled = written(entries.join(buckets, "bucket").select("bucket", *OF_NODE, "rep", "n"), "buckets")
-    stars = filled.select("rep", F.struct(*OF_NODE).alias("y")).filter(_likely("rep", "y", threshold))
-    tried = _pairs(stars.select(F.col("rep.node").alias("a"), F.col("y.node").alias("b")), None)
-    links = _verified(tried, nodes, threshold, size)
+    entries = table.select("uid", "size", "bands").join(members.filter("uid = node"), "uid").select("node", "size", F.explode("bands").alias("bucket"))
+    buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("rep")).filter("n > 1")
+    filled = written(entries.join(buckets, "bucket").select("bucket", "node", "size", "n", F.col("rep.node").alias("rep"), F.col("rep.size").alias("rep_size")), "buckets")
+    links = _verified(_star(filled, threshold), table, threshold, size)
     labels = components(links)
-    for near in NEAR:
-        apart = filled.join(labels, "node", "left").select("bucket", *OF_NODE, "n", F.coalesce("comp", "node").alias("comp"))
-        mixed = apart.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("bucket")
-        apart = written(apart.join(mixed, "bucket"), "apart")
-        by_comp = apart.groupBy("bucket", "comp").agg(F.max(F.struct(*OF_NODE)).alias("y"), F.max("n").alias("n")).select("bucket", "comp", "n", "y.*")
-        pairs = _pairs(_neighbours(apart, near, threshold).unionByName(_neighbours(by_comp, near, threshold)), tried)
-        tried = tried.unionByName(pairs)
-        more = _verified(pairs, nodes, threshold, size)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
-    more = _rest(filled, labels, nodes, threshold, size)
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    for turn in range(PIVOT_ROUNDS):
+        pairs = _pivots(_apart(filled.filter(F.col("n") > SMALL), labels), turn, threshold)
+        if pairs.isEmpty():
+            break
+        links = links.unionByName(_verified(pairs, table, threshold, size))
+        labels = components(links)
+    if exact:
+        apart = _apart(filled, labels)
+        for kind in (_small_rest, _large_rest):
+            links = links.unionByName(kind(apart, table, threshold, size))
+        labels = components(links)
     placed = table.select("uid", "doc_id", "text_key").join(members, "uid", "left").join(labels, "node", "left").select("uid", "doc_id", "text_key", F.coalesce("comp", "node", "uid").alias("comp"))
+    placed = written(placed, "placed")
     named = placed.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("low"))
-    out = placed.join(named, "comp")
+    out = placed.join(written(named, "classes"), "comp")
     return out.select("doc_id", "class_id", "class_size", (F.col("uid") == F.col("low.uid")).alias("kept"), "text_key")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one text of each class (rows with its doc_id and text: rows that repeat as a whole stay together)."""
-    kept = near_duplicates(docs, threshold).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]) & (F.xxhash64(docs["text"].cast("string")) == kept["kept_key"])
-    return docs.join(kept, same, "left_semi")
+    """``docs`` with one row of each class."""
+    return keep_rows(docs, near_duplicates(docs, threshold).select("doc_id", "text_key", "kept"), F.xxhash64(docs["text"].cast("string")))

@@ -80,18 +80,33 @@ def test_equals_brute_force(spark):
     assert X.keep_one(df).count() == len({c for _, c, _ in brute(rows)})
 
 
-def test_large_buckets_are_cut(spark, monkeypatch):
-    monkeypatch.setattr(X, "SALT_ROWS", 20)
-    monkeypatch.setattr(X, "NEAR", (2, 4))
+@pytest.mark.parametrize(("small", "rounds"), [(2, 2), (1000, 0)])
+def test_steps_dont_matter(spark, monkeypatch, small, rounds):
+    monkeypatch.setattr(X, "SMALL", small)
+    monkeypatch.setattr(X, "PIVOT_ROUNDS", rounds)
+    monkeypatch.setattr(X, "TOGETHER", 100)
+    monkeypatch.setattr(X, "BLOCK_ROWS", 10)
     rows = planted(90)
     assert got(X.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
+def test_one_pair_a_node_and_round(spark):
+    rows = [(b, n, 10, 30, 0, 10) for b in range(24) for n in range(30)]
+    filled = spark.createDataFrame(rows, "bucket long, node long, size long, n long, rep long, rep_size long")
+    pairs = X._star(filled, 0.8).collect()
+    assert len(pairs) == len({r.b for r in pairs}) == 29
+    labels = spark.createDataFrame([(k, 5 if k > 5 else k) for k in range(30)], "node long, comp long")
+    pairs = X._pivots(X._apart(filled, labels), 0, 0.8).collect()
+    assert {r.b for r in pairs} == {0, 1, 2, 3, 4} and all(r.a >= 5 for r in pairs)
+    assert X._apart(filled, spark.createDataFrame([(k, 5) for k in range(30)], "node long, comp long")).isEmpty()
+
+
 def test_rows(odd, empty):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert got(X.near_duplicates(odd)) == brute(rows)
     assert X.near_duplicates(empty).count() == 0
     kept = X.keep_one(odd)
+    assert kept.count() == X.near_duplicates(odd).filter("kept").count()  # the row that repeats as a whole stays once
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {None, 1, 3, 4, 5, 6, 7, 8, 9, 10, 11}
     assert X.keep_one(empty).count() == 0
 
@@ -102,7 +117,7 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 10: 10, 11: 10, 7: 7} | {k: 100 for k in range(100, 141)}
 
 
-@pytest.mark.parametrize("block_rows", [1024, 100])
+@pytest.mark.parametrize("block_rows", [100])
 def test_template_group_in_one_bucket(spark, monkeypatch, block_rows):
     """Hundreds of texts of one template share buckets and are apart (0.78), but for pairs that have one more word in common (0.81)."""
     monkeypatch.setattr(X, "BLOCK_ROWS", block_rows)
