@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_folder, written
+from .shared import keep_rows, shared_folder, written
 
 #: Rows of a group that are compared against one copy of its retained text.
 SALT_ROWS = 2_000
@@ -114,7 +114,5 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with the row of the largest doc_id of each text (rows that repeat it as a whole stay together)."""
-    dropped = exact_dedup(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped_id"), "text_sha256").distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(dropped["dropped_id"]) & (_digest(docs["text"]) == dropped["text_sha256"])
-    return docs.join(dropped, same, "left_anti")
+    """``docs`` with one row of each text, that of the largest doc_id."""
+    return keep_rows(docs, exact_dedup(docs).select("doc_id", "text_sha256", "kept"), _digest(docs["text"]))

@@ -35,7 +35,7 @@ def test_rows(odd, empty):
     assert got(X.exact_dedup(odd)) == brute(rows)
     assert X.exact_dedup(empty).count() == 0
     kept = X.keep_one(odd)
-    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(x[0] for x in brute(rows) if x[3])
+    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(x[0] for x in {(*x[:1], *x[1:]) for x in brute(rows)} if x[3])
     assert X.keep_one(empty).count() == 0
 
 
