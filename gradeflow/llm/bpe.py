@@ -16,8 +16,8 @@ import numpy as np
 
 from .textkernel import HashIndex, hash_spans, ragged
 
-#: Chunks kept per worker; the cache starts anew beyond it (some 60 bytes each).
-MOST_CHUNKS = 1_500_000
+#: Chunks kept during a task; the cache starts anew beyond it (some 60 bytes each).
+MOST_CHUNKS = 500_000
 
 #: The tokenizer family's published cutting pattern (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -76,9 +76,10 @@ class BpeEncoder:
         ranks = {bytes(of[c] for c in word): k for word, k in spec["model"]["vocab"].items() if word not in self.specials}
         self.encode = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
         self.whole = Tokenizer.from_file(path)
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
+        """Forgets all chunks."""
         self.slots = HashIndex()
         self.sizes = np.zeros(1 << 16, dtype=np.int32)
         self.at = np.zeros(1 << 16, dtype=np.int64)
@@ -103,7 +104,7 @@ class BpeEncoder:
     def batch(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets of rows in them) of the texts that ``offs`` delimits in ``raw``."""
         if self.slots.n > MOST_CHUNKS:
-            self._clear()
+            self.clear()
         starts = cuts(raw, offs)
         ends = np.append(starts[1:], len(raw))
         h = hash_spans(raw, starts, ends)

@@ -7,11 +7,12 @@ their words are compared byte by byte. All rows of a slice are searched in step:
 into lanes, and in each step every lane moves on by its own shift.
 
 The patterns are sent to the workers. Their size is bounded: the benchmark is read in blocks of at most ``BLOCK_WORDS``
-words and each block is one more ``mapInArrow`` over the same rows, whose hits add to the former ones.
-Nothing is shuffled, so groups of copies and hot sources cost what other rows cost.
+words. Where there are several, each is one more pass over the rows, whose hits add to the former ones and are written after each pass, so
+that a worker holds one block. Nothing is shuffled, so groups of copies and hot sources cost what other rows cost.
 
 Edge cases: null texts and items have no words; an item without words gives no pattern; windows
-that several items share count for each; a null item_id is named null; an empty benchmark hits nothing; an empty table gives no rows; rows
+that several items share count for each; rows of the benchmark that repeat an item_id are one item; windows of a null item_id hit words but
+count as no item; an empty benchmark hits nothing; an empty table gives no rows; rows
 that repeat are each returned; other columns of ``docs`` are kept out of the result but may have any name.
 """
 
@@ -24,8 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .textkernel import ALNUM, LOWER, U64, Words, find_words, hash_spans, list_array, mix, ragged, same_spans, slices, text_bytes
+from .shared import broadcast, discard, written
+from .textkernel import ALNUM, LOWER, U64, Words, find_words, give_back, hash_spans, list_array, mix, ragged, same_spans, slices, text_bytes
 
 WINDOW = 13
 #: Words of benchmark text whose patterns are sent to the workers together (some 100 bytes a word).
@@ -108,39 +111,44 @@ class Searcher:
         return begin, pattern
 
 
-def searchers(texts: list[str | None], window: int = WINDOW) -> list[Searcher]:
-    """One searcher for each length of pattern among the items, which are known by their positions."""
+def searchers(texts: list[str | None], window: int = WINDOW, numbers: list[int] | None = None) -> list[Searcher]:
+    """One searcher for each length of pattern among the items, which are known by their ``numbers`` (or else positions)."""
     raw, offs = text_bytes(pa.array(texts, pa.string()))
     w = words_of(raw, offs)
-    found: dict[int, dict[bytes, tuple[int, list[int]]]] = defaultdict(dict)
+    numbers = range(len(texts)) if numbers is None else numbers
+    found: dict[int, dict[bytes, tuple[int, dict[int, None]]]] = defaultdict(dict)
     for item in range(len(texts)):
         a, b = int(w.rows[item]), int(w.rows[item + 1])
         size = min(window, b - a)
         for at in range(a, b - size + 1) if size else ():
             text = b" ".join(bytes(w.raw[w.starts[k] : w.ends[k]]) for k in range(at, at + size))
-            held = found[size].setdefault(text, (at, []))[1]
-            if item not in held[-1:]:
-                held.append(item)
+            found[size].setdefault(text, (at, {}))[1][numbers[item]] = None
     out = []
     for size, patterns in sorted(found.items()):
         spans = np.array([at for at, _ in patterns.values()])[:, None] + np.arange(size)
-        out.append(Searcher(size, w.raw, w.starts[spans], w.ends[spans], [items for _, items in patterns.values()]))
+        out.append(Searcher(size, w.raw, w.starts[spans], w.ends[spans], [list(items) for _, items in patterns.values()]))
     return out
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[list[str], list[str | None]]]:
-    """(item_ids, texts) of bounded size; the driver holds one block at a time."""
+def _blocks(benchmark: DataFrame, block_words: int, window: int) -> Iterator[tuple[list[str | None], list[Searcher]]]:
+    """(item_ids, searchers) of bounded size; the driver holds one block at a time."""
+
+    def made() -> tuple[list[str | None], list[Searcher]]:
+        names = list(dict.fromkeys(ids))
+        number = {name: k for k, name in enumerate(names)}
+        return names, searchers(texts, window, [number[i] for i in ids])
+
     ids, texts, size = [], [], 0
-    for r in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), "text").toLocalIterator():
+    for r in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
         n = 1 + len(r[1] or "") // 4
         if ids and size + n > block_words:
-            yield ids, texts
+            yield made()
             ids, texts, size = [], [], 0
         ids.append(r[0])
         texts.append(r[1])
         size += n
     if ids:
-        yield ids, texts
+        yield made()
 
 
 SCHEMA = "doc_id long, text string, n_words long, hit_words array<int>, items array<string>"
@@ -149,6 +157,7 @@ SCHEMA = "doc_id long, text string, n_words long, hit_words array<int>, items ar
 def _search(batches: Iterator[pa.RecordBatch], block) -> Iterator[pa.RecordBatch]:
     ids, tools = block.value
     names = np.array(ids, dtype=object)
+    named = np.array([i is not None for i in ids], dtype=bool)
     for batch in batches:
         raw, offs = text_bytes(batch.column("text"))
         for a, b in slices(raw, offs):
@@ -167,20 +176,28 @@ def _search(batches: Iterator[pa.RecordBatch], block) -> Iterator[pa.RecordBatch
             hit_rows, hit_at = rows[hit], hit - w.rows[:-1][rows[hit]]
             pair = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), np.int64)
             hits = list_array(pa.array(hit_at.astype(np.int32)), np.bincount(hit_rows, minlength=b - a))
+            pair = pair[:, named[pair[1]]] if len(named) else pair
             items = list_array(pa.array(names[pair[1]].tolist(), pa.string()), np.bincount(pair[0], minlength=b - a))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(w.counts.astype(np.int64)), hits, items], names=["doc_id", "text", "n_words", "hit_words", "items"])
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, window: int = WINDOW) -> DataFrame:
     """(doc_id, text, n_words, hit_words: positions of hit words, items: item_ids with occurrences) for every row."""
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = None
-    for ids, texts in _blocks(benchmark, block_words):
-        block = sc.broadcast((ids, searchers(texts, window)))
-        found = rows.mapInArrow(lambda it, block=block: _search(it, block), SCHEMA) if found is None else _also(found, block)
+    found = block = held = None
+    for made in _blocks(benchmark, block_words, window):
+        if block is not None:  # a block more: what was found so far is written first, so that no worker holds two
+            table = written(found, "contamination")
+            block.destroy()
+            if held is not None:
+                discard(held)
+            held = table
+        block = broadcast(spark, made)
+        found = _also(held, block) if held is not None else rows.mapInArrow(lambda it, block=block: give_back(_search(it, block)), SCHEMA)
     if found is None:
-        found = rows.mapInArrow(lambda it, block=sc.broadcast(([], [])): _search(it, block), SCHEMA)
+        none = broadcast(spark, ([], []))
+        found = rows.mapInArrow(lambda it: _search(it, none), SCHEMA)
     return found
 
 
@@ -195,7 +212,7 @@ def _also(found: DataFrame, block) -> DataFrame:
                 done += part.num_rows
                 yield pa.RecordBatch.from_arrays([*part.columns, was.column("hit_words"), was.column("items")], names=[*part.schema.names, "hits_before", "items_before"])
 
-    more = found.mapInArrow(both, SCHEMA + ", hits_before array<int>, items_before array<string>")
+    more = found.mapInArrow(lambda it: give_back(both(it)), SCHEMA + ", hits_before array<int>, items_before array<string>")
     return more.select("doc_id", "text", "n_words", F.array_union("hit_words", "hits_before").alias("hit_words"), F.array_union("items", "items_before").alias("items"))
 
 
@@ -213,24 +230,50 @@ def report(found: DataFrame) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _hits(batch: pa.RecordBatch, block) -> Iterator[tuple[int, int, np.ndarray, list[list[int]]]]:
+    """(first row, end row, words of each row, places of its hit words) of a batch, slice by slice."""
+    at = 0
+    for part in _search(iter([batch]), block):
+        hits = part.column("hit_words")
+        sizes = np.diff(hits.offsets.to_numpy())
+        yield at, at + part.num_rows, part.column("n_words").to_numpy(), [hits[k].as_py() if sizes[k] else [] for k in range(part.num_rows)]
+        at += part.num_rows
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without contaminated rows: a filter within the tasks, on the searched text itself; all columns are kept."""
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast((ids, searchers(texts))) for ids, texts in _blocks(benchmark, BLOCK_WORDS)]
+    spark, schema, hit = docs.sparkSession, docs.schema, "_hit_words"
+    names, before, last = docs.columns, docs, None
+    for made in _blocks(benchmark, block_words, WINDOW):
+        if last is not None:  # a block more: the last one's hits are written beside the rows, so that no worker holds two
+            done = written(before.mapInArrow(lambda it, block=last: give_back(_marked(it, block, names, hit)), _with(schema, hit)), "hits")
+            if hit in before.columns:
+                discard(before)
+            last.destroy()
+            before = done
+        last = broadcast(spark, made)
+    if last is None:
+        return docs
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits = [set() for _ in range(batch.num_rows)]
-            n_words = np.zeros(batch.num_rows, np.int64)
-            for block in blocks:
-                at = 0
-                for part in _search(iter([batch]), block):
-                    n_words[at : at + part.num_rows] = part.column("n_words").to_numpy()
-                    sizes = np.diff(part.column("hit_words").offsets.to_numpy())
-                    for k in np.flatnonzero(sizes).tolist():
-                        hits[at + k].update(part.column("hit_words")[k].as_py())
-                    at += part.num_rows
-            n_hit = np.array([len(x) for x in hits], dtype=np.int64)
-            yield batch.filter(pa.array(~((n_hit > 0) & (20 * n_hit >= n_words))))
-
-    return docs.mapInArrow(clean, docs.schema)
+        for marked in _marked(batches, last, names, hit):
+            n_hit = np.diff(marked.column(hit).offsets.to_numpy())
+            n_words = np.array([len(words_of(*text_bytes(marked.column("text").slice(k, 1))).starts) if n else 0 for k, n in enumerate(n_hit.tolist())])
+            keep = pa.array(~((n_hit > 0) & (20 * n_hit >= n_words)))
+            yield pa.RecordBatch.from_arrays([marked.column(c).filter(keep) for c in names], names=names)
+
+    return before.mapInArrow(lambda it: give_back(clean(it)), schema)
+
+
+def _with(schema: T.StructType, hit: str) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(hit, T.ArrayType(T.IntegerType()))])
+
+
+def _marked(batches: Iterator[pa.RecordBatch], block, names: list[str], hit: str) -> Iterator[pa.RecordBatch]:
+    """The rows with the places of their hit words, by this block and those before."""
+    for batch in batches:
+        for a, b, _, hits in _hits(batch, block):
+            part = batch.slice(a, b - a)
+            if hit in batch.schema.names:
+                hits = [sorted({*x, *y}) if y else x for x, y in zip(hits, part.column(hit).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(hits, pa.list_(pa.int32()))], names=[*names, hit])

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import discard, keep_rows, written
-from .textkernel import LOWER, NOT_SPACE, U64, find_words, hash_spans, mix, slices, text_bytes, windows
+from .textkernel import LOWER, NOT_SPACE, U64, find_words, give_back, hash_spans, mix, slices, text_bytes, windows
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 24, 4
@@ -161,7 +161,7 @@ def _elements_of(nodes: DataFrame, size: int) -> DataFrame:
                 out = [np.sort(_elements(key[x:y], count[x:y])).tobytes() for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(out, pa.binary())], names=["node", "bag"])
 
-    return nodes.select("node", "zipped").mapInArrow(expand, "node long, bag binary")
+    return nodes.select("node", "zipped").mapInArrow(lambda it: give_back(expand(it)), "node long, bag binary")
 
 
 def _similar(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
@@ -190,7 +190,7 @@ def _verified(pairs: DataFrame, table: DataFrame, threshold: float, size: int) -
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], names=["a", "b"])
 
-    out = written(pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "bag_a", "bag_b").mapInArrow(verify, "a long, b long"), "links")
+    out = written(pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "bag_a", "bag_b").mapInArrow(lambda it: give_back(verify(it)), "a long, b long"), "links")
     discard(held)
     return out
 
@@ -341,7 +341,7 @@ def _large_rest(apart: DataFrame, table: DataFrame, threshold: float, size: int)
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, exact: bool = True) -> DataFrame:
     """(doc_id, class_id: smallest doc_id of the class, class_size, kept, text_key) of every row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
-    table = written(rows.mapInArrow(lambda it: _nodes(it, size), NODES).withColumn("uid", F.monotonically_increasing_id()), "bag-nodes")
+    table = written(rows.mapInArrow(lambda it: give_back(_nodes(it, size)), NODES).withColumn("uid", F.monotonically_increasing_id()), "bag-nodes")
     shingled = table.filter(F.size("bands") > 0)
     first = shingled.groupBy("bag_a", "bag_b").agg(F.min("uid").alias("node"))
     members = written(shingled.select("uid", "bag_a", "bag_b").join(first, ["bag_a", "bag_b"]).select("uid", "node"), "members")

@@ -6,7 +6,8 @@ best-fit decreasing within partitions of about ``PART_ROWS`` pieces. For each pa
 dual-feasible functions of the piece lengths give a lower bound of its bins. A partition that
 meets its bound is certified: it keeps all but its emptiest bin. Any other keeps its (nearly) full bins. The documents
 of the rest change partitions and are packed anew, until they fit one partition or ``MAX_ROUNDS`` are over;
-a round that needs no fewer bins than before is dropped and the former bins stay.
+a round that needs no fewer bins than before is dropped and the former bins stay. ``gap`` tells how many sequences there are
+above the lower bound of all pieces together.
 
 Pieces are dealt by a hash of a row number that is written with them, so neither a hot key nor repeated rows
 gather in one partition. Lengths, not texts, are shuffled.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .shared import written
-from .textkernel import slices, text_bytes
+from .textkernel import give_back, slices, text_bytes
 
 SEQUENCE, END_ID = 2048, 0
 #: Pieces of one partition; rounds of exchange; free tokens of a bin that counts as full.
@@ -65,16 +66,19 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int =
                         crc.append(zlib.crc32(own[begin : begin + n].tobytes()))
                         begin += n
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(row, pa.int64())), pa.array(part, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        tool.clear()  # a reused worker keeps no chunks
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: give_back(encode(it)), PIECE)
 
 
 def lower_bound(lengths: np.ndarray, size: int) -> int:
-    """Least bins by dual-feasible functions: the volume; thresholds that round long pieces up to a
+    """Least bins for pieces of these lengths."""
+    return bound_of_counts(np.bincount(lengths, minlength=size + 1).astype(np.int64), size)
+
+
+def bound_of_counts(count: np.ndarray, size: int) -> int:
+    """Least bins, for the number of pieces of each length, by dual-feasible functions: the volume; thresholds that round long pieces up to a
     bin, keep middle ones and drop short ones; and rounding down to multiples of 1/k."""
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=size + 1).astype(np.int64)
     x = np.arange(size + 1, dtype=np.int64)
     best = -(-int((count * x).sum()) // size)
     many, volume = np.cumsum(count), np.cumsum(count * x)
@@ -167,3 +171,12 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = EN
     if places is not None:
         whole = whole.unionByName(cuts.filter(F.col("length") < size).join(places, "uid"))
     return whole.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
+
+
+def gap(packed: DataFrame, size: int = SEQUENCE) -> tuple[int, int]:
+    """(sequences, lower bound of all pieces together): equal if the packing is certified as a whole."""
+    counts = packed.groupBy("length").count().collect()  # a row for each length: ``size`` at most
+    by_length = np.zeros(size + 1, np.int64)
+    for r in counts:
+        by_length[r.length] = r["count"]
+    return packed.agg(F.count_distinct("sequence_id")).first()[0], bound_of_counts(by_length, size)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,10 +56,21 @@ def bucketed(df: DataFrame, key: str, keys: int, name: str) -> DataFrame:
     return out
 
 
+def _store(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store it is."""
+    store, at = _store(spark, path)
+    return store.exists(at)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder, in whatever store it is."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    store, at = _store(spark, path)
+    store.delete(at, True)
 
 
 def discard(df: DataFrame) -> None:
@@ -89,6 +100,18 @@ def temporary(spark: SparkSession) -> Iterator[None]:
                 x.destroy()
 
 
+def finished(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, written; what was made on the way to it is deleted."""
+    path = shared_folder(spark, name)
+    with temporary(spark):
+        df = make()
+        schema = df.schema
+        df.write.parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._folder = path
+    return out
+
+
 def parts_bits(docs: DataFrame, bytes_a_part: int, most: int) -> int:
     """Bits of a hash space cut into parts of about ``bytes_a_part`` bytes of text: parts grow in number, not in size.
 

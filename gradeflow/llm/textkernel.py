@@ -7,6 +7,7 @@ hash words and windows with vector operations, so no Python object is made for a
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,6 +55,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
+def give_back(out: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``out``, and at its end a reused worker's free memory goes back to the system, so that idle workers don't add up."""
+    yield from out
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(raw: np.ndarray, offs: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes."""
     a, n = 0, len(offs) - 1

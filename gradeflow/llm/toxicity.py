@@ -7,7 +7,9 @@ left of a text is words of letters, each after a blank.
 The lexicon holds word beginnings (a whole word ends with a blank) with weights: smoothed log odds of the number of toxic
 and other training documents with such a word, less a margin for chance. Exception phrases are pairs of neighbouring words around a match that are met
 in other documents rather than toxic ones, plus those given by the caller; a match inside one does not count. A
-text's density is its matched weight over its words; a logistic curve fitted on training documents turns it into a score.
+text's density is its matched weight over its words; a logistic curve fitted on training documents turns it into a score. Entries are
+chosen in ``PASSES``: after the first, toxic training documents that the lexicon matches already are left out of the counts, so that terms
+which few toxic documents share are found too.
 
 Bounds: the fit looks at ``labelled.MOST_LABELLED`` documents at most; the lexicon has ``MOST_ENTRIES`` entries and
 as many exceptions at most, which are broadcast.
@@ -33,13 +35,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
+from .shared import broadcast
+from .textkernel import give_back
 
 #: Entries of the lexicon, and exception phrases, at most.
 MOST_ENTRIES = 2_000
 #: Lengths of word beginnings, in letters; least toxic documents with an entry; least log odds.
 SHORTEST, LONGEST, LEAST_DOCS, LEAST_ODDS = 3, 8, 3, 1.8
-#: Entries with less than this share of the best entry's odds are left out: they are side effects of better ones.
-LEAST_SHARE = 0.6
+#: Entries with less than this share of a pass's best odds are left out: they are side effects of better ones. Passes over the training documents.
+LEAST_SHARE, PASSES = 0.6, 3
+#: Rows of a batch that are looked at together.
+ROWS = 500
 #: Words added to a text's length, so that one match in a few words is no certainty.
 PRIOR_WORDS = 5
 
@@ -109,9 +115,14 @@ def matches(tree: ahocorasick.Automaton | None, folded: str) -> dict[int, float]
             free.append((at, end))
         elif weight > found.get(at, 0.0):
             found[at] = weight
-    for a, b in free:
-        for at in [k for k in found if a <= k < b]:
-            del found[at]
+    if free:  # one sweep over matches and phrases, both in order of their starts
+        free.sort()
+        reach, k = -1, 0
+        for at in sorted(found):
+            while k < len(free) and free[k][0] <= at:
+                reach, k = max(reach, free[k][1]), k + 1
+            if at < reach:
+                del found[at]
     return found
 
 
@@ -151,7 +162,7 @@ def _counted(rows: DataFrame, of) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def _odds(n_toxic: int, n_other: int, margin: float = 1.64):
+def _odds(n_toxic: int, n_other: int, margin: float):
     """Smoothed log odds of a term, less what chance makes of few documents (in standard errors)."""
     a, b = F.col("toxic") + 0.5, F.col("other") + 0.5
     return F.log(a / (n_toxic + 1)) - F.log(b / (n_other + 1)) - margin * F.sqrt(1 / a + 1 / b)
@@ -166,18 +177,46 @@ def _pruned(found: list[tuple[str, int, float]]) -> dict[str, float]:
     return out
 
 
+def _unmatched(rows: DataFrame, held) -> DataFrame:
+    """Rows without toxic ones that the lexicon matches."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = _tree(held)
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                on = [not label > 0 or not matches(tree, fold(text)) for text, label in zip(part.column("text").to_pylist(), part.column("label").to_pylist(), strict=True)]
+                yield part.filter(pa.array(on, pa.bool_()))
+
+    return rows.select("text", "label").mapInArrow(keep, "text string, label int")
+
+
+def _entries(rows: DataFrame, n_toxic: int, n_other: int, margin: float) -> dict[str, float]:
+    """Weighted word beginnings that tell toxic rows from others."""
+    best = _counted(rows, _beginnings).withColumn("odds", _odds(n_toxic, n_other, margin)).filter((F.col("toxic") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS))
+    # bounded: the lexicon's size is a parameter, and a word has so many beginnings at most, of which pruning leaves one
+    best = best.select("term", "toxic", "odds").orderBy(F.desc("odds"), "term").limit((LONGEST - SHORTEST + 2) * MOST_ENTRIES)
+    found = [tuple(r) for r in best.collect()]
+    return _pruned([x for x in found if x[2] >= LEAST_SHARE * found[0][2]])
+
+
 def fit(rows: DataFrame, exceptions: Sequence[str] = ()) -> Lexicon:
     """Learns entries, exceptions and the curve from (text, label): see ``labelled.sample`` for their bound."""
     spark = rows.sparkSession
     n = {bool(r[0]): r[1] for r in rows.groupBy((F.col("label") > 0).alias("toxic")).count().collect()}
     if len(n) < 2:
         return Lexicon()
-    odds = _odds(n[True], n[False])
-    best = _counted(rows, _beginnings).withColumn("odds", odds).filter((F.col("toxic") >= LEAST_DOCS) & (F.col("odds") >= LEAST_ODDS))
-    # bounded: the lexicon's size is a parameter
-    found = [tuple(r) for r in best.select("term", "toxic", "odds").orderBy(F.desc("odds"), "term").limit(MOST_ENTRIES).collect()]
-    found = [x for x in found if x[2] >= LEAST_SHARE * found[0][2]]
-    lexicon = Lexicon(_pruned(found), tuple(fold(e).strip() for e in exceptions))
+    given, entries, left, n_left = tuple(fold(e).strip() for e in exceptions), {}, rows, n[True]
+    for turn in range(PASSES):
+        margin = 3.0 if turn else 1.64  # what is left may be there by chance, so it takes more to count
+        more = {e: w for e, w in _entries(left, n_left, n[False], margin).items() if e not in entries} if n_left >= LEAST_DOCS else {}
+        if not more:
+            break
+        entries = dict(sorted((entries | more).items(), key=lambda x: (-x[1], x[0]))[:MOST_ENTRIES])
+        held = spark.sparkContext.broadcast(Lexicon(entries, given))
+        left = _unmatched(rows, held)
+        n_left = left.filter("label > 0").count()
+    lexicon = Lexicon(entries, given)
     if not lexicon.entries:
         return lexicon
     held = spark.sparkContext.broadcast(lexicon)
@@ -197,7 +236,9 @@ def fit(rows: DataFrame, exceptions: Sequence[str] = ()) -> Lexicon:
     benign = _counted(rows, pairs).filter((F.col("other") >= LEAST_DOCS) & (_odds(n[True], n[False], 0.0) < -1)).orderBy(F.desc("other"), "term").limit(MOST_ENTRIES)
     lexicon = Lexicon(lexicon.entries, tuple(dict.fromkeys([*lexicon.exceptions, *(r[0] for r in benign.select("term").collect())])))
     held_all = spark.sparkContext.broadcast(lexicon)
+    held.destroy()
     points = np.array([(r[0], r[1]) for r in scored(rows.select("text", "label"), held_all, ["label int"]).select("density", "label").collect()], dtype=float)
+    held_all.destroy()
     lexicon.slope, lexicon.offset = _logistic(points[:, 0], points[:, 1] > 0)
     return lexicon
 
@@ -241,7 +282,7 @@ def scored(rows: DataFrame, held, keep: Sequence[str]) -> DataFrame:
             x = np.array(dense)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(x), pa.array(hits, pa.int64()), pa.array(curve(lexicon, x))], names=[*names, "density", "n_matched", "score"])
 
-    return rows.mapInArrow(score, ", ".join([*keep, "density double", "n_matched long", "score double"]))
+    return rows.mapInArrow(lambda it: give_back(score(it)), ", ".join([*keep, "density double", "n_matched long", "score double"]))
 
 
 def is_held_out():
@@ -256,20 +297,22 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = ()) ->
 
 def score_documents(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_matched) of every row."""
-    held = docs.sparkSession.sparkContext.broadcast(lexicon)
+    held = broadcast(docs.sparkSession, lexicon)
     out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), held, ["doc_id long"])
     return out.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_matched")
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
     """``docs`` without rows that score ``threshold`` or more; all columns are kept, nothing is shuffled."""
-    held = docs.sparkSession.sparkContext.broadcast(lexicon)
+    held = broadcast(docs.sparkSession, lexicon)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, tree = held.value, _tree(held)
         for batch in batches:
-            folded = (fold(value.as_py()) for value in batch.column("text"))
-            x = np.array([density(matches(tree, f), f) for f in folded], dtype=float)
-            yield batch.filter(pa.array(curve(lexicon, x) < threshold))
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                folded = (fold(value.as_py()) for value in part.column("text"))
+                x = np.array([density(matches(tree, f), f) for f in folded], dtype=float)
+                yield part.filter(pa.array(curve(lexicon, x) < threshold))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(lambda it: give_back(clean(it)), docs.schema)

@@ -20,7 +20,7 @@ def brute(rows, items):
         w = words(t)
         m = min(13, len(w))
         for k in range(len(w) - m + 1) if m else ():
-            wins[tuple(w[k : k + m])].add("null" if i is None else str(i))
+            wins[tuple(w[k : k + m])] |= set() if i is None else {str(i)}
     out = []
     for i, t in rows:
         w, hit, ids = words(t), set(), set()
