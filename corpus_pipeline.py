@@ -1,7 +1,8 @@
 """A corpus pipeline of five training-data operators: filter, deduplicate, decontaminate, pack.
 
 Every stage works on all rows that the one before it kept and returns the columns of ``documents``; the last returns
-packed pieces. Stages are written as Parquet and read again, which cuts lineage and survives lost executors.
+packed pieces. Stages are written as Parquet and read again, which cuts lineage and survives lost executors; what a stage makes on its
+way is deleted when it is written, and its input when the next stage is.
 
 Edge cases are those of the operators: null texts count as empty and pass the filters (all of them are copies of one another, so the
 largest doc_id stays), an empty table gives an empty result, extra columns travel to the last stage.
@@ -14,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gradeflow.llm import decontaminate, exact_dedup, near_dedup, packing, queries, toxicity
-from gradeflow.llm.shared import written
+from gradeflow.llm.shared import discard, finished
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +58,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-{name}")
-    return docs
+    before = None
+    for name, stage in STAGES[:-1]:
+        docs = finished(spark, f"pipeline-{name}", lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
