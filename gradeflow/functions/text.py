@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns and markers that results depend on.
@@ -76,6 +76,7 @@ def has_complete_box(text: Column) -> Column:
     return F.size(boxed_spans(text)) > 0
 
 
+# The patterns in the next two functions.
 def normalize_answer(s: Column) -> Column:
     """Without outer quotes, trailing backslashes, dollar signs, commas and a leading "answer:"; single blanks."""
     s = F.regexp_replace(strip(s), r"""^['"]+|['"]+$""", "")
@@ -98,12 +99,43 @@ def numeric_fallback(text: Column) -> Column:
     return bind(F.regexp_extract(text, NUMBER_AT_END, 1), lambda n: F.when(n != "", normalize_answer(n)))
 
 
+def is_placeholder(span: Column) -> Column:
+    """Whether a span's normal form is the placeholder; that form is made only where the letters allow it."""
+    may = F.contains(F.upper(F.translate(span, "$,", "")), F.lit(PLACEHOLDER))
+    return F.when(may, F.upper(normalize_answer(span)) == PLACEHOLDER).otherwise(F.lit(False))
+
+
+def real_spans(spans: Column) -> Column:
+    """Spans that aren't the placeholder."""
+    return F.filter(spans, lambda s: ~is_placeholder(s))
+
+
+#: Texts of these characters alone are their own normal form and have no units.
+SIMPLE = r"^[0-9A-Za-z.+/(){}^_=*<>|-]+$"
+
+
+def without_units(span: Column) -> Column:
+    """Normal form without units; null if nothing is left. What isn't simple is worked out in a lambda: once, and out of the compiled code."""
+    full = bind(span, lambda s: bind(normalize_answer(strip_units(normalize_answer(s))), lambda a: F.when(a != "", a)))
+    return F.when(F.regexp_like(span, F.lit(SIMPLE)), span).otherwise(full)
+
+
+def answer_of(text: Column, real: Column) -> Column:
+    """Last of the real spans, without units (null if nothing is left); where there is none, the number at the end of the text."""
+    return F.when(F.length(text) > 0, F.when(F.size(real) > 0, without_units(F.get(real, F.size(real) - 1))).otherwise(numeric_fallback(text)))
+
+
 def extract_answer(text: Column) -> Column:
     """Content of the last box that isn't the placeholder, without units (null if nothing is left); without such a box the number at the end."""
-    found = F.reverse(F.transform(bind(strip(text), boxed_spans), normalize_answer))
-    real = F.filter(found, lambda s: F.upper(s) != PLACEHOLDER)
-    boxed = lambda r: bind(normalize_answer(strip_units(F.get(r, F.lit(0)))), lambda a: F.when(a != "", a))
-    return F.when(F.length(text) > 0, bind(real, lambda r: F.when(F.size(r) > 0, boxed(r)).otherwise(numeric_fallback(text))))
+    return bind(real_spans(boxed_spans(text)), lambda real: answer_of(text, real))
+
+
+def with_answer(df: DataFrame, text: Column, out: str, spans: str | None = None) -> DataFrame:
+    """``df`` with the answer in a text, and with ``spans`` all its boxes: spans are found once, in a column of their own."""
+    found = spans or f"_{out}_spans"
+    rows = df.withColumn(found, boxed_spans(text)).withColumn(f"_{out}_real", real_spans(F.col(found)))
+    rows = rows.withColumn(out, answer_of(text, F.col(f"_{out}_real"))).drop(f"_{out}_real")
+    return rows if spans else rows.drop(found)
 
 
 def trace_variants(trace: Column) -> Column:

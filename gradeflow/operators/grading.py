@@ -1,13 +1,13 @@
 """Grades of traces against solutions.
 
-Equality has two native tiers: the same normal form, or the same number (plain, a/b, \\frac{a}{b}, with or without a percent
-sign). Symbolic equality (\\sqrt{12} and 2\\sqrt{3}) is left to a third tier, a pandas UDF over a
-computer-algebra package, which is used only if one can be imported.
+Equality has two native tiers: the same normal form, or the same value. Values are those of plain numbers, ratios, percentages, powers of ten,
+fractions, mixed numbers, and products of a number, a square root and pi (also over a number). There is no computer-algebra tier: answers
+with variables, sums of roots, intervals and the like are equal only if their normal forms are.
 """
 
 from __future__ import annotations
 
-import importlib.util
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,33 +15,74 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 DECIMAL = "decimal(38,10)"
+_N = r"\d+(?:\.\d*)?|\.\d+"
+PLAIN, RATIO = rf"^[-+]?(?:{_N})$", r"^([-+]?\d+)\s*/\s*(\d+)$"
+MIXED = r"^([-+]?)(\d+)\s+(\d+)\s*/\s*(\d+)$"
+POWER = rf"^([-+]?(?:{_N}))\s*(?:[eE]|(?:\\times|\\cdot|\*|x)\s*10\s*\^)\s*\{{?([-+]?\d{{1,3}})\}}?$"
+PRODUCT = rf"^([-+]?)({_N})?\s*(?:(?:\\cdot|\*)\s*)?(?:\\sqrt\{{({_N})\}})?\s*(\\pi)?(?:\s*/\s*({_N}))?$"
+FRACTION = rf"^([-+]?)(\d+)?\s*\\[dt]?frac\{{((?:[^{{}}]|\{{[^{{}}]*\}})+)\}}\{{({_N})\}}\s*(\\pi)?$"
 
 
 def as_number(s: Column) -> Column:
-    """Value of a plain number, a fraction or a percentage; null for anything else."""
-    return T.bind(F.regexp_replace(F.trim(s), r"\s*\\?%$", ""), lambda t: F.when(F.endswith(F.trim(s), F.lit("%")), _value(t) / 100).otherwise(_value(t)))
+    """Value of an answer, or null. What isn't a plain number is looked at in a lambda, which keeps it out of the compiled code."""
+    return F.when(F.regexp_like(s, F.lit(PLAIN)), _number(s)).when(s.isNotNull(), T.bind(F.trim(s), _general))
+
+
+def _general(t: Column) -> Column:
+    percent = F.when(F.endswith(t, F.lit("%")), F.lit(100.0)).otherwise(F.lit(1.0))
+    return T.bind(F.regexp_replace(t, r"\s*\\?%$", ""), _value) / percent
+
+
+def _number(x: Column) -> Column:
+    return x.try_cast(DECIMAL).cast("double")
+
+
+def _part(t: Column, pattern: str, k: int, absent: float = 1.0) -> Column:
+    """A number among the groups of a pattern."""
+    found = F.regexp_extract(t, pattern, k)
+    return F.when(found == "", F.lit(absent)).otherwise(_number(found))
+
+
+def _sign(t: Column, pattern: str) -> Column:
+    return F.when(F.startswith(t, F.lit("-")), F.lit(-1.0)).otherwise(F.lit(1.0))
+
+
+def _pi(t: Column, pattern: str, k: int) -> Column:
+    return F.when(F.regexp_extract(t, pattern, k) != "", F.lit(math.pi)).otherwise(F.lit(1.0))
+
+
+def _product(t: Column) -> Column:
+    value = _sign(t, PRODUCT) * _part(t, PRODUCT, 2) * F.sqrt(_part(t, PRODUCT, 3)) * _pi(t, PRODUCT, 4)
+    something = F.regexp_like(t, F.lit(r"^[-+]?\s*(?:\d|\.\d|\\sqrt|\\pi)"))
+    return F.when(something & F.regexp_like(t, F.lit(PRODUCT)), F.try_divide(value, _part(t, PRODUCT, 5)))
 
 
 def _value(t: Column) -> Column:
-    plain, ratio, frac = r"^[-+]?(\d+(\.\d*)?|\.\d+)$", r"^([-+]?\d+)/(\d+)$", r"^(-?)\\d?frac\{(-?\d+)\}\{(\d+)\}$"
-    part = lambda pattern, k: F.regexp_extract(t, pattern, k).try_cast(DECIMAL).cast("double")
-    sign = F.when(F.regexp_extract(t, frac, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
+    numerator = F.regexp_extract(t, FRACTION, 3)
+    fraction = _sign(t, FRACTION) * (_part(t, FRACTION, 2, 0.0) + F.try_divide(_product(F.trim(numerator)), _part(t, FRACTION, 4))) * _pi(t, FRACTION, 5)
     return (
-        F.when(F.regexp_like(t, F.lit(plain)), t.try_cast(DECIMAL).cast("double"))
-        .when(F.regexp_like(t, F.lit(ratio)), F.try_divide(part(ratio, 1), part(ratio, 2)))
-        .when(F.regexp_like(t, F.lit(frac)), sign * F.try_divide(part(frac, 2), part(frac, 3)))
+        F.when(F.regexp_like(t, F.lit(PLAIN)), _number(t))
+        .when(F.regexp_like(t, F.lit(RATIO)), F.try_divide(_part(t, RATIO, 1), _part(t, RATIO, 2)))
+        .when(F.regexp_like(t, F.lit(FRACTION)), fraction)
+        .when(F.regexp_like(t, F.lit(POWER)), _part(t, POWER, 1) * F.pow(F.lit(10.0), _part(t, POWER, 2)))
+        .when(F.regexp_like(t, F.lit(MIXED)), _sign(t, MIXED) * (_part(t, MIXED, 2) + F.try_divide(_part(t, MIXED, 3), _part(t, MIXED, 4))))
+        .otherwise(_product(t))
     )
 
 
-def same_answer(a: Column, b: Column) -> Column:
-    """Tiers one and two; false if either is null."""
-    number = F.abs(as_number(a) - as_number(b)) <= 1e-9
-    return F.coalesce(F.when(a == b, F.lit(True)).otherwise(number), F.lit(False))
+def wanted(gold: Column) -> Column:
+    """Normal form of a gold answer, without units."""
+    full = T.bind(gold, lambda g: T.normalize_answer(T.strip_units(g)))
+    return F.when(F.regexp_like(gold, F.lit(T.SIMPLE)), gold).otherwise(full)
+
+
+def _close(x: Column, y: Column) -> Column:
+    return F.abs(x - y) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(x), F.abs(y))
 
 
-def has_symbolic_tier() -> bool:
-    """Whether a computer-algebra package is installed."""
-    return importlib.util.find_spec("sympy") is not None
+def same_answer(a: Column, b: Column) -> Column:
+    """Whether two answers are equal; false if either is null."""
+    return F.coalesce(F.when(a == b, F.lit(True)).otherwise(_close(as_number(a), as_number(b))), F.lit(False))
 
 
 def is_correct(trace: Column, gold: Column) -> Column:
@@ -52,9 +93,35 @@ def is_correct(trace: Column, gold: Column) -> Column:
 
 
 def grade(df: DataFrame, trace: str, gold: str, prefix: str) -> DataFrame:
-    """``df`` with {prefix}_extracted_answer and {prefix}_correct, found independently; both null where there is no trace."""
-    there = F.col(trace).isNotNull()
-    return df.withColumn(f"{prefix}_extracted_answer", T.extract_answer(F.col(trace))).withColumn(f"{prefix}_correct", F.when(there, is_correct(F.col(trace), F.col(gold))))
+    """``df`` with {prefix}_extracted_answer and {prefix}_correct, found independently; both null where there is no trace.
+
+    As ``extract_answer`` and ``is_correct``, but in columns: spans and answers of the trace's variants (three at most) and the gold one's value
+    are worked out once, without lambdas.
+    """
+    there, out, names = F.col(trace).isNotNull(), f"{prefix}_extracted_answer", ["_variants", "_want", "_want_value", "_v1", "_v2"]
+    rows = T.with_answer(df, F.col(trace), out).withColumn("_variants", T.trace_variants(F.col(trace))).withColumn("_want", wanted(F.col(gold)))
+    rows = rows.withColumn("_want_value", as_number(F.col("_want")))
+    right = F.lit(False)
+    for k, answer in enumerate((out, "_v1", "_v2")):
+        if k:
+            rows = T.with_answer(rows, F.get("_variants", F.lit(k)), answer)
+        own = F.when(F.col(answer) == F.col("_want"), F.lit(True)).otherwise(_close(as_number(F.col(answer)), F.col("_want_value")))
+        right = right | F.coalesce(own, F.lit(False))
+    return rows.withColumn(f"{prefix}_correct", F.when(there, right)).drop(*names)
+
+
+RECORD = ("example_id", "split", "method", "prompt", "trace", "af_final_answer_only", "raw_correct", "af_correct", "raw_extracted_answer", "af_extracted_answer")
+
+
+def records(df: DataFrame) -> DataFrame:
+    """Graded traces as typed records of ten fields."""
+    flags = ("raw_correct", "af_correct")
+    return df.select(*(F.col(c).cast("boolean" if c in flags else "string").alias(c) for c in RECORD))
+
+
+def with_forced(traces: DataFrame, forced: DataFrame, key: str, column: str) -> DataFrame:
+    """Traces with their forced answers, matched by key and never by place; null where there is none."""
+    return traces.join(forced.select(key, column), key, "left")
 
 
 def compact(df: DataFrame) -> DataFrame:

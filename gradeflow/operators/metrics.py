@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import FLOOR
+
 
 def accuracy(correct: Column) -> Column:
     """Share of true values; 0 where there is none."""
@@ -32,19 +34,38 @@ def pmf(df: DataFrame, keys: Sequence[str], score: str, bins: Sequence[int]) ->
     return full.withColumn("share", F.try_divide(F.col("n"), F.sum("n").over(Window.partitionBy(*keys))))
 
 
+#: Ranges of values that rows are counted by to find the largest.
+RANGES = 4096
+
+
 def moments_and_mass(df: DataFrame, keys: Sequence[str], x: str, tiebreak: str, share: float = 0.2) -> DataFrame:
-    """(keys, mean, std of the population, top share of the mass, n): the largest int(share * n) values, one at least."""
-    w = Window.partitionBy(*keys)
-    ranked = df.withColumn("_r", F.row_number().over(w.orderBy(F.desc(x), tiebreak))).withColumn("_n", F.count(F.lit(1)).over(w))
-    k = F.greatest(F.lit(1), F.floor(F.col("_n") * share))
-    top = F.sum(F.when(F.col("_r") <= k, F.col(x)))
-    return ranked.groupBy(*keys).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), (top / F.greatest(F.sum(x), F.lit(1e-12))).alias("top_mass"), F.count(F.lit(1)).alias("n"))
-
-
-def mean_one(x: Column, *partition: str) -> Column:
-    """Values divided by their mean; as they are if their sum isn't positive."""
-    w = Window.partitionBy(*partition)
-    return F.when(F.sum(x).over(w) > 0, x / F.avg(x).over(w)).otherwise(x)
+    """(keys, mean, std of the population, top share of the mass, n): the largest int(share * n) values, one at least.
+
+    Values are summed up by range first; only those of the range that the cut falls into are put in order.
+    """
+    keys, v = list(keys), F.col(x)
+    stats = df.groupBy(*keys).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.count(F.lit(1)).alias("n"), F.sum(x).alias("_sum"), F.min(x).alias("_low"), F.max(x).alias("_high"))
+    stats = stats.withColumn("_k", F.greatest(F.lit(1), F.floor(F.col("n") * share)))
+    range_ = F.when(F.col("_high") > F.col("_low"), F.floor((v - F.col("_low")) / (F.col("_high") - F.col("_low")) * RANGES)).otherwise(F.lit(0)).cast("int")
+    rows = df.select(*keys, x, tiebreak).join(stats.select(*keys, "_low", "_high", "_k"), keys).withColumn("_range", range_)
+    above = Window.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)  # over RANGES + 1 rows a group at most
+    ranges = rows.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_m"), F.sum(x).alias("_s"), F.first("_k").alias("_k"))
+    ranges = ranges.withColumns({"_above": F.coalesce(F.sum("_m").over(above), F.lit(0)), "_sum_above": F.coalesce(F.sum("_s").over(above), F.lit(0.0))})
+    cut = ranges.filter((F.col("_above") < F.col("_k")) & (F.col("_above") + F.col("_m") >= F.col("_k"))).select(*keys, "_range", "_above", "_sum_above")
+    inside = rows.join(cut, [*keys, "_range"]).withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(x), tiebreak)))
+    top = inside.filter(F.col("_r") <= F.col("_k") - F.col("_above")).groupBy(*keys).agg((F.first("_sum_above") + F.sum(x)).alias("_top"))
+    return stats.join(top, keys).select(*keys, "mean", "std", (F.col("_top") / F.greatest(F.col("_sum"), F.lit(1e-12))).alias("top_mass"), "n")
+
+
+def mean_one(df: DataFrame, keys: Sequence[str], x: str, out: str) -> DataFrame:
+    """``df`` with values divided by their group's mean; as they are if their sum isn't positive."""
+    means = df.groupBy(*keys).agg(F.avg(x).alias("_mean"), F.sum(x).alias("_sum"))
+    return df.join(means, list(keys)).withColumn(out, F.when(F.col("_sum") > 0, F.col(x) / F.col("_mean")).otherwise(F.col(x))).drop("_mean", "_sum")
+
+
+def shifted(df: DataFrame, keys: Sequence[str], x: str, out: str) -> DataFrame:
+    """``df`` with values less their group's smallest, which comes out just above zero."""
+    return df.join(df.groupBy(*keys).agg(F.min(x).alias("_low")), list(keys)).withColumn(out, F.col(x) - F.col("_low") + FLOOR).drop("_low")
 
 
 def masked_mean(x: Column, mask: Column) -> Column:

@@ -60,9 +60,11 @@ def markdown_example(null: str = "None") -> Column:
     return F.concat_ws("\n", *lines, F.lit(""), F.lit("---"), F.lit(""))
 
 
-def prompt_dictionary(df: DataFrame, split: str, fields: Sequence[str]) -> DataFrame:
-    """(split, examples): each split's examples in order of id, as JSON."""
-    return df.groupBy(split).agg(F.to_json(F.sort_array(F.collect_list(F.struct(*fields)))).alias("examples"))
+def prompt_dictionary(df: DataFrame, split: str, position: Column, fields: Sequence[str], rows: int = 1000) -> DataFrame:
+    """(split, chunk, examples): each split's examples as JSON arrays of ``rows`` examples, in order of their positions."""
+    chunk = F.floor(position / rows).cast("long").alias("chunk")
+    lists = F.sort_array(F.collect_list(F.struct(position.alias("_at"), F.struct(*fields).alias("x"))))  # of ``rows`` examples at most
+    return df.groupBy(split, chunk).agg(F.to_json(F.transform(lists, lambda r: r["x"])).alias("examples"))
 
 
 def summary_json(parts: dict[str, DataFrame], config: dict) -> str:

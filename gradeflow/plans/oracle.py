@@ -144,11 +144,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT l_returnflag, round(avg(exp(z)), 4) AS mean_exp, round(avg(ln(1 + exp(z))), 4) AS mean_softplus, round(avg(exp(z)), 4) AS mean_clipped_exp, round(avg(x - low + 1e-8), 4) AS mean_shifted, count(*) AS n
             FROM z GROUP BY l_returnflag""",
         "q_fallback_fill": f"""
-            WITH {_CELLS}, actual AS (SELECT dataset, provider, seed, 'Base' AS label, max(accuracy) AS accuracy FROM cells WHERE has_results AND key % 5 = 1 GROUP BY dataset, provider, seed)
+            WITH {_CELLS}, actual AS (SELECT dataset, provider, seed, 'Base' AS label, max(accuracy) AS accuracy FROM cells WHERE has_results GROUP BY dataset, provider, seed),
+            far AS (SELECT dataset, provider, seed * 3 AS seed, label, accuracy FROM fallback)
             SELECT dataset, provider, seed, label, round(accuracy, 6) AS accuracy, false AS from_fallback FROM actual
-            UNION ALL SELECT dataset, provider, seed, label, round(accuracy, 6), true FROM fallback ANTI JOIN actual USING (dataset, provider, seed)""",
+            UNION ALL SELECT dataset, provider, seed, label, round(accuracy, 6), true FROM far ANTI JOIN actual USING (dataset, provider, seed)""",
         "q_missing_grid": f"""
-            WITH {_CELLS}, seen AS (SELECT * FROM cells WHERE key % 9 < 2),
+            WITH {_CELLS}, seen AS (SELECT * REPLACE (has_results AND seed < 30 AS has_results) FROM cells),
             grid AS (SELECT dataset, provider, CAST(seed AS INTEGER) AS seed FROM (VALUES ('1-URGENT'), ('2-HIGH'), ('5-LOW')) a(dataset), (VALUES ('F'), ('O'), ('P')) b(provider), range(50) c(seed)),
             newest AS (SELECT dataset, provider, seed, timestamp AS newest_timestamp, run AS newest_run FROM seen QUALIFY row_number() OVER (PARTITION BY dataset, provider, seed ORDER BY timestamp DESC, run DESC) = 1)
             SELECT dataset, provider, seed, newest_timestamp, newest_run
@@ -173,10 +174,11 @@ def oracle_sql() -> dict[str, str]:
         "q_json_roundtrip": """
             SELECT event_type, count(props) AS n, sum(len(json_keys(props)))::BIGINT AS n_keys, count(*) FILTER (len(json_keys(props)) > 0) AS n_full FROM events GROUP BY event_type""",
         "q_prompt_dictionary": f"""
-            WITH {_SPLIT}, j AS (SELECT split, '[' || string_agg('{{"example_id":"' || example_id || '","doc_id":' || doc_id || '}}', ',' ORDER BY example_id, doc_id) || ']' AS examples FROM split WHERE split = 'test' GROUP BY split)
-            SELECT split, length(examples) AS n_chars, md5(examples) AS digest FROM j""",
+            WITH {_SPLIT}, p AS (SELECT *, CAST(split_part(example_id, '_', 2) AS BIGINT) AS pos FROM split),
+            j AS (SELECT split, CAST(floor(pos / 100) AS BIGINT) AS chunk, '[' || string_agg('{{"example_id":"' || example_id || '","doc_id":' || doc_id || '}}', ',' ORDER BY pos) || ']' AS examples FROM p GROUP BY ALL)
+            SELECT split, chunk, length(examples) AS n_chars, md5(examples) AS digest FROM j""",
         "q_markdown_examples": """
-            WITH t AS (SELECT o_orderkey AS k, o_custkey AS c, chr(10) AS n, CASE WHEN o_orderkey % 3 = 0 THEN 'True' ELSE 'False' END AS ok FROM orders WHERE o_orderkey % 50 = 1)
+            WITH t AS (SELECT o_orderkey AS k, o_custkey AS c, chr(10) AS n, CASE WHEN o_orderkey % 3 = 0 THEN 'True' ELSE 'False' END AS ok FROM orders)
             SELECT CAST(k AS VARCHAR) AS example_id, '## ' || k || n || n || 'Prompt:' || n || n || 'solve' || n || n || 'Trace:' || n || n || 'trace ' || c || n || n
                 || 'Answer-Forced Final Answer:' || n || n || CASE WHEN k % 2 = 0 THEN 'forced' ELSE '' END || n || n
                 || 'Raw extracted answer: `' || c || '`' || n || 'AF extracted answer: `None`' || n || 'Raw correct: `' || ok || '`' || n || 'AF correct: `None`' || n
@@ -185,6 +187,29 @@ def oracle_sql() -> dict[str, str]:
             WITH {_REPORT} SELECT dataset, label, list_position(['Base', 'Finished', 'Open'], label)::BIGINT AS place, round(round(mean, 6) * 100, 4) AS percent, round(round(stderr, 6) * 100, 4) AS stderr_percent
             FROM stats WHERE label IN ('Base', 'Finished', 'Open')""",
         "q_flagship_run_report": f"WITH {_REPORT} SELECT dataset, label, round(mean, 6) AS mean, round(stderr, 6) AS stderr, n FROM stats",
+        "q_inspection": r"""
+            WITH t AS (SELECT o_orderkey AS k, o_custkey % 3 = 0 AS forced, o_orderkey % 2 = 0 AS complete, o_orderkey % 3 AS gold FROM orders),
+            g AS (SELECT *, CASE WHEN complete THEN CAST(k % 7 AS VARCHAR) END AS raw_extracted_answer, CASE WHEN forced AND k % 4 <> 0 THEN CAST(k % 3 AS VARCHAR) END AS af_extracted_answer,
+                         complete AND k % 7 = gold AS raw_correct, CASE WHEN forced THEN k % 4 <> 0 END AS af_correct FROM t)
+            SELECT CAST(k AS VARCHAR) AS example_id, complete, raw_correct, af_correct, raw_extracted_answer, af_extracted_answer,
+                   CASE WHEN forced THEN af_correct ELSE raw_correct END AS correct, CASE WHEN forced THEN af_extracted_answer ELSE raw_extracted_answer END AS extracted_answer FROM g""",
+        "q_judge_scores": """
+            WITH t AS (SELECT o_orderstatus AS series, o_custkey % 8 AS score FROM orders WHERE o_custkey % 8 BETWEEN 1 AND 5),
+            b AS (SELECT series, unnest([1, 2, 3, 4, 5])::INTEGER AS bin, count(*) AS c FROM t GROUP BY series)
+            SELECT b.series, bin, round(100.0 * count(t.score) / c, 6) AS percent FROM b LEFT JOIN t ON t.series = b.series AND t.score = bin GROUP BY b.series, bin, c""",
+        "q_answer_equality": "SELECT p_partkey, form, true AS equal, false AS other FROM part, range(8) f(form)",
+        "q_student_grid": """
+            SELECT source, mode, CASE mode WHEN 'naive' THEN 1 ELSE 3 END::BIGINT AS n, CASE mode WHEN 'naive' THEN 1.0 ELSE 3.5 END::DOUBLE AS sum_beta
+            FROM (VALUES ('teacher_standard'), ('teacher_ad'), ('teacher_poe')) s(source), (VALUES ('naive'), ('strategic_fd')) m(mode)""",
+        "q_masked_loss": "SELECT l_returnflag, round(coalesce(sum(l_quantity) FILTER (l_linenumber % 2 = 0), 0) / greatest(count(*) FILTER (l_linenumber % 2 = 0), 1), 6) AS loss FROM lineitem GROUP BY l_returnflag",
+        "q_problem_files": """
+            SELECT CASE o_orderstatus WHEN 'P' THEN 'test' ELSE 'train' END AS split, CASE o_orderstatus WHEN 'O' THEN 1 ELSE 0 END::BIGINT AS subset_ord, o_orderpriority AS type,
+                   count(*) AS n, min('q' || o_orderkey) AS first_problem, max(CAST(o_custkey AS VARCHAR)) AS last_gold
+            FROM orders WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY ALL""",
+        "q_trace_files": """
+            WITH t AS (SELECT conv_id || '-' || turn AS question, role AS subject, turn % 2 = 0 AS correct FROM conversations WHERE role IN ('user', 'assistant', 'system'))
+            SELECT subject, upper(subject) AS predicted_answer, count(*) AS n, count(*) FILTER (correct) AS n_correct, (SELECT count(DISTINCT question) FROM t) AS n_done FROM t GROUP BY subject""",
+        "q_windowed_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
         "q_run_names": """
             SELECT ['gemini', 'claude', 'openai'][o_orderkey % 4 + 1] AS provider, CASE WHEN o_orderkey % 2 = 0 THEN 'math' ELSE 'gsm8k' END AS dataset, CAST(o_orderkey % 3 AS INTEGER) AS seed,
                    count(*) AS n, max(strftime(o_orderdate, '%Y%m%d_%H%M%S')) AS newest

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import formats, numbers, prompts, text
 from ..operators import grading, metrics, ordering, report, runs
+from ..sources import sinks, tables
 from ..sources.tables import table
+from ..streaming.incremental import windowed_counts as counts_by_window
 
 
 def _q(x: Column) -> Column:
@@ -91,15 +93,15 @@ def capped_resume(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subset_union(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of two subsets, and their distinct keys."""
+    """Rows of two subsets, and their distinct keys."""
     a = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"))
     b = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"))
     return ordering.union_all(a, b).groupBy("nation").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("subset_ord").alias("n_subsets"))
 
 
 def prompt_messages(spark: SparkSession, d: str) -> DataFrame:
-    """User turns as prompts."""
-    rows = table(spark, d, "conversations").filter("role = 'user'").withColumn("m", prompts.prompt_messages(F.col("text")))
+    """User turns as prompts; the problem is read by its other name."""
+    rows = tables.with_alias(table(spark, d, "conversations").withColumnRenamed("text", "question"), "problem", "question").withColumnRenamed("problem", "text").filter("role = 'user'").withColumn("m", prompts.prompt_messages(F.col("text")))
     return rows.select("conv_id", "turn", F.size("m").cast("long").alias("n_messages"), F.array_join("m.role", ",").alias("roles"), F.get("m.content", F.lit(1)).alias("content"), prompts.judge_message(F.col("text"), F.lit(" done ")).alias("judge"))
 
 
@@ -115,10 +117,9 @@ def split_from_id(spark: SparkSession, d: str) -> DataFrame:
 
 
 def extract_boxed(spark: SparkSession, d: str) -> DataFrame:
-    """T1, T2, T3, T4, T10."""
+    """T1, T2, T3, T4."""
     rows = table(spark, d, "lineitem").withColumn("trace", boxed_trace())
-    spans = text.boxed_spans(F.col("trace"))
-    return rows.select("l_orderkey", "l_linenumber", F.size(spans).cast("long").alias("n_spans"), text.extract_answer(F.col("trace")).alias("answer"))
+    return text.with_answer(rows, F.col("trace"), "answer", "spans").select("l_orderkey", "l_linenumber", F.size("spans").cast("long").alias("n_spans"), "answer")
 
 
 def numeric_fallback(spark: SparkSession, d: str) -> DataFrame:
@@ -154,7 +155,7 @@ def final_answer_tail(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grade(spark: SparkSession, d: str) -> DataFrame:
-    """G1 (native tiers), G2, G3, G4, P2, P3, P14: raw and forced grades and the final ones."""
+    """G1 (native tiers), G2, G3, P2: raw and forced grades and the final ones."""
     gold = F.when(F.col("l_linenumber") % 4 == 0, F.concat(_q(F.col("l_quantity") * 2), F.lit("/2"))).otherwise(_q(F.col("l_quantity") + F.col("l_linenumber") % 2))
     rows = table(spark, d, "lineitem").withColumns({"trace": boxed_trace(), "gold": gold})
     rows = rows.withColumn("af", F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("\\boxed{"), _q(F.col("l_quantity")), F.lit(".0}"))))
@@ -163,7 +164,7 @@ def grade(spark: SparkSession, d: str) -> DataFrame:
 
 
 def method_label(spark: SparkSession, d: str) -> DataFrame:
-    """P4, P11, P12, P1."""
+    """P4, P11, P12."""
     method = F.when(F.col("event_type") == "click", F.lit("poe")).otherwise(F.col("event_type"))
     rows = table(spark, d, "events").select(grading.method_label(method, (F.col("event_id") % 3).cast("int")).alias("method"), "event_type")
     order = ["Base", "Purchase", "View", "Click"]
@@ -214,7 +215,8 @@ def pmf(spark: SparkSession, d: str) -> DataFrame:
 
 def moments_mass(spark: SparkSession, d: str) -> DataFrame:
     """A8, A9, A10, L8."""
-    rows = table(spark, d, "orders").withColumn("w", metrics.mean_one(F.col("o_totalprice"), "o_orderpriority"))
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    rows = metrics.mean_one(rows, ["o_orderpriority"], "o_totalprice", "w")
     out = metrics.moments_and_mass(rows, ["o_orderpriority"], "w", "o_orderkey")
     return out.select("o_orderpriority", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.round("top_mass", 6).alias("top_mass"), "n")
 
@@ -223,9 +225,9 @@ def transforms(spark: SparkSession, d: str) -> DataFrame:
     """M1, M2."""
     x = (F.col("l_discount") - 0.05) * 400
     rows = table(spark, d, "lineitem").select("l_returnflag", x.alias("x"))
-    named = {k: numbers.penalty(F.col("x"), k, 0.5) for k in ("exp", "softplus", "clipped_exp")} | {"shifted": numbers.weight(F.col("x"), "identity", "l_returnflag")}
-    wide = rows.withColumns(named)
-    return wide.groupBy("l_returnflag").agg(*(F.round(F.avg(k), 4).alias(f"mean_{k}") for k in named), F.count(F.lit(1)).alias("n"))
+    named = {k: numbers.penalty(F.col("x"), k, 0.5) for k in ("exp", "softplus", "clipped_exp")}
+    wide = metrics.shifted(rows, ["l_returnflag"], "x", "shifted").withColumns(named)
+    return wide.groupBy("l_returnflag").agg(*(F.round(F.avg(k), 4).alias(f"mean_{k}") for k in (*named, "shifted")), F.count(F.lit(1)).alias("n"))
 
 
 def _cells(spark: SparkSession, d: str) -> DataFrame:
@@ -237,25 +239,25 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _fallback(spark: SparkSession, d: str) -> DataFrame:
-    """A fallback table read from JSON maps, one for each nation."""
+def _fallback(spark: SparkSession, d: str, step: int = 1) -> DataFrame:
+    """A fallback table read from JSON maps, one for each nation, whose key times ``step`` is the seed."""
     label = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
-    key = F.concat(F.lit('{"1-URGENT/P/seed'), F.col("n_nationkey").cast("string"), F.lit('":{'))
+    key = F.concat(F.lit('{"1-URGENT/P/seed'), (F.col("n_nationkey") * step).cast("string"), F.lit('":{'))
     maps = table(spark, d, "nation").select(F.concat(key, label("Base", F.lit("0.25")), F.lit(","), label("Trace SFT", F.lit("0.5")), F.lit("}}")).alias("j"))
     return runs.read_fallbacks(maps, "j")
 
 
 def fallback_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Fallbacks for keys without results."""
-    actual = _cells(spark, d).filter("has_results and key % 5 = 1").groupBy("dataset", "provider", "seed").agg(F.max("accuracy").alias("accuracy")).withColumn("label", F.lit("Base"))
-    out = runs.fill(actual, _fallback(spark, d))
+    """Fallbacks for keys without results: seeds beyond those of the runs."""
+    actual = _cells(spark, d).filter("has_results").groupBy("dataset", "provider", "seed").agg(F.max("accuracy").alias("accuracy")).withColumn("label", F.lit("Base"))
+    out = runs.fill(actual, _fallback(spark, d, 3))
     return out.select("dataset", "provider", "seed", "label", F.round("accuracy", 6).alias("accuracy"), "from_fallback")
 
 
 def missing_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Cells of the grid with neither results nor a fallback."""
+    """Cells of the grid with neither results nor a fallback: seeds from 30 on never ended, seeds from 40 on never ran."""
     cells = runs.grid(spark, dataset=["1-URGENT", "2-HIGH", "5-LOW"], provider=["F", "O", "P"], seed=list(range(50)))
-    seen = _cells(spark, d).filter("key % 9 < 2")
+    seen = _cells(spark, d).withColumn("has_results", F.col("has_results") & (F.col("seed") < 30))
     return runs.missing(cells, seen, _fallback(spark, d), "timestamp", "run")
 
 
@@ -292,7 +294,7 @@ def subsequence_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """events' properties parsed, written again and read back, by type."""
+    """Events' properties parsed, written as JSON and read back, by type."""
     events = table(spark, d, "events").select("event_id", "event_type", "props")
     again = F.from_json(F.to_json(F.from_json("props", "map<string,string>")), "map<string,string>")
     rows = events.withColumn("m", again)
@@ -300,15 +302,16 @@ def json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prompt_dictionary(spark: SparkSession, d: str) -> DataFrame:
-    """K9: examples of each split as one JSON array, in order of their ids."""
-    out = report.prompt_dictionary(_split(spark, d).filter("split = 'test'"), "split", ["example_id", "doc_id"])
-    return out.select("split", F.length("examples").cast("long").alias("n_chars"), F.md5("examples").alias("digest"))
+    """K9: examples of each split as JSON arrays, in order of their positions."""
+    at = F.substring_index("example_id", "_", -1).cast("long")
+    out = report.prompt_dictionary(_split(spark, d), "split", at, ["example_id", "doc_id"], 100)
+    return out.select("split", "chunk", F.length("examples").cast("long").alias("n_chars"), F.md5("examples").alias("digest"))
 
 
 def markdown_examples(spark: SparkSession, d: str) -> DataFrame:
     """K5: graded traces as Markdown sections."""
     k = F.col("o_orderkey")
-    rows = table(spark, d, "orders").filter(k % 50 == 1).select(
+    rows = table(spark, d, "orders").select(
         k.cast("string").alias("example_id"), F.lit(" solve ").alias("prompt"), F.concat(F.lit("trace "), F.col("o_custkey").cast("string")).alias("trace"), F.when(k % 2 == 0, F.lit("forced")).alias("af_final_answer_only"),
         F.col("o_custkey").cast("string").alias("raw_extracted_answer"), F.lit(None).cast("string").alias("af_extracted_answer"), (k % 3 == 0).alias("raw_correct"), F.lit(None).cast("boolean").alias("af_correct"), F.col("o_custkey").cast("string").alias("extracted_answer"), (k % 3 == 0).alias("correct"),
     )
@@ -316,10 +319,8 @@ def markdown_examples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def series(spark: SparkSession, d: str) -> DataFrame:
-    """Plot-ready bars of the report."""
-    from ..sources.sinks import series_table
-
-    out = series_table(flagship_run_report(spark, d), ["Base", "Finished", "Open"])
+    """Plot-ready bars of the report."""
+    out = sinks.series_table(flagship_run_report(spark, d), ["Base", "Finished", "Open"])
     return out.select("dataset", "label", F.col("place").cast("long").alias("place"), F.round("percent", 4).alias("percent"), F.round("stderr_percent", 4).alias("stderr_percent"))
 
 
@@ -338,11 +339,89 @@ def run_names(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("provider", "dataset", "seed").agg(F.count(F.lit(1)).alias("n"), F.max("timestamp").alias("newest"))
 
 
+def inspection(spark: SparkSession, d: str) -> DataFrame:
+    """Typed records of graded traces and forced answers joined by key; a forced grade counts even if nothing was extracted."""
+    k = F.col("o_orderkey")
+    box = F.concat(F.lit("so \\boxed{"), (k % 7).cast("string"), F.when(k % 2 == 0, F.lit("}")).otherwise(F.lit("")))
+    traces = table(spark, d, "orders").select(k.cast("string").alias("example_id"), F.lit("test").alias("split"), F.lit("standard").alias("method"), F.lit("solve").alias("prompt"), box.alias("trace"), (k % 3).cast("string").alias("gold"))
+    forced = table(spark, d, "orders").filter("o_custkey % 3 = 0").select(k.cast("string").alias("example_id"), F.when(k % 4 == 0, F.lit("nothing")).otherwise(F.concat(F.lit("\\boxed{"), (k % 3).cast("string"), F.lit("}"))).alias("af_final_answer_only"))
+    rows = grading.with_forced(traces, forced, "example_id", "af_final_answer_only")
+    graded = grading.grade(grading.grade(rows, "trace", "gold", "raw"), "af_final_answer_only", "gold", "af")
+    full = grading.records(graded).withColumn("complete", text.has_complete_box(F.col("trace")))
+    return grading.inspection(full, "af_final_answer_only").select("example_id", "complete", "raw_correct", "af_correct", "raw_extracted_answer", "af_extracted_answer", "correct", "extracted_answer")
+
+
+def judge_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of the rubric by status, and their shares as plot-ready bars."""
+    rows = table(spark, d, "orders").select(F.col("o_orderstatus").alias("source"), (F.col("o_custkey") % 8).cast("int").alias("score"))
+    shares = metrics.pmf(grading.valid_scores(rows, "score"), ["source"], "score", [1, 2, 3, 4, 5])
+    return sinks.pmf_series(shares, "source").select("series", "bin", F.round("percent", 6).alias("percent"))
+
+
+def answer_equality(spark: SparkSession, d: str) -> DataFrame:
+    """G1: values of answers in many notations, against an equal and an unequal one."""
+    k = F.col("p_partkey") % 50 + 2
+    t = lambda *xs: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("long").cast("string") for x in xs))
+    forms = [
+        (t("\\frac{", k, "}{4}"), (k / 4).cast("decimal(20,4)").cast("string")), (t(k, "\\sqrt{3}"), t("\\sqrt{", k * k * 3, "}")), (t(k, "\\frac{1}{2}"), t(k * 2 + 1, "/2")), (t("\\frac{", k, "\\pi}{2}"), t(k * 2, "\\pi/4")),
+        (t(k, " \\times 10^{3}"), t(k * 1000)), (t(k, "\\%"), t(k, "/100")), (t("-", k, " 1/4"), t("-", k * 4 + 1, "/4")), (t("x+", k), t("x+", k)),
+    ]
+    rows = table(spark, d, "part").select("p_partkey", F.explode(F.array(*(F.struct(F.lit(n).alias("form"), a.alias("a"), b.alias("b")) for n, (a, b) in enumerate(forms)))).alias("f"))
+    equal = grading.same_answer(F.col("f.a"), F.col("f.b"))
+    other = grading.same_answer(F.col("f.a"), F.concat("f.b", F.lit("1")))
+    return rows.select("p_partkey", F.col("f.form").cast("long").alias("form"), equal.alias("equal"), other.alias("other"))
+
+
+def student_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Runs planned for each teacher; beta varies for one mode only."""
+    sources = [f"teacher_{x}" for x in ("standard", "ad", "poe")]
+    planned = runs.student_grid(spark, sources, ["naive", "strategic_fd"], [0.5, 1.0, 2.0])
+    return planned.groupBy("source", "mode").agg(F.count(F.lit(1)).alias("n"), F.sum("beta_s").alias("sum_beta"))
+
+
+def masked_loss(spark: SparkSession, d: str) -> DataFrame:
+    """Mean of values under a mask."""
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(metrics.masked_mean(F.col("l_quantity"), F.col("l_linenumber") % 2 == 0), 6).alias("loss"))
+
+
+def problem_files(spark: SparkSession, d: str) -> DataFrame:
+    """Problem sets written as JSON lines and loaded by split, subset after subset."""
+    folder = sinks.scratch_folder(spark, "problems")
+    rows = table(spark, d, "orders").select(F.concat(F.lit("q"), "o_orderkey").alias("question"), F.concat(F.lit("#### "), "o_custkey").alias("answer"), F.col("o_orderpriority").alias("type"), F.col("o_orderstatus").alias("status"))
+    for status in ("F", "O", "P"):
+        sinks.write_json_lines(rows.filter(F.col("status") == status).drop("status"), f"{folder}/{status}")
+    found = tables.load_problems(spark, "question_answer", train=[f"{folder}/F", f"{folder}/O"], test=f"{folder}/P")
+    return found.groupBy("split", F.col("subset_ord").cast("long").alias("subset_ord"), "type").agg(F.count(F.lit(1)).alias("n"), F.min("problem").alias("first_problem"), F.max(text.gold_answer(F.col("solution"), F.lit(""))).alias("last_gold"))
+
+
+def trace_files(spark: SparkSession, d: str) -> DataFrame:
+    """Traces appended as JSON lines, rewritten as a whole, read by stem, with keys done so far and a JSON array."""
+    folder = sinks.scratch_folder(spark, "traces")
+    path = f"{folder}/{sinks.trace_file('gemini', 'math')}"
+    rows = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("question"), F.col("role").alias("subject"), (F.col("turn") % 2 == 0).alias("correct"))
+    for role in ("user", "assistant", "system"):
+        sinks.append_json_lines(rows.filter(F.col("subject") == role), path)
+    sinks.rewrite_json_lines(tables.read_traces(spark, path.removesuffix(".jsonl")).withColumn("predicted_answer", F.upper("subject")), path)
+    again = tables.read_traces(spark, path.removesuffix(".jsonl"))
+    by = again.groupBy("subject", "predicted_answer").agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("n_correct"))
+    sinks.write_json_array(by, f"{folder}/summary.json")
+    found = tables.read_json_array(spark, f"{folder}/summary.json", by.schema)
+    n_done = tables.done_keys(spark, path).agg(F.count(F.lit(1)).alias("n_done"))  # one row
+    return found.join(F.broadcast(n_done))
+
+
+def windowed_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Events by day and type, as the stream counts them."""
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return counts_by_window(events, "ts", "1 day", "1 hour", "event_type").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
     own = [
         accuracy_by_lang, accuracy_empty_group, seeded_split, ratio_split, split_counts, stratified_sample, simple_sample, slice_offset, resume_anti_join, capped_resume, subset_union, prompt_messages, chat_render,
         split_from_id, extract_boxed, numeric_fallback, gold_answer, trace_variants, final_answer_tail, grade, method_label, label_map, latest_per_key, mean_stderr, mean_of_means, pmf, moments_mass, transforms, fallback_fill,
         missing_grid, pivot_report, success_tally, format_percent_duration, subsequence_index, json_roundtrip, prompt_dictionary, markdown_examples, series, flagship_run_report, run_names,
+        inspection, judge_scores, answer_equality, student_grid, masked_loss, problem_files, trace_files, windowed_counts,
     ]
     return {f"q_{f.__name__}": f for f in own}

@@ -1,10 +1,15 @@
-"""Sinks: JSON lines and arrays, append and staged rewrite, manifests."""
+"""Sinks: JSON lines and arrays, append and staged rewrite, manifests, summaries, a stage log."""
 
 from __future__ import annotations
 
 import json
+import logging
+import time
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,10 +28,77 @@ def to_json_array(df: DataFrame) -> str:
     return json.dumps([json.loads(r) for r in df.toJSON().toLocalIterator()], indent=2)
 
 
-def manifest(splits: DataFrame, split: str, **facts) -> dict:
-    """Facts of a run with the sizes of its splits."""
+def _store(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small file, in whatever store Spark can reach; folders on the way are made."""
+    store, at = _store(spark, path)
+    out = store.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_json_array(df: DataFrame, path: str) -> None:
+    """A report-sized frame as a file that is one JSON array."""
+    write_text(df.sparkSession, to_json_array(df), path)
+
+
+def rewrite_json_lines(df: DataFrame, path: str) -> None:
+    """Replaces what is at ``path``, which ``df`` may read: written beside it as a whole, then put in its place."""
+    spark, beside = df.sparkSession, f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    df.write.json(beside)
+    store, at = _store(spark, path)
+    store.delete(at, True)
+    if not store.rename(_store(spark, beside)[1], at):
+        raise OSError(f"{beside} could not be renamed to {path}")
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder path that driver and executors share: in ``spark.checkpoint.dir``, or else the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def manifest(splits: DataFrame, split: str, planned: dict | None = None, **facts) -> dict:
+    """Facts of a run with the sizes of its splits and the planned methods: {"teachers": {...}, "students": {"modes": [...], "beta_s_values": [...]}}."""
     sizes = {r[split]: r["count"] for r in splits.groupBy(split).count().orderBy(split).collect()}
-    return facts | {"split_sizes": sizes}
+    return facts | {"split_sizes": sizes, "planned_methods": planned or {}}
+
+
+def console_summary(selected: DataFrame, fallbacks: DataFrame, missing: DataFrame, stats: DataFrame) -> str:
+    """Report-sized frames as lines for a terminal: selected runs, fallbacks used, gaps, means with their errors."""
+    lines = []
+    for title, df in (("Selected runs", selected), ("Fallbacks", fallbacks), ("Missing", missing)):
+        rows = sorted(tuple("-" if x is None else str(x) for x in r) for r in df.toLocalIterator())
+        lines += [f"{title}: {len(rows)}", *("  " + "  ".join(r) for r in rows)]
+    value = lambda x: "-" if x is None else f"{100 * x:.1f}"
+    lines += ["Values", *(f"  {r.dataset}  {r.label}: {value(r['mean'])} +- {value(r['stderr'])} (n={r.n})" for r in sorted(stats.collect(), key=lambda r: (r.dataset, r.label)))]
+    return "\n".join(lines)
+
+
+@contextmanager
+def stage(label: str, extra: str = "") -> Iterator[None]:
+    """Logs a stage's label, seconds and remark when it is over."""
+    began = time.perf_counter()
+    try:
+        yield
+    finally:
+        logging.getLogger("gradeflow").info("%s: %.1f s%s", label, time.perf_counter() - began, f", {extra}" if extra else "")
+
+
+def trace_file(provider: str, dataset: str) -> str:
+    """Name of a provider's trace file (fixed value)."""
+    return f"{provider}_{dataset}_traces.jsonl"
+
+
+def pmf_series(shares: DataFrame, series: str) -> DataFrame:
+    """Plot-ready bars of score distributions: (series, bin, percent), a bin without values 0."""
+    return shares.select(F.col(series).alias("series"), "bin", F.coalesce(F.col("share") * 100, F.lit(0.0)).alias("percent"))
 
 
 def series_table(stats: DataFrame, order: list[str]) -> DataFrame:

@@ -8,8 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordering import union_all
+
 PROBLEM = T.StructType([T.StructField(c, T.StringType()) for c in ("example_id", "problem", "solution", "type")])
 RESULT = T.StructType([T.StructField("source", T.StringType()), T.StructField("mode", T.StringType()), T.StructField("beta_s", T.DoubleType()), T.StructField("accuracy", T.DoubleType())])
+TRAIN_INFO = T.StructType(
+    [T.StructField(c, T.StringType()) for c in ("source", "mode", "student")] + [T.StructField(c, T.DoubleType()) for c in ("beta_s", "train_time_s", "accuracy", "lr")]
+    + [T.StructField(c, T.LongType()) for c in ("n_train", "n_holdout", "seed", "num_epochs", "per_device_train_batch_size", "gradient_accumulation_steps", "lora_r")]
+    + [T.StructField("stats", T.StructType([T.StructField(c, T.DoubleType()) for c in ("mean_a", "std_a", "frac_mass_top20")]))]
+)
 TRACE = T.StructType([T.StructField(c, T.StringType()) for c in ("question", "subject", "trace", "reference_answer", "gold_answer", "predicted_answer")] + [T.StructField("correct", T.BooleanType())])
 SCORE = T.StructType([T.StructField("example_id", T.StringType()), T.StructField("method", T.StringType()), T.StructField("trace", T.StringType()), T.StructField("score", T.IntegerType()), T.StructField("feedback", T.StringType())])
 
@@ -17,15 +24,22 @@ _LOADERS: dict[str, Callable[..., DataFrame]] = {}
 
 
 def register(name: str, loader: Callable[..., DataFrame]) -> None:
-    """Makes a problem set known: loader(spark, path) -> (problem, solution, ...)."""
+    """Makes a problem set known: loader(spark, paths) -> (problem, solution, ...)."""
     _LOADERS[name] = loader
 
 
-def load_problems(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """A known problem set; unknown names are a ValueError."""
+def load_problems(spark: SparkSession, name: str, **splits: str | list[str]) -> DataFrame:
+    """(split, problem, solution, type, subset_ord) of a known problem set; unknown names are a ValueError.
+
+    splits: name=path, each split from a place of its own; or name=[paths], subsets one after the other.
+    """
     if name not in _LOADERS:
         raise ValueError(f"unknown dataset {name!r}; known: {', '.join(sorted(_LOADERS))}")
-    return _LOADERS[name](spark, path)
+    out = None
+    for split, paths in splits.items():
+        rows = subsets([_LOADERS[name](spark, p) for p in ([paths] if isinstance(paths, str) else paths)]).withColumn("split", F.lit(split))
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("split", "problem", "solution", "type", "subset_ord")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,14 +102,16 @@ def list_runs(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(rows, "run string, has_results boolean")
 
 
-def subsets(spark: SparkSession, paths: list[str]) -> DataFrame:
+def subsets(frames: list[DataFrame]) -> DataFrame:
     """Problem subsets one after the other, with their order."""
-    out = None
-    for k, p in enumerate(paths):
-        f = spark.read.parquet(p).withColumn("subset_ord", F.lit(k))
-        out = f if out is None else out.unionByName(f, allowMissingColumns=True)
-    return out
+    return union_all(*frames)
+
+
+def _renamed(*names: tuple[str, str]) -> T.StructType:
+    """The fields of a problem as a file names them."""
+    return T.StructType([T.StructField(dict(names).get(f.name, f.name), f.dataType) for f in PROBLEM if f.name != "example_id"])
 
 
-register("question_answer", lambda spark, path: spark.read.json(path).withColumnsRenamed({"question": "problem", "answer": "solution"}))
-register("problem_solution", lambda spark, path: spark.read.json(path))
+# schemas are declared, so that no file is read to find them
+register("question_answer", lambda spark, path: read_json_lines(spark, path, _renamed(("problem", "question"), ("solution", "answer"))).withColumnsRenamed({"question": "problem", "answer": "solution"}))
+register("problem_solution", lambda spark, path: read_json_lines(spark, path, _renamed()))

@@ -95,7 +95,7 @@ def test_json_sources(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         tables.read_traces(spark, str(tmp_path / "v"))
     with pytest.raises(ValueError):
-        tables.load_problems(spark, "nothing", path)
+        tables.load_problems(spark, "nothing", train=path)
     run = tmp_path / "runs" / "real_gemini_math_traces_seed3_20250101_120000"
     run.mkdir(parents=True)
     (run / "results.json").write_text(json.dumps([{"source": "base", "accuracy": 0.5}]))
@@ -105,7 +105,12 @@ def test_json_sources(spark, tmp_path):
     sinks.append_json_lines(spark.range(2), str(tmp_path / "out"))
     sinks.append_json_lines(spark.range(2), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 4
-    assert sinks.manifest(spark.createDataFrame([("train",), ("train",)], "split string"), "split", run="x") == {"run": "x", "split_sizes": {"train": 2}}
+    assert sinks.manifest(spark.createDataFrame([("train",), ("train",)], "split string"), "split", {"teachers": {"standard": True}}, run="x") == {"run": "x", "split_sizes": {"train": 2}, "planned_methods": {"teachers": {"standard": True}}}
+    stats = spark.createDataFrame([("d", "Base", 0.5, 0.25, 2), ("d", "GPT", None, None, 0)], "dataset string, label string, mean double, stderr double, n int")
+    pairs = lambda *rows: spark.createDataFrame(list(rows), "a string, b string")
+    assert sinks.console_summary(pairs(("r", "x")), pairs(), pairs(("m", None)), stats).split("\n") == ["Selected runs: 1", "  r  x", "Fallbacks: 0", "Missing: 1", "  m  -", "Values", "  d  Base: 50.0 +- 25.0 (n=2)", "  d  GPT: - +- - (n=0)"]
+    sinks.write_text(spark, report.summary_json({"stats": stats}, {"seed": 1}), str(tmp_path / "deep" / "summary.json"))
+    assert json.loads((tmp_path / "deep" / "summary.json").read_text())["config"] == {"seed": 1}
 
 
 def test_settings(tmp_path):

@@ -56,7 +56,9 @@ def test_variants_and_tails(spark):
     assert one(spark, "q</think><A>t", lambda x: text.close_thinking(x, "<A>", "!")) == "q</think><A>t\n</think>!"
 
 
-@pytest.mark.parametrize(("a", "b", "same"), [("1/2", "0.5", True), (r"\frac{1}{2}", "50%", True), (r"-\frac{1}{2}", "-0.5", True), ("x", "x", True), ("x", "y", False), ("1/0", "1", False), (None, "1", False), ("3.0", "3", True)])
+@pytest.mark.parametrize(("a", "b", "same"), [("1/2", "0.5", True), (r"\frac{1}{2}", "50%", True), (r"-\frac{1}{2}", "-0.5", True), ("x", "x", True), ("x", "y", False), ("1/0", "1", False), (None, "1", False), ("3.0", "3", True),
+    (r"2\sqrt{3}", r"\sqrt{12}", True), (r"\frac{\sqrt{3}}{2}", r"\sqrt{0.75}", True), (r"1\frac{1}{2}", "1.5", True), ("-1 1/2", "-1.5", True), (r"\frac{\pi}{3}", r"2\pi/6", True), (r"2\pi", "6.28", False), ("1.5e3", "1500", True),
+    (r"1.5 \times 10^{-3}", "0.0015", True), (r"12\%", "0.12", True), (r"\dfrac{-3}{4}", "-.75", True), ("(1 2)", "(1 2)", True), ("(1 2)", "(1 3)", False), (r"\sqrt{2}", "1.41421356", False), ("", "0", False), ("-", "0", False), ("/2", "0.5", False), (r"\frac{x}{2}", r"\frac{x}{2}", True), (r"\frac{x}{2}", "1/2", False)])
 def test_same_answer(spark, a, b, same):
     assert spark.createDataFrame([(a, b)], "a string, b string").select(grading.same_answer(F.col("a"), F.col("b")).alias("y")).first().y is same
 
