@@ -25,7 +25,9 @@ columns don't matter.
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .labelled import id_crc
 from .shared import broadcast, discard, parts_bits, written
-from .textkernel import LOWER, NOT_SPACE, U64, find_words, give_back, hash_spans, mix, slices, text_bytes
+from .textkernel import LOWER, NOT_SPACE, U64, find_words, give_back, hash_spans, mix, slices, text_bytes, trim
 
 #: Tokens of the longest run; least count of a kept run (1 keeps all); base of the quantised counts; weight of the shorter run's probability.
 ORDER, LEAST, BASE, KAPPA = 2, 2, 2.0, 4.0
@@ -309,16 +311,20 @@ def _segment(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[pa.Recor
 class LogFrequencyFilter:
     """Segments of one kind, in a row; reads levels by repeated probes."""
 
-    def __init__(self, segments: list[tuple[int, bytes]], parts_bits: int, first: int) -> None:
+    def __init__(self, sizes: dict[int, int], parts_bits: int, first: int) -> None:
+        """sizes: 64-bit words of each part's segment; ``put`` fills them in, so that the array is held once."""
         self.shift, self.first = 48 - parts_bits, first
         self.n = np.ones(1 << parts_bits, dtype=U64)
-        self.start = np.zeros(1 << parts_bits, dtype=np.int64)
-        data, at = [bytes(8)], 1
-        for part, d in sorted(segments):
-            self.n[part], self.start[part] = len(d) // 8, at
-            data.append(d)
-            at += len(d) // 8
-        self.data = np.frombuffer(b"".join(data), dtype=U64)
+        self.start = np.zeros(1 << parts_bits, dtype=np.int64)  # other parts are at the first word, which is empty
+        at = 1
+        for part, n in sorted(sizes.items()):
+            self.n[part], self.start[part] = n, at
+            at += n
+        self.data = np.zeros(at, dtype=U64)
+
+    def put(self, part: int, segment: bytes) -> None:
+        """Fills a part's segment in."""
+        self.data[self.start[part] : self.start[part] + int(self.n[part])] = np.frombuffer(segment, U64)
 
     def levels(self, keys: np.ndarray, tag: np.uint64 | int = 0) -> np.ndarray:
         """Levels of 48-bit keys; 0: not there."""
@@ -398,31 +404,36 @@ class Block:
         return np.where(self.keys[at] == h, self.counts[at], 0).astype(np.int64)
 
 
-def _ranges(keyed: DataFrame, most_filter_mb: float, first: int) -> list[tuple[int, int]]:
-    """Ranges of parts whose segments take at most ``most_filter_mb``; a part is never cut."""
+def _ranges(keyed: DataFrame, most_filter_mb: float, first: int) -> list[dict[str, dict[int, int]]]:
+    """Sizes of segments by kind and part, for ranges of parts that take at most ``most_filter_mb``; a part is never cut."""
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("part"), pa.array([8.0 * _size(r, first) for r in b.to_pylist()], pa.float64())], names=["part", "n"])
-
-    out, low, held = [], 0, 0.0
-    # a row for each part: 2 ** MOST_BITS at most
-    for r in keyed.mapInArrow(sizes, "part int, n double").groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
-        mb = r.n / 1e6
+            yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("part"), pa.array([_size(r, first) for r in b.to_pylist()], pa.int64())], names=["kind", "part", "n"])
+
+    out, held = [defaultdict(dict)], 0.0
+    # a row for each kind and part: 2 ** MOST_BITS parts at most
+    rows = keyed.mapInArrow(sizes, "kind string, part int, n long").orderBy("part", "kind").collect()
+    for part, own in itertools.groupby(rows, key=lambda r: r.part):
+        own = list(own)
+        mb = sum(r.n for r in own) * 8 / 1e6
         if held and held + mb > most_filter_mb:
-            out.append((low, r.part))
-            low, held = r.part, 0.0
+            out.append(defaultdict(dict))
+            held = 0.0
+        for r in own:
+            out[-1][r.kind][part] = r.n
         held += mb
-    return [*out, (low, 1 << MOST_BITS)]
+    return out
 
 
-def _filters(keyed: DataFrame, low: int, high: int, bits: int, first: int, order: int) -> Filters:
-    """The filters of the parts from ``low`` to below ``high``; the driver holds one block at a time."""
-    found: dict[str, list] = {f"{kind}{k}": [] for k in range(2, order + 1) for kind in ("run", "context")}
-    own = keyed.filter((F.col("part") >= low) & (F.col("part") < high))
+def _filters(keyed: DataFrame, sizes: dict[str, dict[int, int]], bits: int, first: int, order: int) -> Filters:
+    """The filters of one range of parts; the driver holds one block at a time, and that once."""
+    out = {f"{kind}{k}": LogFrequencyFilter(sizes.get(f"{kind}{k}", {}), bits, first) for k in range(2, order + 1) for kind in ("run", "context")}
+    parts = {part for found in sizes.values() for part in found}
+    own = keyed.filter((F.col("part") >= min(parts, default=0)) & (F.col("part") <= max(parts, default=0)))
     for r in own.mapInArrow(lambda it: _segment(it, first), "kind string, part int, n long, data binary").toLocalIterator():
-        found[r.kind].append((r.part, bytes(r.data)))
-    return Filters({kind: LogFrequencyFilter(found.pop(kind), bits, first) for kind in list(found)})
+        out[r.kind].put(r.part, r.data)
+    return Filters(out)
 
 
 def train(docs: DataFrame, bits: int | None = None, most_filter_mb: float = MOST_FILTER_MB, block_words: int = BLOCK_WORDS, flush: int = FLUSH_TOKENS, order: int = ORDER, least: int = LEAST) -> tuple[Model, list]:
@@ -458,7 +469,8 @@ def train(docs: DataFrame, bits: int | None = None, most_filter_mb: float = MOST
         total["v"] += len(c)
     close(1 << 64)
     keyed, first = merged.filter(F.startswith("kind", F.lit("run"))).unionByName(contexts), presence(total["v"])
-    filters = [broadcast(spark, _filters(keyed, a, b, bits, first, order)) for a, b in _ranges(keyed, most_filter_mb, first)]
+    filters = [broadcast(spark, _filters(keyed, sizes, bits, first, order)) for sizes in _ranges(keyed, most_filter_mb, first)]
+    trim()  # the driver's copies went to the broadcasts
     return Model(filters, total["n"], total["v"], order, least), blocks
 
 

@@ -58,10 +58,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def give_back(out: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``out``, and at its end a reused worker's free memory goes back to the system, so that idle workers don't add up."""
     yield from out
+    trim()
+
+
+def trim() -> None:
+    """Gives this process's free memory back to the system."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free:
+        free(0)
 
 
 def slices(raw: np.ndarray, offs: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

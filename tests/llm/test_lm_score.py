@@ -64,7 +64,10 @@ def filter_of(keys, level, first, bits=2):
     rows = [{"kind": "run2", "part": p, "keys": keys[parts == p].tobytes(), "more": b"", "counts": level[parts == p].astype("<u8").tobytes()} for p in range(1 << bits)]
     schema = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("counts", pa.binary())])
     segments = [(r["part"], r["data"]) for b in L._segment(iter([pa.RecordBatch.from_pylist(rows, schema=schema)]), first) for r in b.to_pylist()]
-    return L.LogFrequencyFilter(segments, bits, first)
+    out = L.LogFrequencyFilter({p: len(d) // 8 for p, d in segments}, bits, first)
+    for p, d in segments:
+        out.put(p, d)
+    return out
 
 
 @pytest.mark.parametrize("first", [1, 2, 3])
@@ -153,5 +156,7 @@ def test_filter_blocks_keep_precision(docs):
 
 
 def test_full_segments_end():
-    full = L.LogFrequencyFilter([(p, bytes([255] * 8)) for p in range(4)], 2, 3)
+    full = L.LogFrequencyFilter({p: 1 for p in range(4)}, 2, 3)
+    for p in range(4):
+        full.put(p, bytes([255] * 8))
     assert (full.levels(np.arange(5, dtype=np.uint64)) == L.MOST_LEVEL).all()
