@@ -65,3 +65,16 @@ def test_rows(spark, odd, empty):
     clean = X.decontaminate(odd, table)
     assert clean.columns == odd.columns and clean.count() == sum(not x[-1] for x in brute(rows, bench))
     assert X.decontaminate(odd, table.limit(0)).count() == len(rows)
+
+
+def test_items_that_repeat_and_blocks_of_the_filter(spark, odd, docs):
+    """Rows of one item_id are one item in whatever blocks they come; the filter gives the same for any blocks."""
+    text = docs.orderBy("doc_id").first().text.split(" ")
+    bench = [(7, " ".join(text[3:20])), (8, " ".join(text[30:50])), (7, " ".join(text[40:60])), (None, " ".join(text[3:20])), (9, "cat sat on the mat")]
+    table = spark.createDataFrame(bench, "item_id long, text string").coalesce(1)
+    for df in (docs, odd):
+        rows = [(r.doc_id, r.text) for r in df.collect()]
+        want = brute(rows, bench)
+        assert got(X.find_contamination(df, table)) == want == got(X.find_contamination(df, table, block_words=8))
+        clean = sorted(str(r.doc_id) for r in X.decontaminate(df, table, 8).collect())
+        assert clean == sorted(str(r.doc_id) for r in X.decontaminate(df, table).collect()) == sorted(x[0] for x in want if not x[-1])

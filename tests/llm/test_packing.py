@@ -91,3 +91,9 @@ def test_round_trip(docs, part_rows):
 def test_rows(odd, empty):
     check(odd, packing.pack(odd, PATH), 2048)
     assert packing.pack(empty, PATH).count() == 0
+
+
+def test_gap_is_that_of_all_pieces(spark):
+    rows = [(k, k % 7, 1 + k * 37 % 2048, k // 2) for k in range(60)]
+    packed = spark.createDataFrame(rows, "uid long, piece int, length long, sequence_id long")
+    assert packing.gap(packed) == (30, packing.lower_bound(np.array([r[2] for r in rows]), 2048))

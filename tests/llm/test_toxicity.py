@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import random
+import time
+
+from pyspark.sql import functions as F
 
 from gradeflow.llm import toxicity as X
 
@@ -24,7 +27,7 @@ def corpus(spark, n=900):
 
 def test_folding():
     assert X.fold("Ｉd10t! Уоu аre STU​PID$") == " idiot you are stupids "
-    assert X.fold(None) == X.fold("") == X.fold("?!") == " i " or X.fold(None) == " "
+    assert X.fold(None) == X.fold("") == X.fold("?!") == " "
     assert X.fold("a  b") == " a b "
 
 
@@ -55,3 +58,19 @@ def test_rows(spark, odd, empty):
     none = X.learn(docs, labels.limit(0))
     assert none.entries == {} and {r.predicted for r in X.score_documents(docs, none).collect()} == {0}
     assert X.learn(empty, labels).entries == {}
+
+
+def test_long_text_of_exceptions_takes_linear_time():
+    lexicon = X.Lexicon({"bad": 2.0}, ("bad iuck",))
+    tree, text = lexicon.automaton(), X.fold("bad luck " * 250_000 + "bad day")
+    began = time.perf_counter()
+    assert list(X.matches(tree, text).values()) == [2.0] and time.perf_counter() - began < 20
+
+
+def test_few_toxic_documents_with_words_of_their_own(spark):
+    docs, labels = corpus(spark)
+    rare = docs.filter("doc_id % 6 = 0 and doc_id % 5 = 0").withColumn("text", F.lit("lorem zorkblat ipsum zorkblat dolor amet zorkblat magna"))
+    docs = docs.join(rare, "doc_id", "left_anti").unionByName(rare)
+    lexicon = X.learn(docs, labels)
+    got = X.score_documents(rare, lexicon).select("predicted").distinct().collect()
+    assert [r.predicted for r in got] == [1]
