@@ -115,10 +115,14 @@ def exact_dedup(docs: DataFrame, state: str | None = None, corpus: DataFrame | N
     """
     folder = state or shared_folder(docs.sparkSession, "dedup")
     table, stream = digests(docs, f"{folder}/rows", trigger_bytes)
-    found = table.join(digest_state(stream, folder), "digest").select("doc_id", "content", "digest", "keep_id", "locator", "group_size")
-    # texts of the hits and of what they are compared with only
-    wanted = found.filter("group_size > 1")
-    places = wanted.select("doc_id", "content", "digest", "keep_id", "locator", "group_size").unionByName(wanted.select(F.col("keep_id").alias("doc_id"), F.col("locator").alias("content"), "digest", "keep_id", "locator", "group_size")).distinct()
+    entries = digest_state(stream, folder)
+    # texts of the hits and of what they are compared with only; places are told apart before they meet the entries, as a group that is
+    # dealt by its digest could not be split for it afterwards
+    several = entries.filter("group_size > 1")
+    if state:  # entries that no row of this call meets
+        several = several.join(table.select("digest").distinct(), "digest", "left_semi")
+    retained = several.select(F.col("keep_id").alias("doc_id"), F.col("locator").alias("content"), "digest")
+    places = table.unionByName(retained).distinct().join(several, "digest")
     texts = (corpus if corpus is not None else docs).select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
     texts = texts.withColumn("_content", _content(F.col("text")))
     at = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content"))
@@ -129,7 +133,7 @@ def exact_dedup(docs: DataFrame, state: str | None = None, corpus: DataFrame | N
     salted = hits.select("digest", "norm", F.pmod(F.xxhash64("doc_id"), copies).cast("int").alias("salt"))
     compared = salted.join(held, ["digest", "salt"], "left")
     wrong = written(compared.filter(~F.col("norm").eqNullSafe(F.col("held"))).select("digest").distinct(), "dedup-collisions")
-    answer = found.select("doc_id", "digest", "keep_id", "group_size")
+    answer = table.join(entries, "digest").select("doc_id", "digest", "keep_id", "group_size")
     if not wrong.isEmpty():
         answer = answer.join(wrong, "digest", "left_anti").unionByName(_by_text(hits.join(wrong, "digest", "left_semi")))
     return answer.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
