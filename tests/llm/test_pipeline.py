@@ -7,11 +7,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registered
-from gradeflow.llm import queries
+from gradeflow.llm import queries, toxicity
 from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_exact_dedup import brute as exact
 from tests.llm.test_near_dedup import brute as near
 from tests.llm.test_packing import check
+from tests.llm.test_toxicity import brute as toxic_score
+from tests.llm.test_toxicity import corpus
 from tests.test_queries import rows
 
 
@@ -41,6 +43,14 @@ def test_stages_by_brute_force(spark, data, tmp_path):
         docs = kept
 
 
+def test_toxicity_stage_by_brute_force(spark, tmp_path):
+    docs, labels = corpus(spark)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    kept, lexicon = sorted(r.doc_id for r in corpus_pipeline.without_toxic(spark, docs, str(tmp_path)).collect()), toxicity.learn(docs, labels)
+    assert kept == sorted(r.doc_id for r in docs.collect() if toxic_score(lexicon, r.text) < 0.7)
+    assert 0 < len(kept) < docs.count()
+
+
 def test_odd_rows(spark, odd, empty, data, tmp_path):
     for k, df in enumerate((odd, empty)):
         folder = tmp_path / str(k)

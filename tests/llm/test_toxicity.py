@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import math
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from gradeflow.llm import toxicity as X
@@ -25,6 +27,15 @@ def corpus(spark, n=900):
     return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*labels, (5, None), (None, 1)], "doc_id long, toxic int")
 
 
+def brute(lexicon, text):
+    """The score, word by word."""
+    words = X.fold(text).split()
+    free = {i + k for p in map(str.split, lexicon.exceptions) for i in range(len(words)) if words[i : i + len(p)] == p for k in range(len(p))}
+    heaviest = (max((x for e, x in lexicon.entries.items() if f"{w} ".startswith(e)), default=0.0) for k, w in enumerate(words) if k not in free)
+    dense = math.log1p(100 * sum(heaviest) / (len(words) + X.PRIOR_WORDS))
+    return 1 / (1 + math.exp(-max(-50, min(50, lexicon.slope * dense + lexicon.offset))))
+
+
 def test_folding():
     assert X.fold("Ｉd10t! Уоu аre STU​PID$") == " idiot you are stupids "
     assert X.fold(None) == X.fold("") == X.fold("?!") == " "
@@ -48,6 +59,18 @@ def test_learned_lexicon(spark):
     assert X.drop_toxic(docs, lexicon).count() == X.score_documents(docs, lexicon).filter("predicted = 0").count()
 
 
+def test_scores_equal_brute_force(spark, data):
+    made, labels = corpus(spark)
+    docs, own = (spark.read.parquet(f"{data}/../sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    for rows, lexicon in ((made, X.learn(made, labels, ["magna snarkle"])), (docs, X.learn(docs, own))):
+        assert lexicon.entries
+        texts = {r.doc_id: r.text for r in rows.collect()}
+        got = X.score_documents(rows, lexicon).collect()
+        assert len(got) == rows.count() and {r.predicted for r in got} == {0, 1}
+        for r in got:
+            assert r.score == pytest.approx(brute(lexicon, texts[r.doc_id]), abs=1e-9) and r.predicted == (r.score >= 0.7)
+
+
 def test_rows(spark, odd, empty):
     docs, labels = corpus(spark, 300)
     lexicon = X.learn(docs, labels)
