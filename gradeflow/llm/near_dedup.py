@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, joined
 from .shared import discard, keep_rows, written
 from .textkernel import LOWER, NOT_SPACE, U64, find_words, give_back, hash_spans, mix, slices, text_bytes, windows
 
@@ -348,19 +348,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     entries = table.select("uid", "size", "bands").join(members.filter("uid = node"), "uid").select("node", "size", F.explode("bands").alias("bucket"))
     buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node", "size")).alias("rep")).filter("n > 1")
     filled = written(entries.join(buckets, "bucket").select("bucket", "node", "size", "n", F.col("rep.node").alias("rep"), F.col("rep.size").alias("rep_size")), "buckets")
-    links = _verified(_star(filled, threshold), table, threshold, size)
-    labels = components(links)
+    labels = components(_verified(_star(filled, threshold), table, threshold, size))
+    apart = None
     for turn in range(PIVOT_ROUNDS):
-        pairs = _pivots(_apart(filled.filter(F.col("n") > SMALL), labels), turn, threshold)
+        if apart is None:
+            apart = _apart(filled.filter(F.col("n") > SMALL), labels)
+        pairs = _pivots(apart, turn, threshold)
         if pairs.isEmpty():
             break
-        links = links.unionByName(_verified(pairs, table, threshold, size))
-        labels = components(links)
+        before, labels = labels, joined(labels, _verified(pairs, table, threshold, size))
+        apart = apart if labels is before else None
     if exact:
         apart = _apart(filled, labels)
-        for kind in (_small_rest, _large_rest):
-            links = links.unionByName(kind(apart, table, threshold, size))
-        labels = components(links)
+        labels = joined(labels, _small_rest(apart, table, threshold, size).unionByName(_large_rest(apart, table, threshold, size)))
     placed = table.select("uid", "doc_id", "text_key").join(members, "uid", "left").join(labels, "node", "left").select("uid", "doc_id", "text_key", F.coalesce("comp", "node", "uid").alias("comp"))
     placed = written(placed, "placed")
     named = placed.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("low"))

@@ -9,7 +9,7 @@ import pytest
 
 from gradeflow.llm import near_dedup as X
 from gradeflow.llm import textkernel as K
-from gradeflow.llm.components import components
+from gradeflow.llm.components import components, joined
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -130,3 +130,27 @@ def test_template_group_in_one_bucket(spark, monkeypatch, block_rows):
     want = brute(rows)
     assert len({c for _, c, _ in want}) == 300
     assert got(X.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == want
+
+
+def test_components_after_more_links(spark):
+    """Links that come later lead to the components of all links at once; nodes may be new, links may repeat or join nothing."""
+    rng = np.random.default_rng(5)
+    sets = [[tuple(map(int, x)) for x in rng.integers(0, 400, (n, 2)) if x[0] != x[1]] for n in (150, 60, 40)]
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    as_set = lambda df: sorted((r.node, r.comp) for r in df.collect())
+    labels = components(table(sets[0]))
+    assert joined(labels, table(sets[0][:20])) is labels and joined(labels, table([])) is labels
+    for more in sets[1:]:
+        labels = joined(labels, table([*more, *more]))
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in (y for x in sets for y in x):
+        p, q = sorted((root(a), root(b)))
+        up[q] = p
+    assert as_set(labels) == sorted((x, root(x)) for x in up)
+    assert components(table([])).count() == 0
