@@ -20,6 +20,22 @@ def penalty(x: Column, kind: str, beta: float = 1.0) -> Column:
     raise ValueError(f"unknown transform {kind!r}")
 
 
+def ordered_bits(x: Column) -> Column:
+    """A double as a long that sorts as it does: its bits, of negative ones less than zero. Both zeros are 0, NaN is largest.
+
+    Spark has no function for a double's bits; powers of two are exact, and so is what is multiplied by them.
+    """
+    size = F.abs(x)
+    guess = F.floor(F.log2(size))
+    power = lambda e: F.pow(F.lit(2.0), e.cast("double"))
+    e = F.when(power(guess) > size, guess - 1).when(power(guess + 1) <= size, guess + 1).otherwise(guess)
+    whole = F.lit(float(1 << 52))
+    normal = (e + 1023).cast("long") * F.lit(1 << 52) + ((size * power(-e) - 1) * whole).cast("long")
+    tiny = (size * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")
+    bits = F.when(F.isnan(x), F.lit((2047 << 52) + 1)).when(size == F.lit(float("inf")), F.lit(2047 << 52)).when(size == 0, F.lit(0)).when(size < F.lit(2.0**-1022), tiny).otherwise(normal)
+    return F.when(x.isNotNull(), F.when((x < 0) & ~F.isnan(x), -bits).otherwise(bits))
+
+
 def to_percent(x: Column) -> Column:
     """Times 100."""
     return x * 100

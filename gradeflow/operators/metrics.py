@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import FLOOR
+from ..sources.scratch import written
+from .selection import SMALL, find_cuts, in_cell, number_digits
 
 
 def accuracy(correct: Column) -> Column:
@@ -34,27 +38,24 @@ def pmf(df: DataFrame, keys: Sequence[str], score: str, bins: Sequence[int]) ->
     return full.withColumn("share", F.try_divide(F.col("n"), F.sum("n").over(Window.partitionBy(*keys))))
 
 
-#: Ranges of values that rows are counted by to find the largest.
-RANGES = 4096
+def moments_and_mass(df: DataFrame, keys: Sequence[str], x: str, tiebreak: str, share: float = 0.2, small: int = SMALL) -> DataFrame:
+    """(keys, mean, std of the population, top share of the mass, n): the largest int(share * n) values, one at least. Null values don't count.
 
-
-def moments_and_mass(df: DataFrame, keys: Sequence[str], x: str, tiebreak: str, share: float = 0.2) -> DataFrame:
-    """(keys, mean, std of the population, top share of the mass, n): the largest int(share * n) values, one at least.
-
-    Values are summed up by range first; only those of the range that the cut falls into are put in order.
+    Values are written once. The cut is found by radix refinement over their ordered bits (see ``selection``): rows are put in order only within
+    a cell of ``small`` rows at most, and not at all where a cell's values are all equal.
     """
-    keys, v = list(keys), F.col(x)
-    stats = df.groupBy(*keys).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.count(F.lit(1)).alias("n"), F.sum(x).alias("_sum"), F.min(x).alias("_low"), F.max(x).alias("_high"))
-    stats = stats.withColumn("_k", F.greatest(F.lit(1), F.floor(F.col("n") * share)))
-    range_ = F.when(F.col("_high") > F.col("_low"), F.floor((v - F.col("_low")) / (F.col("_high") - F.col("_low")) * RANGES)).otherwise(F.lit(0)).cast("int")
-    rows = df.select(*keys, x, tiebreak).join(stats.select(*keys, "_low", "_high", "_k"), keys).withColumn("_range", range_)
-    above = Window.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)  # over RANGES + 1 rows a group at most
-    ranges = rows.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_m"), F.sum(x).alias("_s"), F.first("_k").alias("_k"))
-    ranges = ranges.withColumns({"_above": F.coalesce(F.sum("_m").over(above), F.lit(0)), "_sum_above": F.coalesce(F.sum("_s").over(above), F.lit(0.0))})
-    cut = ranges.filter((F.col("_above") < F.col("_k")) & (F.col("_above") + F.col("_m") >= F.col("_k"))).select(*keys, "_range", "_above", "_sum_above")
-    inside = rows.join(cut, [*keys, "_range"]).withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(x), tiebreak)))
-    top = inside.filter(F.col("_r") <= F.col("_k") - F.col("_above")).groupBy(*keys).agg((F.first("_sum_above") + F.sum(x)).alias("_top"))
-    return stats.join(top, keys).select(*keys, "mean", "std", (F.col("_top") / F.greatest(F.col("_sum"), F.lit(1e-12))).alias("top_mass"), "n")
+    keys = list(keys)
+    rows = written(df.filter(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias(x), tiebreak), "weights")
+    stats = rows.groupBy(*(F.col(c).alias(f"_stat_{c}") for c in keys)).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.count(F.lit(1)).alias("n"), F.sum(x).alias("_sum"))
+    cuts, digits = find_cuts(rows, keys, lambda n: F.greatest(F.lit(1), F.floor(n * share)), number_digits(F.col(x), descending=True), measure=x, small=small)
+    few = (F.col("_cell") > F.col("_need")) & (F.col("_cell") <= small)
+    w = Window.partitionBy(*(f"_cut_{c}" for c in keys)).orderBy(F.desc(x), tiebreak)
+    inside = in_cell(rows, cuts.filter(few), keys, digits).withColumn("_r", F.row_number().over(w)).filter("_r <= _need")
+    partial = inside.groupBy(*(F.col(f"_cut_{c}").alias(f"_part_{c}") for c in keys)).agg(F.sum(x).alias("_part"))
+    same = lambda a, b: reduce(and_, (F.col(f"{a}_{c}").eqNullSafe(F.col(f"{b}_{c}")) for c in keys), F.lit(True))
+    top = F.col("_above") + F.when(F.col("_cell") <= F.col("_need"), F.col("_in")).otherwise(F.coalesce("_part", F.col("_in") / F.col("_cell") * F.col("_need")))
+    out = stats.join(cuts, same("_stat", "_cut")).join(partial, same("_stat", "_part"), "left")
+    return out.select(*(F.col(f"_stat_{c}").alias(c) for c in keys), "mean", "std", (top / F.greatest(F.col("_sum"), F.lit(1e-12))).alias("top_mass"), "n")
 
 
 def mean_one(df: DataFrame, keys: Sequence[str], x: str, out: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import formats, numbers, prompts, text
 from ..operators import grading, metrics, ordering, report, runs
-from ..sources import sinks, tables
+from ..sources import scratch, sinks, tables
 from ..sources.tables import table
 from ..streaming.incremental import windowed_counts as counts_by_window
 
@@ -386,7 +386,7 @@ def masked_loss(spark: SparkSession, d: str) -> DataFrame:
 
 def problem_files(spark: SparkSession, d: str) -> DataFrame:
     """Problem sets written as JSON lines and loaded by split, subset after subset."""
-    folder = sinks.scratch_folder(spark, "problems")
+    folder = scratch.folder(spark, "problems")
     rows = table(spark, d, "orders").select(F.concat(F.lit("q"), "o_orderkey").alias("question"), F.concat(F.lit("#### "), "o_custkey").alias("answer"), F.col("o_orderpriority").alias("type"), F.col("o_orderstatus").alias("status"))
     for status in ("F", "O", "P"):
         sinks.write_json_lines(rows.filter(F.col("status") == status).drop("status"), f"{folder}/{status}")
@@ -396,7 +396,7 @@ def problem_files(spark: SparkSession, d: str) -> DataFrame:
 
 def trace_files(spark: SparkSession, d: str) -> DataFrame:
     """Traces appended as JSON lines, rewritten as a whole, read by stem, with keys done so far and a JSON array."""
-    folder = sinks.scratch_folder(spark, "traces")
+    folder = scratch.folder(spark, "traces")
     path = f"{folder}/{sinks.trace_file('gemini', 'math')}"
     rows = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("question"), F.col("role").alias("subject"), (F.col("turn") % 2 == 0).alias("correct"))
     for role in ("user", "assistant", "system"):

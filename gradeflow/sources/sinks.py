@@ -12,6 +12,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import store
+
 
 def write_json_lines(df: DataFrame, path: str) -> None:
     """A row a line, in as many files as tasks."""
@@ -28,15 +30,10 @@ def to_json_array(df: DataFrame) -> str:
     return json.dumps([json.loads(r) for r in df.toJSON().toLocalIterator()], indent=2)
 
 
-def _store(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
 def write_text(spark: SparkSession, text: str, path: str) -> None:
     """A small file, in whatever store Spark can reach; folders on the way are made."""
-    store, at = _store(spark, path)
-    out = store.create(at, True)
+    fs, at = store(spark, path)
+    out = fs.create(at, True)
     try:
         out.write(bytearray(text.encode()))
     finally:
@@ -52,18 +49,12 @@ def rewrite_json_lines(df: DataFrame, path: str) -> None:
     """Replaces what is at ``path``, which ``df`` may read: written beside it as a whole, then put in its place."""
     spark, beside = df.sparkSession, f"{path.rstrip('/')}-{uuid.uuid4().hex}"
     df.write.json(beside)
-    store, at = _store(spark, path)
-    store.delete(at, True)
-    if not store.rename(_store(spark, beside)[1], at):
+    fs, at = store(spark, path)
+    fs.delete(at, True)
+    if not fs.rename(store(spark, beside)[1], at):
         raise OSError(f"{beside} could not be renamed to {path}")
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder path that driver and executors share: in ``spark.checkpoint.dir``, or else the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def manifest(splits: DataFrame, split: str, planned: dict | None = None, **facts) -> dict:
     """Facts of a run with the sizes of its splits and the planned methods: {"teachers": {...}, "students": {"modes": [...], "beta_s_values": [...]}}."""
     sizes = {r[split]: r["count"] for r in splits.groupBy(split).count().orderBy(split).collect()}
