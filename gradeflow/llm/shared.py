@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -10,6 +9,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+from ..sources.scratch import delete
+
 #: Most buckets of a written table (Spark's own limit is 100,000).
 MOST_BUCKETS = 100_000
 #: Folders and broadcasts of the innermost ``temporary`` block.
@@ -17,18 +19,8 @@ _made: list[list] = []
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder path under ``spark.checkpoint.dir``.
-
-    Where that setting is missing in a session on this machine alone (tests, a laptop), a temporary folder is made the
-    session's checkpoint folder; on a cluster executors couldn't share it, so the setting must be there.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gradeflow-"))
-        root = spark.sparkContext.getCheckpointDir()
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder path that driver and executors share (see ``scratch``), deleted with the ``temporary`` block around it or else when the process ends."""
+    path = scratch.folder(spark, name)
     if _made:
         _made[-1].append(path)
     return path
@@ -56,21 +48,10 @@ def bucketed(df: DataFrame, key: str, keys: int, name: str) -> DataFrame:
     return out
 
 
-def _store(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever store it is."""
-    store, at = _store(spark, path)
-    return store.exists(at)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Deletes a folder, in whatever store it is."""
-    store, at = _store(spark, path)
-    store.delete(at, True)
+    fs, at = scratch.store(spark, path)
+    return fs.exists(at)
 
 
 def discard(df: DataFrame) -> None:
