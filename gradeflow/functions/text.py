@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Patterns and markers that results depend on.
 BOX = r"\boxed{"
@@ -29,13 +33,20 @@ def bind(x: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), use), F.lit(0))
 
 
+def kept(x: Column) -> Column:
+    """``x`` as a column that doesn't count as deterministic: the optimizer copies an expression to every place where it is used together
+    with a Python function, however dear it is, but not such a one."""
+    return F.when(F.monotonically_increasing_id() >= 0, x)
+
+
 def _inside(depth: int) -> str:
     """Pattern of text whose braces are balanced, up to a depth; nothing is tried twice."""
     return r"[^{}]*+" + (rf"(?:\{{{_inside(depth - 1)}\}}[^{{}}]*+)*+" if depth else "")
 
 
-#: Depth of braces that the pattern of a box follows; texts with more opening braces take the general way.
+#: Depth of braces that the pattern of a box follows; texts with boxes that it doesn't close take the general way.
 DEPTH = 8
+BRACE = re.compile(r"\\boxed\{|[{}]", re.IGNORECASE)
 
 
 def boxed_spans(text: Column) -> Column:
@@ -43,32 +54,28 @@ def boxed_spans(text: Column) -> Column:
     # the content is looked ahead at, so the next search starts inside it
     quick = F.regexp_extract_all(text, F.lit(rf"(?i)(?=\\boxed\{{({_inside(DEPTH)})\}})\\boxed\{{"), 1)
     braces = F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
-    return F.when(braces <= DEPTH + 1, quick).otherwise(_deep_spans(text))
-
-
-def _deep_spans(text: Column) -> Column:
-    """The same for any depth: every box's rest is folded over its closing braces."""
-    pieces = F.split(text, r"(?i)(?=\\boxed\{)")
-    rests = F.transform(pieces, lambda p, i: F.when(F.lower(p).startswith(BOX), F.substring(F.array_join(F.slice(pieces, i + 1, F.size(pieces)), ""), len(BOX) + 1, 1 << 30)))
-    return F.filter(F.transform(F.filter(rests, lambda r: r.isNotNull()), _closed), lambda c: c.isNotNull())
-
-
-def _closed(rest: Column) -> Column:
-    """``rest`` up to the brace that closes depth one; null where none does."""
+    deep = (braces > DEPTH + 1) & (F.regexp_count(text, F.lit(r"(?i)\\boxed\{")) > F.size(quick))
+    return F.coalesce(_deep_spans(F.when(deep, text)), quick)
 
-    def fold(parts: Column) -> Column:
-        # after part k the depth is 1 + opening braces so far - (k + 1) closing ones
-        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("seen"), F.lit(-1).alias("at"))
 
-        def step(s: Column, p: Column) -> Column:
-            depth = s["depth"] + F.length(p) - F.length(F.replace(p, F.lit("{"), F.lit(""))) - 1
-            return F.struct(depth.alias("depth"), (s["seen"] + 1).alias("seen"), F.when((s["at"] < 0) & (depth == 0), s["seen"]).otherwise(s["at"]).alias("at"))
+def closed_boxes(text: str) -> list[str]:
+    """The same for any depth, in one pass with a stack of open braces."""
+    stack, spans = [], []
+    for m in BRACE.finditer(text):
+        if m[0] != "}":
+            stack.append((m.end(), len(m[0]) > 1))
+        elif stack and (opened := stack.pop())[1]:
+            spans.append((opened[0], m.start()))
+    return [text[a:b] for a, b in sorted(spans)]
 
-        # the last part follows the last closing brace, so it closes nothing
-        at = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), start, step)["at"]
-        return bind(at, lambda k: F.when(k >= 0, F.array_join(F.slice(parts, 1, k + 1), "}")))
 
-    return bind(F.split(rest, r"\}"), fold)
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _deep_spans(texts: pa.Array) -> pa.Array:
+    """``closed_boxes`` of the texts that the pattern doesn't serve; null for the others, which stay in the JVM."""
+    out: list[list[str] | None] = [None] * len(texts)
+    for k in np.flatnonzero(np.asarray(texts.is_valid())):
+        out[k] = closed_boxes(texts[k].as_py())
+    return pa.array(out, pa.list_(pa.string()))
 
 
 def has_complete_box(text: Column) -> Column:
@@ -120,6 +127,17 @@ def without_units(span: Column) -> Column:
     return F.when(F.regexp_like(span, F.lit(SIMPLE)), span).otherwise(full)
 
 
+def comparable(s: Column) -> Column:
+    """An answer as it is compared: without units, outer quotes, trailing backslashes and a leading "answer:"; commas stay, since they may part it."""
+    whole = lambda x: F.regexp_replace(F.regexp_replace(strip_units(x), r"""^['"]+|['"]+$""", ""), r"(?i)^\s*answer\s*:\s*", "")
+    return F.when(F.regexp_like(s, F.lit(SIMPLE)), s).otherwise(bind(s, lambda x: F.trim(F.regexp_replace(whole(x), r"\\+$", ""))))
+
+
+def given_answer(text: Column, real: Column) -> Column:
+    """Last of the real spans as it stands, or else the number at the end of the text."""
+    return F.when(F.length(text) > 0, F.when(F.size(real) > 0, F.get(real, F.size(real) - 1)).otherwise(numeric_fallback(text)))
+
+
 def answer_of(text: Column, real: Column) -> Column:
     """Last of the real spans, without units (null if nothing is left); where there is none, the number at the end of the text."""
     return F.when(F.length(text) > 0, F.when(F.size(real) > 0, without_units(F.get(real, F.size(real) - 1))).otherwise(numeric_fallback(text)))
@@ -130,12 +148,19 @@ def extract_answer(text: Column) -> Column:
     return bind(real_spans(boxed_spans(text)), lambda real: answer_of(text, real))
 
 
-def with_answer(df: DataFrame, text: Column, out: str, spans: str | None = None) -> DataFrame:
-    """``df`` with the answer in a text, and with ``spans`` all its boxes: spans are found once, in a column of their own."""
-    found = spans or f"_{out}_spans"
-    rows = df.withColumn(found, boxed_spans(text)).withColumn(f"_{out}_real", real_spans(F.col(found)))
-    rows = rows.withColumn(out, answer_of(text, F.col(f"_{out}_real"))).drop(f"_{out}_real")
-    return rows if spans else rows.drop(found)
+def with_answer(df: DataFrame, text: Column, out: str | None, spans: str | None = None, given: str | None = None, found: str | None = None) -> DataFrame:
+    """``df`` with the answer in a text (``out``), all its boxes (``spans``), and the answer as it is compared (``given``), as far as they are named.
+
+    Spans are found once, in a column of their own, unless they are there already (``found``).
+    """
+    own = ["_own_spans", "_own_real", "_own_given"]
+    rows = df if found else df.withColumn(spans or own[0], kept(boxed_spans(text)))
+    rows = rows.withColumn(own[1], real_spans(F.col(found or spans or own[0])))
+    if out:
+        rows = rows.withColumn(out, answer_of(text, F.col(own[1])))
+    if given:
+        rows = rows.withColumn(own[2], given_answer(text, F.col(own[1]))).withColumn(given, comparable(F.col(own[2])))
+    return rows.drop(*own)
 
 
 def trace_variants(trace: Column) -> Column:

@@ -1,113 +1,83 @@
 """Grades of traces against solutions.
 
-Equality has two native tiers: the same normal form, or the same value. Values are those of plain numbers, ratios, percentages, powers of ten,
-fractions, mixed numbers, and products of a number, a square root and pi (also over a number). There is no computer-algebra tier: answers
-with variables, sums of roots, intervals and the like are equal only if their normal forms are.
+Equality has three tiers. Equal texts, plain numbers (compared exactly as canonical decimals of any length) and small ratios (cross-multiplied) are decided
+in columns. All else goes to ``functions.algebra``: typed answers (numbers and expressions, tuples, intervals, sets, unions) and
+identity testing of expressions. There is no tolerance but for roots and functions.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.algebra import any_equal
 
-DECIMAL = "decimal(38,10)"
-_N = r"\d+(?:\.\d*)?|\.\d+"
-PLAIN, RATIO = rf"^[-+]?(?:{_N})$", r"^([-+]?\d+)\s*/\s*(\d+)$"
-MIXED = r"^([-+]?)(\d+)\s+(\d+)\s*/\s*(\d+)$"
-POWER = rf"^([-+]?(?:{_N}))\s*(?:[eE]|(?:\\times|\\cdot|\*|x)\s*10\s*\^)\s*\{{?([-+]?\d{{1,3}})\}}?$"
-PRODUCT = rf"^([-+]?)({_N})?\s*(?:(?:\\cdot|\*)\s*)?(?:\\sqrt\{{({_N})\}})?\s*(\\pi)?(?:\s*/\s*({_N}))?$"
-FRACTION = rf"^([-+]?)(\d+)?\s*\\[dt]?frac\{{((?:[^{{}}]|\{{[^{{}}]*\}})+)\}}\{{({_N})\}}\s*(\\pi)?$"
-
-
-def as_number(s: Column) -> Column:
-    """Value of an answer, or null. What isn't a plain number is looked at in a lambda, which keeps it out of the compiled code."""
-    return F.when(F.regexp_like(s, F.lit(PLAIN)), _number(s)).when(s.isNotNull(), T.bind(F.trim(s), _general))
-
-
-def _general(t: Column) -> Column:
-    percent = F.when(F.endswith(t, F.lit("%")), F.lit(100.0)).otherwise(F.lit(1.0))
-    return T.bind(F.regexp_replace(t, r"\s*\\?%$", ""), _value) / percent
-
-
-def _number(x: Column) -> Column:
-    return x.try_cast(DECIMAL).cast("double")
+PLAIN = r"^[-+]?(?:\d+(?:\.\d*)?|\.\d+)$"
+#: Short numbers and their ratios to whole numbers: products of two are exact decimals.
+RATIO = r"^[-+]?\d{1,9}(?:\.\d{0,9})?(?:\s*/\s*\d{1,9})?$"
 
 
-def _part(t: Column, pattern: str, k: int, absent: float = 1.0) -> Column:
-    """A number among the groups of a pattern."""
-    found = F.regexp_extract(t, pattern, k)
-    return F.when(found == "", F.lit(absent)).otherwise(_number(found))
+def canonical(plain: Column) -> Column:
+    """A plain number without needless zeros and signs: equal numbers have equal forms, of any length."""
+    return F.regexp_replace(F.regexp_replace(plain, r"^(?:\+|(-))?0*(\d*)(?:(\.\d*[1-9])0*|\.?0*)$", "$1$2$3"), "^-$", "")
 
 
-def _sign(t: Column, pattern: str) -> Column:
-    return F.when(F.startswith(t, F.lit("-")), F.lit(-1.0)).otherwise(F.lit(1.0))
+def _parts(ratio: Column) -> tuple[Column, Column]:
+    at = lambda k: F.trim(F.split_part(ratio, F.lit("/"), F.lit(k)))
+    return at(1).try_cast("decimal(18,9)"), F.coalesce(at(2).try_cast("decimal(9,0)"), F.lit(1).cast("decimal(9,0)"))
 
 
-def _pi(t: Column, pattern: str, k: int) -> Column:
-    return F.when(F.regexp_extract(t, pattern, k) != "", F.lit(math.pi)).otherwise(F.lit(1.0))
+def decided(a: Column, b: Column) -> Column:
+    """Whether two answers are equal where columns can tell; null where they can't or one is null."""
+    both = lambda pattern: F.regexp_like(a, F.lit(pattern)) & F.regexp_like(b, F.lit(pattern))
+    (n, d), (m, e) = _parts(a), _parts(b)
+    return F.when(a == b, F.lit(True)).when(both(PLAIN), canonical(a) == canonical(b)).when(both(RATIO) & (d != 0) & (e != 0), n * e == m * d)
 
 
-def _product(t: Column) -> Column:
-    value = _sign(t, PRODUCT) * _part(t, PRODUCT, 2) * F.sqrt(_part(t, PRODUCT, 3)) * _pi(t, PRODUCT, 4)
-    something = F.regexp_like(t, F.lit(r"^[-+]?\s*(?:\d|\.\d|\\sqrt|\\pi)"))
-    return F.when(something & F.regexp_like(t, F.lit(PRODUCT)), F.try_divide(value, _part(t, PRODUCT, 5)))
-
-
-def _value(t: Column) -> Column:
-    numerator = F.regexp_extract(t, FRACTION, 3)
-    fraction = _sign(t, FRACTION) * (_part(t, FRACTION, 2, 0.0) + F.try_divide(_product(F.trim(numerator)), _part(t, FRACTION, 4))) * _pi(t, FRACTION, 5)
-    return (
-        F.when(F.regexp_like(t, F.lit(PLAIN)), _number(t))
-        .when(F.regexp_like(t, F.lit(RATIO)), F.try_divide(_part(t, RATIO, 1), _part(t, RATIO, 2)))
-        .when(F.regexp_like(t, F.lit(FRACTION)), fraction)
-        .when(F.regexp_like(t, F.lit(POWER)), _part(t, POWER, 1) * F.pow(F.lit(10.0), _part(t, POWER, 2)))
-        .when(F.regexp_like(t, F.lit(MIXED)), _sign(t, MIXED) * (_part(t, MIXED, 2) + F.try_divide(_part(t, MIXED, 3), _part(t, MIXED, 4))))
-        .otherwise(_product(t))
-    )
+def wanted(gold: Column) -> Column:
+    """A gold answer as it is compared."""
+    return T.comparable(gold)
 
 
-def wanted(gold: Column) -> Column:
-    """Normal form of a gold answer, without units."""
-    full = T.bind(gold, lambda g: T.normalize_answer(T.strip_units(g)))
-    return F.when(F.regexp_like(gold, F.lit(T.SIMPLE)), gold).otherwise(full)
+def _asked(known: list[Column], answers: list[Column], want: Column) -> Column:
+    """Answers that columns can't decide; null if there are none, or if one is known to be right: such rows don't leave the JVM."""
+    open_ = F.filter(F.array(*(F.when(k.isNull() & want.isNotNull(), a) for k, a in zip(known, answers, strict=True))), lambda a: a.isNotNull())
+    return F.when(~_right(known), F.nullif(open_, F.array().cast("array<string>")))
 
 
-def _close(x: Column, y: Column) -> Column:
-    return F.abs(x - y) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(x), F.abs(y))
+def _right(known: list[Column]) -> Column:
+    return F.coalesce(F.greatest(*known) if len(known) > 1 else known[0], F.lit(False))
 
 
 def same_answer(a: Column, b: Column) -> Column:
     """Whether two answers are equal; false if either is null."""
-    return F.coalesce(F.when(a == b, F.lit(True)).otherwise(_close(as_number(a), as_number(b))), F.lit(False))
-
-
-def is_correct(trace: Column, gold: Column) -> Column:
-    """Whether any variant of the trace has an answer equal to the gold one."""
-    answers = F.transform(T.trace_variants(trace), T.extract_answer)
-    right = T.bind(T.normalize_answer(T.strip_units(gold)), lambda want: F.exists(answers, lambda a: same_answer(a, want)))
-    return F.coalesce(right, F.lit(False))
+    known = decided(a, b)
+    return F.coalesce(known, any_equal(F.when(known.isNull() & b.isNotNull(), F.array(a)), b), F.lit(False))
 
 
 def grade(df: DataFrame, trace: str, gold: str, prefix: str) -> DataFrame:
     """``df`` with {prefix}_extracted_answer and {prefix}_correct, found independently; both null where there is no trace.
 
-    As ``extract_answer`` and ``is_correct``, but in columns: spans and answers of the trace's variants (three at most) and the gold one's value
-    are worked out once, without lambdas.
+    Right is a trace of which any variant (three at most) has an answer equal to the gold one. Every step is a column of its own, so nothing is worked out twice.
     """
-    there, out, names = F.col(trace).isNotNull(), f"{prefix}_extracted_answer", ["_variants", "_want", "_want_value", "_v1", "_v2"]
-    rows = T.with_answer(df, F.col(trace), out).withColumn("_variants", T.trace_variants(F.col(trace))).withColumn("_want", wanted(F.col(gold)))
-    rows = rows.withColumn("_want_value", as_number(F.col("_want")))
-    right = F.lit(False)
-    for k, answer in enumerate((out, "_v1", "_v2")):
-        if k:
-            rows = T.with_answer(rows, F.get("_variants", F.lit(k)), answer)
-        own = F.when(F.col(answer) == F.col("_want"), F.lit(True)).otherwise(_close(as_number(F.col(answer)), F.col("_want_value")))
-        right = right | F.coalesce(own, F.lit(False))
-    return rows.withColumn(f"{prefix}_correct", F.when(there, right)).drop(*names)
+    there, out = F.col(trace).isNotNull(), f"{prefix}_extracted_answer"
+    texts = [F.col(trace), F.col("_t1"), F.col("_t2")]
+    rows = df.withColumn("_variants", T.trace_variants(F.col(trace))).withColumns({f"_t{k}": F.get("_variants", F.lit(k)) for k in (1, 2)} | {"_want": wanted(F.col(gold))})
+    rows = rows.withColumns({f"_s{k}": T.kept(T.boxed_spans(t)) for k, t in enumerate(texts)})
+    for k, t in enumerate(texts):
+        rows = T.with_answer(rows, t, None if k else out, given=f"_g{k}", found=f"_s{k}")
+    answers, known = [F.col(f"_g{k}") for k in range(3)], [F.col(f"_k{k}") for k in range(3)]
+    rows = rows.withColumns({f"_k{k}": decided(a, F.col("_want")) for k, a in enumerate(answers)})
+    rows = rows.withColumn("_asked", T.kept(_asked(known, answers, F.col("_want")))).withColumn("_known", _right(known))
+    rows = rows.withColumn("_equal", T.kept(any_equal(F.col("_asked"), F.col("_want"))))
+    return rows.withColumn(f"{prefix}_correct", F.when(there, F.col("_known") | F.coalesce("_equal", F.lit(False)))).drop("_variants", "_want", "_asked", "_known", "_equal", *(f"_{c}{k}" for c in "gkst" for k in range(3)))
+
+
+def is_correct(df: DataFrame, trace: str, gold: str, out: str = "correct") -> DataFrame:
+    """``df`` with whether a trace is right; false where there is none."""
+    rows = grade(df, trace, gold, "_only")
+    return rows.withColumn(out, F.coalesce("_only_correct", F.lit(False))).drop("_only_correct", "_only_extracted_answer")
 
 
 RECORD = ("example_id", "split", "method", "prompt", "trace", "af_final_answer_only", "raw_correct", "af_correct", "raw_extracted_answer", "af_extracted_answer")

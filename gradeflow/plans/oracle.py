@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .queries import ALGEBRA
+
 _SPLIT = """
     shuffled AS (SELECT doc_id, row_number() OVER (ORDER BY md5('7|' || doc_id), doc_id) - 1 AS pos FROM documents),
     split AS (SELECT doc_id, CASE WHEN pos < 300 THEN 'train' WHEN pos < 400 THEN 'holdout' ELSE 'test' END AS split,
@@ -198,6 +200,10 @@ def oracle_sql() -> dict[str, str]:
             b AS (SELECT series, unnest([1, 2, 3, 4, 5])::INTEGER AS bin, count(*) AS c FROM t GROUP BY series)
             SELECT b.series, bin, round(100.0 * count(t.score) / c, 6) AS percent FROM b LEFT JOIN t ON t.series = b.series AND t.score = bin GROUP BY b.series, bin, c""",
         "q_answer_equality": "SELECT p_partkey, form, true AS equal, false AS other FROM part, range(8) f(form)",
+        "q_algebra": f"""
+            SELECT p_partkey, form, equal, equal AS turned
+            FROM (SELECT p_partkey, form, CASE form {" ".join(f"WHEN {n} THEN {want}" for n, (_, _, want) in enumerate(ALGEBRA))} END AS equal
+                  FROM (SELECT p_partkey, p_partkey % 50 + 2 AS k, p_size % 50 + 2 AS m FROM part), range({len(ALGEBRA)}) f(form))""",
         "q_student_grid": """
             SELECT source, mode, CASE mode WHEN 'naive' THEN 1 ELSE 3 END::BIGINT AS n, CASE mode WHEN 'naive' THEN 1.0 ELSE 3.5 END::DOUBLE AS sum_beta
             FROM (VALUES ('teacher_standard'), ('teacher_ad'), ('teacher_poe')) s(source), (VALUES ('naive'), ('strategic_fd')) m(mode)""",

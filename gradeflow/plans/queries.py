@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -372,6 +373,36 @@ def answer_equality(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", F.col("f.form").cast("long").alias("form"), equal.alias("equal"), other.alias("other"))
 
 
+#: Pairs of answers made of two numbers k and m of a part, and when they are equal.
+ALGEBRA = [
+    ("{k}x+{m}", "{m}+{k}x", "true"), ("{k}x+{m}", "{m}x+{k}", "k = m"), ("\\sqrt{{{k}}}+{m}", "{m}+\\sqrt{{{k}}}", "true"), ("\\sqrt{{{k}}}+\\sqrt{{{m}}}", "\\sqrt{{{k}+{m}}}", "false"),
+    ("2^{{{k}}}", "2^{{{m}}}", "k = m"), ("(x+{k})(x+{m})", "x^2+{s}x+{p}", "true"), ("(x+{k})(x-{m})", "x^2+{s}x-{p}", "false"), ("\\frac{k1}{m1}", "{k1}/{m1}", "true"), ("\\frac{{{k}}}{{{m}}}", "\\frac{{{m}}}{{{k}}}", "k = m"),
+    ("\\frac{{x^2-{kk}}}{{x-{k}}}", "x+{k}", "true"), ("{k},{m}", "{m},{k}", "true"), ("({k},{m})", "({m},{k})", "k = m"), ("({k},{m})", "({k}{m})", "false"), ("\\{{{k},{m}\\}}", "\\{{{m},{k}\\}}", "true"),
+    ("\\{{{k},{m}\\}}", "({k},{m})", "false"), ("[{k},{m})", "[{k}, {m})", "true"), ("[{k},{m})", "({k},{m}]", "false"), ("{k},{m}", "{k}{m}", "false"), ("{k},234", "{k}234", "true"), ("{k},23", "{k}23", "false"),
+    ("{k}^\\circ", "{k}", "true"), ("x={k}", "{m}", "k = m"), ("x={k}", "{k}", "true"), ("{k}\\pi+{m}", "{m}+\\pi{k1}", "false"), ("1000000000{k}", "1000000000{m}", "k = m"), ("0.0000000000{k}", "0", "false"),
+    ("{k}.{m}00", "{k}.{m}", "true"), ("{k}/{m}", "{kk}/{p}", "true"), ("{k}\\sqrt{{{m}}}", "\\sqrt{{{kkm}}}", "true"), ("\\frac{{1}}{{\\sqrt{{{m}}}}}", "\\frac{{\\sqrt{{{m}}}}}{{{m}}}", "true"),
+    ("(-\\infty,{k})\\cup({m},\\infty)", "({m},\\infty)\\cup(-\\infty,{k})", "true"), ("[{k},\\infty)", "[{k},{m})", "false"), ("{k} apples", "{k}", "false"), ("{k}i^2", "-{k}", "true"), ("\\sqrt{{-{kk}}}", "{k}i", "true"),
+    ("{k}\\text{{ cm}}", "{k}", "true"), ("\\left({k},\\frac{{{m}}}{{2}}\\right)", "({k},{m}/2)", "true"), ("\\log({k})", "\\log({m})", "k = m"), ("{k}x+{m}y", "{k}x+{m}z", "false"), ("x^{{{k}}}x^{{{m}}}", "x^{{{s}}}", "true"),
+    ("{k}!/{k}", "({k}-1)!", "true"), ("-(-{k})", "{k}", "true"), ("{k}\\times10^{{3}}", "{k}000", "true"), ("{k}%", "{k}/100", "true"), ("{k}:{m}", "{k}/{m}", "false"),
+]
+
+
+def algebra(spark: SparkSession, d: str) -> DataFrame:
+    """G1: expressions, tuples, intervals, sets and exact numbers of two numbers a part, with the kind of the first of each pair."""
+    k, m = F.col("p_partkey") % 50 + 2, (F.col("p_size") % 50 + 2).cast("long")
+    numbers_of = {"k": k, "m": m, "k1": k % 9 + 1, "m1": m % 9 + 1, "s": k + m, "p": k * m, "kk": k * k, "kkm": k * k * m}
+
+    def made(template: str) -> Column:
+        """The template's text with numbers in their places."""
+        parts = [(a, F.lit(a)) if not name else (a, F.concat(F.lit(a), numbers_of[name].cast("string"))) for a, name, _, _ in Formatter().parse(template)]
+        return F.concat(*(c for _, c in parts))
+
+    cases = F.array(*(F.struct(F.lit(n).cast("long").alias("form"), made(a).alias("a"), made(b).alias("b")) for n, (a, b, _) in enumerate(ALGEBRA)))
+    rows = table(spark, d, "part").select("p_partkey", F.explode(cases).alias("c")).select("p_partkey", "c.*")
+    rows = rows.withColumns({"a": text.comparable(F.col("a")), "b": text.comparable(F.col("b"))})
+    return rows.select("p_partkey", "form", grading.same_answer(F.col("a"), F.col("b")).alias("equal"), grading.same_answer(F.col("b"), F.col("a")).alias("turned"))
+
+
 def student_grid(spark: SparkSession, d: str) -> DataFrame:
     """Runs planned for each teacher; beta varies for one mode only."""
     sources = [f"teacher_{x}" for x in ("standard", "ad", "poe")]
@@ -422,6 +453,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         accuracy_by_lang, accuracy_empty_group, seeded_split, ratio_split, split_counts, stratified_sample, simple_sample, slice_offset, resume_anti_join, capped_resume, subset_union, prompt_messages, chat_render,
         split_from_id, extract_boxed, numeric_fallback, gold_answer, trace_variants, final_answer_tail, grade, method_label, label_map, latest_per_key, mean_stderr, mean_of_means, pmf, moments_mass, transforms, fallback_fill,
         missing_grid, pivot_report, success_tally, format_percent_duration, subsequence_index, json_roundtrip, prompt_dictionary, markdown_examples, series, flagship_run_report, run_names,
-        inspection, judge_scores, answer_equality, student_grid, masked_loss, problem_files, trace_files, windowed_counts,
+        inspection, judge_scores, answer_equality, algebra, student_grid, masked_loss, problem_files, trace_files, windowed_counts,
     ]
     return {f"q_{f.__name__}": f for f in own}
