@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import broadcast, discard, written
+from .shared import broadcast, discard, free_name, written
 from .textkernel import ALNUM, LOWER, U64, Words, find_words, give_back, hash_spans, list_array, mix, ragged, same_spans, slices, text_bytes
 
 WINDOW = 13
@@ -242,12 +242,12 @@ def _hits(batch: pa.RecordBatch, block) -> Iterator[tuple[int, int, np.ndarray,
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without contaminated rows: a filter within the tasks, on the searched text itself; all columns are kept."""
-    spark, schema, hit = docs.sparkSession, docs.schema, "_hit_words"
+    spark, schema, hit = docs.sparkSession, docs.schema, free_name(docs, "_hit_words")
     names, before, last = docs.columns, docs, None
     for made in _blocks(benchmark, block_words, WINDOW):
         if last is not None:  # a block more: the last one's hits are written beside the rows, so that no worker holds two
             done = written(before.mapInArrow(lambda it, block=last: give_back(_marked(it, block, names, hit)), _with(schema, hit)), "hits")
-            if hit in before.columns:
+            if before is not docs:
                 discard(before)
             last.destroy()
             before = done

@@ -102,17 +102,25 @@ def parts_bits(docs: DataFrame, bytes_a_part: int, most: int) -> int:
     return min(most, max(2, (total // bytes_a_part).bit_length()))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keep_rows(docs: DataFrame, judged: DataFrame, key: Column) -> DataFrame:
     """Rows of ``docs`` that stay. judged: (doc_id, a hash of the text, kept) of every row; key: that hash in ``docs``.
 
     Of rows that repeat both as a whole, where one is kept, one stays.
     """
-    ident = judged.columns[1]
+    ident, kept_id, kept_key = judged.columns[1], free_name(docs, "_kept_id"), free_name(docs, "_kept_key")
     rows = judged.groupBy("doc_id", ident).agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n")).filter("kept")
-    rows = written(rows.select(F.col("doc_id").alias("_kept_id"), F.col(ident).alias("_kept_key"), "n"), "kept")
-    same = docs["doc_id"].cast("long").eqNullSafe(rows["_kept_id"]) & (key == rows["_kept_key"])
-    many = rows.filter("n > 1")
+    rows = written(rows.select(F.col("doc_id").alias(kept_id), F.col(ident).alias(kept_key), "n"), "kept")
+    same = docs["doc_id"].cast("long").eqNullSafe(rows[kept_id]) & (key == rows[kept_key])
+    many = rows.filter(rows["n"] > 1)
     if many.isEmpty():
         return docs.join(rows, same, "left_semi")
-    repeated = docs.join(many.drop("n"), same).dropDuplicates(["_kept_id", "_kept_key"]).drop("_kept_id", "_kept_key")
-    return docs.join(rows.filter("n = 1"), same, "left_semi").unionByName(repeated)
+    repeated = docs.join(many.drop("n"), same).dropDuplicates([kept_id, kept_key]).drop(kept_id, kept_key)
+    return docs.join(rows.filter(rows["n"] == 1), same, "left_semi").unionByName(repeated)

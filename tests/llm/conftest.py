@@ -7,7 +7,7 @@ ODD = [
     (1, "The Cat sat on the mat and the dog sat on the log", "x"), (2, "the cat SAT on the mat and the dog sat on the log", None), (3, None, "y"), (4, "", None), (5, " \t\n", "z"), (6, "one", "x"), (6, "one", "x"), (6, "two words", "x"),
     (None, "no id here at all, none of it", "x"), (None, None, None), (7, "naïve café № ☃ 中文 ١٢", "x"), (8, "word " * 30_000, "x"), (9, "é" * 20_000, "x"), (10, "a b c d e f g h i j k l m n o p " * 8, "x"), (11, "zero a b c d e f g h i j k l m n o p " * 8, "x"),
 ]
-EXTRA = ["digest", "norm", "uid", "node", "comp", "kept_id", "dropped_id", "text_sha256", "score", "slot", "shard", "label", "rid", "zipped", "n_words", "hit_words", "length", "part", "bucket"]
+EXTRA = ["digest", "norm", "uid", "node", "comp", "kept_id", "dropped_id", "text_sha256", "score", "slot", "shard", "label", "rid", "zipped", "n_words", "hit_words", "length", "part", "bucket", "_hit_words", "_kept_id", "_kept_key", "_content", "spans", "n", "form", "h1"]
 
 
 @pytest.fixture(scope="session")
