@@ -217,10 +217,11 @@ def _pair_sums(cells: DataFrame, totals: DataFrame) -> DataFrame:
     base = totals.join(other, "lang").filter(F.col("source") < F.col("other"))
     base = base.select("lang", low, high, F.coalesce(F.col("terms") * f(F.col("p0"), F.col("q0")), F.lit(0)).alias("value"))
     # terms that one has: by its distinct shares
-    counts = cells.groupBy("lang", "source", "p", "p0").agg(F.count(F.lit(1)).alias("m"))
+    counts = written(cells.groupBy("lang", "source", "p", "p0").agg(F.count(F.lit(1)).alias("m")), "counts")
     alone = counts.join(other, "lang").filter(F.col("source") != F.col("other")).select("lang", low, high, (F.col("m") * (f(F.col("p"), F.col("q0")) - f(F.col("p0"), F.col("q0")))).alias("value"))
     # terms that both have: blocks of sources and parts of terms; a cell goes to every block that its own meets
     size = totals.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).join(cells.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / PART_CELLS).alias("parts")), "lang")
+    size = written(size, "sizes")  # a row a language: known to be small when it is small, and else a side that Spark can split for a hot language
     block = F.pmod(F.xxhash64("source"), F.col("blocks"))
     dealt = cells.join(size, "lang").withColumns({"block": block, "part": F.pmod(F.xxhash64("term"), F.col("parts"))})
     dealt = dealt.withColumn("meets", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
