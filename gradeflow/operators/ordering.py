@@ -100,3 +100,16 @@ def latest_per_key(df: DataFrame, keys: list[str], stamp: str, tiebreak: str) ->
     """The row with the largest stamp of each key; of equal stamps the smallest tiebreak."""
     w = Window.partitionBy(*keys).orderBy(F.desc(stamp), F.asc(tiebreak))
     return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+def inverted(text: Column) -> Column:
+    """A string that sorts the other way round than ``text`` does by its UTF-8 bytes."""
+    return F.concat(F.translate(F.hex(F.encode(text, "UTF-8")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+
+
+def latest_by_state(df: DataFrame, keys: list[str], stamp: str, tiebreak: str) -> DataFrame:
+    """``latest_per_key`` as one aggregate, on a table or a stream: a row a key is all that a stream's state holds. tiebreak: a string or a whole number."""
+    kind = dict(df.dtypes)[tiebreak]
+    last = F.struct(stamp, inverted(F.col(tiebreak)) if kind == "string" else -F.col(tiebreak))
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), last).alias("_row")).select(*keys, "_row.*")

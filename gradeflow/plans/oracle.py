@@ -209,12 +209,17 @@ def oracle_sql() -> dict[str, str]:
             FROM (VALUES ('teacher_standard'), ('teacher_ad'), ('teacher_poe')) s(source), (VALUES ('naive'), ('strategic_fd')) m(mode)""",
         "q_masked_loss": "SELECT l_returnflag, round(coalesce(sum(l_quantity) FILTER (l_linenumber % 2 = 0), 0) / greatest(count(*) FILTER (l_linenumber % 2 = 0), 1), 6) AS loss FROM lineitem GROUP BY l_returnflag",
         "q_problem_files": """
-            SELECT CASE o_orderstatus WHEN 'P' THEN 'test' ELSE 'train' END AS split, CASE o_orderstatus WHEN 'O' THEN 1 ELSE 0 END::BIGINT AS subset_ord, o_orderpriority AS type,
+            SELECT CASE o_orderstatus WHEN 'P' THEN 'test' ELSE 'train' END AS split, CASE WHEN o_orderstatus IN ('F', 'P') THEN 0 ELSE 1 END::BIGINT AS subset_ord, o_orderpriority AS type,
                    count(*) AS n, min('q' || o_orderkey) AS first_problem, max(CAST(o_custkey AS VARCHAR)) AS last_gold
-            FROM orders WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY ALL""",
+            FROM orders GROUP BY ALL""",
         "q_trace_files": """
-            WITH t AS (SELECT conv_id || '-' || turn AS question, role AS subject, turn % 2 = 0 AS correct FROM conversations WHERE role IN ('user', 'assistant', 'system'))
+            WITH t AS (SELECT conv_id || '-' || turn AS question, role AS subject, turn % 2 = 0 AS correct FROM conversations)
             SELECT subject, upper(subject) AS predicted_answer, count(*) AS n, count(*) FILTER (correct) AS n_correct, (SELECT count(DISTINCT question) FROM t) AS n_done FROM t GROUP BY subject""",
+        "q_quarantine": """
+            SELECT role AS part, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM conversations WHERE turn % 7 <> 3 GROUP BY role
+            UNION ALL SELECT 'bad ' || '{"conv_id"' AS part, count(*) AS n, (12 * count(*))::BIGINT AS n_chars FROM conversations WHERE turn % 7 = 3 HAVING count(*) > 0""",
+        "q_latest_stream": """
+            SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id) AS r FROM events) WHERE r = 1""",
         "q_windowed_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
         "q_run_names": """
             SELECT ['gemini', 'claude', 'openai'][o_orderkey % 4 + 1] AS provider, CASE WHEN o_orderkey % 2 = 0 THEN 'math' ELSE 'gsm8k' END AS dataset, CAST(o_orderkey % 3 AS INTEGER) AS seed,

@@ -12,6 +12,7 @@ from ..functions import formats, numbers, prompts, text
 from ..operators import grading, metrics, ordering, report, runs
 from ..sources import scratch, sinks, tables
 from ..sources.tables import table
+from ..streaming.incremental import keep_latest
 from ..streaming.incremental import windowed_counts as counts_by_window
 
 
@@ -419,9 +420,10 @@ def problem_files(spark: SparkSession, d: str) -> DataFrame:
     """Problem sets written as JSON lines and loaded by split, subset after subset."""
     folder = scratch.folder(spark, "problems")
     rows = table(spark, d, "orders").select(F.concat(F.lit("q"), "o_orderkey").alias("question"), F.concat(F.lit("#### "), "o_custkey").alias("answer"), F.col("o_orderpriority").alias("type"), F.col("o_orderstatus").alias("status"))
-    for status in ("F", "O", "P"):
-        sinks.write_json_lines(rows.filter(F.col("status") == status).drop("status"), f"{folder}/{status}")
-    found = tables.load_problems(spark, "question_answer", train=[f"{folder}/F", f"{folder}/O"], test=f"{folder}/P")
+    part = F.when(F.col("status").isin("F", "P"), F.col("status")).otherwise(F.lit("rest"))
+    for name in ("F", "rest", "P"):
+        sinks.write_json_lines(rows.filter(part == name).drop("status"), f"{folder}/{name}")
+    found = tables.load_problems(spark, "question_answer", train=[f"{folder}/F", f"{folder}/rest"], test=f"{folder}/P")
     return found.groupBy("split", F.col("subset_ord").cast("long").alias("subset_ord"), "type").agg(F.count(F.lit(1)).alias("n"), F.min("problem").alias("first_problem"), F.max(text.gold_answer(F.col("solution"), F.lit(""))).alias("last_gold"))
 
 
@@ -430,8 +432,9 @@ def trace_files(spark: SparkSession, d: str) -> DataFrame:
     folder = scratch.folder(spark, "traces")
     path = f"{folder}/{sinks.trace_file('gemini', 'math')}"
     rows = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("question"), F.col("role").alias("subject"), (F.col("turn") % 2 == 0).alias("correct"))
-    for role in ("user", "assistant", "system"):
-        sinks.append_json_lines(rows.filter(F.col("subject") == role), path)
+    user = F.coalesce(F.col("subject") == "user", F.lit(False))
+    for some in (user, ~user):
+        sinks.append_json_lines(rows.filter(some), path)
     sinks.rewrite_json_lines(tables.read_traces(spark, path.removesuffix(".jsonl")).withColumn("predicted_answer", F.upper("subject")), path)
     again = tables.read_traces(spark, path.removesuffix(".jsonl"))
     by = again.groupBy("subject", "predicted_answer").agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("n_correct"))
@@ -441,8 +444,27 @@ def trace_files(spark: SparkSession, d: str) -> DataFrame:
     return found.join(F.broadcast(n_done))
 
 
+def quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as JSON lines, every seventh turn broken off: rows by role, and bad lines by how they begin."""
+    folder = scratch.folder(spark, "lines")
+    whole = F.to_json(F.struct("conv_id", "turn", "role", "text"))
+    table(spark, d, "conversations").select(F.when(F.col("turn") % 7 == 3, F.substring(whole, 1, 12)).otherwise(whole).alias("value")).write.text(folder)
+    rows, bad = tables.quarantined(spark, folder, table(spark, d, "conversations").schema)
+    counts = rows.groupBy(F.col("role").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
+    return counts.unionByName(bad.groupBy(F.concat(F.lit("bad "), F.substring("line", 1, 10)).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("n_chars")))
+
+
+def latest_stream(spark: SparkSession, d: str) -> DataFrame:
+    """W2, W3 on a stream: the latest event of each user and type, kept in state and rewritten after each batch."""
+    folder = scratch.folder(spark, "stream")
+    rows = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet").select("user_id", "event_type", "ts", "event_id", "value")
+    keep_latest(rows, ["user_id", "event_type"], "ts", "event_id", f"{folder}/state", f"{folder}/latest").awaitTermination()
+    found = tables.read_json_lines(spark, f"{folder}/latest", rows.schema)
+    return found.select("user_id", "event_type", "event_id", "value")
+
+
 def windowed_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Events by day and type, as the stream counts them."""
+    """Events by day and type: the stream's operator on a table, where the watermark does nothing."""
     events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return counts_by_window(events, "ts", "1 day", "1 hour", "event_type").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
@@ -453,6 +475,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         accuracy_by_lang, accuracy_empty_group, seeded_split, ratio_split, split_counts, stratified_sample, simple_sample, slice_offset, resume_anti_join, capped_resume, subset_union, prompt_messages, chat_render,
         split_from_id, extract_boxed, numeric_fallback, gold_answer, trace_variants, final_answer_tail, grade, method_label, label_map, latest_per_key, mean_stderr, mean_of_means, pmf, moments_mass, transforms, fallback_fill,
         missing_grid, pivot_report, success_tally, format_percent_duration, subsequence_index, json_roundtrip, prompt_dictionary, markdown_examples, series, flagship_run_report, run_names,
-        inspection, judge_scores, answer_equality, algebra, student_grid, masked_loss, problem_files, trace_files, windowed_counts,
+        inspection, judge_scores, answer_equality, algebra, student_grid, masked_loss, problem_files, trace_files, quarantine, latest_stream, windowed_counts,
     ]
     return {f"q_{f.__name__}": f for f in own}

@@ -6,13 +6,14 @@ import json
 import logging
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import store
+from .tables import POINTER, current
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
@@ -22,7 +23,7 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 def append_json_lines(df: DataFrame, path: str) -> None:
     """Adds rows; a failed job adds none."""
-    df.write.mode("append").json(path)
+    df.write.mode("append").json(current(df.sparkSession, path))
 
 
 def to_json_array(df: DataFrame) -> str:
@@ -45,14 +46,30 @@ def write_json_array(df: DataFrame, path: str) -> None:
     write_text(df.sparkSession, to_json_array(df), path)
 
 
+def _point(spark: SparkSession, path: str, version: str) -> None:
+    """Makes a version the current one: the pointer is replaced by one rename, so it names the old or the new version at any time."""
+    beside = f"{path}/{POINTER}-{uuid.uuid4().hex}"
+    write_text(spark, version, beside)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    (fs, made), (_, pointer) = store(spark, beside), store(spark, f"{path}/{POINTER}")
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(made), fs.makeQualified(pointer), over)
+
+
 def rewrite_json_lines(df: DataFrame, path: str) -> None:
-    """Replaces what is at ``path``, which ``df`` may read: written beside it as a whole, then put in its place."""
-    spark, beside = df.sparkSession, f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    df.write.json(beside)
+    """Replaces what is at ``path``, which ``df`` may read: written as a version of its own, then made the current one in one step.
+
+    What fails on the way leaves the old rows; old versions are deleted last. Readers find the rows by ``tables.current``.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    version = f"_version-{uuid.uuid4().hex}"
+    df.write.json(f"{path}/{version}")
+    _point(spark, path, version)
     fs, at = store(spark, path)
-    fs.delete(at, True)
-    if not fs.rename(store(spark, beside)[1], at):
-        raise OSError(f"{beside} could not be renamed to {path}")
+    for old in fs.listStatus(at):
+        if old.getPath().getName() not in (version, POINTER):
+            fs.delete(old.getPath(), True)
 
 
 def manifest(splits: DataFrame, split: str, planned: dict | None = None, **facts) -> dict:
@@ -72,14 +89,32 @@ def console_summary(selected: DataFrame, fallbacks: DataFrame, missing: DataFram
     return "\n".join(lines)
 
 
+class Counted:
+    """Counts of a frame that the job writing it takes on its way: no second pass. Ask for ``counts`` after that job."""
+
+    def __init__(self, df: DataFrame, split: str | None = None, splits: Sequence[str] = ()) -> None:
+        """split: a column; rows of each of ``splits`` are counted too."""
+        self._seen = Observation(f"counted-{uuid.uuid4().hex}")
+        parts = [F.count_if(F.col(split) == s).alias(f"{split}_{k}") for k, s in enumerate(splits)]
+        self.df, self._split, self._splits = df.observe(self._seen, F.count(F.lit(1)).alias("rows"), *parts), split, list(splits)
+
+    @property
+    def counts(self) -> dict[str, int]:
+        """rows, and the size of each split."""
+        got = self._seen.get
+        return {"rows": got["rows"]} | {s: got[f"{self._split}_{k}"] for k, s in enumerate(self._splits)}
+
+
 @contextmanager
-def stage(label: str, extra: str = "") -> Iterator[None]:
-    """Logs a stage's label, seconds and remark when it is over."""
-    began = time.perf_counter()
+def stage(label: str, extra: str = "", counted: Counted | None = None) -> Iterator[None]:
+    """Logs a stage's label, seconds, remark and, after a job over ``counted.df``, its counts when it is over."""
+    began, failed = time.perf_counter(), True
     try:
         yield
+        failed = False
     finally:
-        logging.getLogger("gradeflow").info("%s: %.1f s%s", label, time.perf_counter() - began, f", {extra}" if extra else "")
+        counts = ", ".join(f"{k}={v}" for k, v in counted.counts.items()) if counted and not failed else ""
+        logging.getLogger("gradeflow").info("%s: %.1f s%s", label, time.perf_counter() - began, "".join(f", {x}" for x in (extra, counts, "failed" if failed else "") if x))
 
 
 def trace_file(provider: str, dataset: str) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ordering import union_all
+from .scratch import store
 
 PROBLEM = T.StructType([T.StructField(c, T.StringType()) for c in ("example_id", "problem", "solution", "type")])
 RESULT = T.StructType([T.StructField("source", T.StringType()), T.StructField("mode", T.StringType()), T.StructField("beta_s", T.DoubleType()), T.StructField("accuracy", T.DoubleType())])
@@ -52,16 +53,42 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+#: Names a rewritten folder's current version.
+POINTER = "_current"
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """Where the rows of a folder are: in the version that its pointer names, or in the folder itself."""
+    pointer = f"{path.rstrip('/')}/{POINTER}"
+    if not exists(spark, pointer):
+        return path
+    fs, at = store(spark, pointer)
+    file = fs.open(at)
+    try:
+        return f"{path.rstrip('/')}/{bytes(file.readAllBytes()).decode()}"
+    finally:
+        file.close()
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """One object a line; blank lines are skipped."""
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).json(current(spark, path))
+
+
+def quarantined(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(rows, bad lines): every line that isn't blank is in one of the two. Bad lines, (file, line), aren't objects of the schema."""
+    bad = "_not_an_object"
+    lines = spark.read.text(current(spark, path)).select("value", F.col("_metadata.file_path").alias("file")).filter(F.trim("value") != "")
+    fields = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
+    parsed = lines.withColumn("row", F.from_json("value", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}))
+    wrong = F.col("row").isNull() | F.col(f"row.{bad}").isNotNull()
+    return parsed.filter(~wrong).select("row.*").drop(bad), parsed.filter(wrong).select("file", F.col("value").alias("line"))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever store Spark can reach."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    fs, at = store(spark, path)
+    return fs.exists(at)
 
 
 def done_keys(spark: SparkSession, path: str, key: str = "question") -> DataFrame:
@@ -69,7 +96,7 @@ def done_keys(spark: SparkSession, path: str, key: str = "question") -> DataFram
     schema = T.StructType([T.StructField(key, T.StringType())])
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).filter(F.col(key).isNotNull()).distinct()
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(current(spark, path)).filter(F.col(key).isNotNull()).distinct()
 
 
 def read_traces(spark: SparkSession, stem: str, schema: T.StructType = TRACE) -> DataFrame:
@@ -93,13 +120,20 @@ def read_run_results(spark: SparkSession, root: str) -> DataFrame:
 
 
 def list_runs(spark: SparkSession, root: str) -> DataFrame:
-    """(run, has_results) of every directory under ``root``: a driver listing, one row a directory."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [s.getPath() for s in fs.listStatus(path) if s.isDirectory()] if fs.exists(path) else []
-    rows = sorted((p.getName(), fs.exists(jvm.org.apache.hadoop.fs.Path(p, "results.json"))) for p in found)
-    return spark.createDataFrame(rows, "run string, has_results boolean")
+    """(run, has_results) of every directory under ``root``.
+
+    The driver lists ``root`` once. Results are found by Spark's file index, which lists many directories as a job of its own; no file is opened.
+    """
+    fs, at = store(spark, root)
+    names = [(s.getPath().getName(),) for s in fs.listStatus(at) if s.isDirectory()] if fs.exists(at) else []
+    runs = spark.createDataFrame(names, "run string")
+    if not names:
+        return runs.withColumn("has_results", F.lit(False))
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "results.json").option("recursiveFileLookup", True).load(root)
+    place = F.split(F.regexp_replace(F.col("_metadata.file_path"), "/+$", ""), "/")
+    # directly in a run's folder: the part before the name is the run, the one before that the root
+    done = found.select(F.url_decode(F.replace(F.element_at(place, -2), F.lit("+"), F.lit("%2B"))).alias("run"), F.element_at(place, -3).alias("above")).filter(F.col("above") == at.getName()).select("run").distinct()
+    return runs.join(done.withColumn("has_results", F.lit(True)), "run", "left").select("run", F.coalesce("has_results", F.lit(False)).alias("has_results"))
 
 
 def subsets(frames: list[DataFrame]) -> DataFrame:
