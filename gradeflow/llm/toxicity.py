@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .shared import broadcast
+from .shared import broadcast, discard, written
 from .textkernel import give_back
 
 #: Entries of the lexicon, and exception phrases, at most.
@@ -206,17 +206,21 @@ def fit(rows: DataFrame, exceptions: Sequence[str] = ()) -> Lexicon:
     n = {bool(r[0]): r[1] for r in rows.groupBy((F.col("label") > 0).alias("toxic")).count().collect()}
     if len(n) < 2:
         return Lexicon()
-    given, entries, left, n_left = tuple(fold(e).strip() for e in exceptions), {}, rows, n[True]
+    given, entries, left, n_left, held = tuple(fold(e).strip() for e in exceptions), {}, rows, n[True], None
     for turn in range(PASSES):
         margin = 3.0 if turn else 1.64  # what is left may be there by chance, so it takes more to count
         more = {e: w for e, w in _entries(left, n_left, n[False], margin).items() if e not in entries} if n_left >= LEAST_DOCS else {}
         if not more:
             break
         entries = dict(sorted((entries | more).items(), key=lambda x: (-x[1], x[0]))[:MOST_ENTRIES])
+        if held is not None:
+            held.destroy()
         held = spark.sparkContext.broadcast(Lexicon(entries, given))
         left = _unmatched(rows, held)
         n_left = left.filter("label > 0").count()
     lexicon = Lexicon(entries, given)
+    if held is not None:
+        held.destroy()
     if not lexicon.entries:
         return lexicon
     held = spark.sparkContext.broadcast(lexicon)
@@ -291,8 +295,12 @@ def is_held_out():
 
 
 def learn(docs: DataFrame, labels: DataFrame, exceptions: Sequence[str] = ()) -> Lexicon:
-    """The lexicon of the training fold."""
-    return fit(labelled.sample(docs, labels, "toxic", ~is_held_out()), exceptions)
+    """The lexicon of the training fold. Its sample is written once, since every pass reads it."""
+    rows = written(labelled.sample(docs, labels, "toxic", ~is_held_out()).select("text", "label"), "labelled")
+    try:
+        return fit(rows, exceptions)
+    finally:
+        discard(rows)
 
 
 def score_documents(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
