@@ -66,10 +66,11 @@ def grid(spark: SparkSession, **values: Sequence) -> DataFrame:
     return out
 
 
-def student_grid(spark: SparkSession, sources: Sequence[str], modes: Sequence[str], betas: Sequence[float], strategic: str = "strategic_fd") -> DataFrame:
-    """(source, mode, beta_s): every beta for the strategic mode, 1 for the others."""
+def students_of(runs: DataFrame, source: str, modes: Sequence[str], betas: Sequence[float], strategic: str = "strategic_fd") -> DataFrame:
+    """(source, mode, beta_s) planned for every source that a table has: every beta for the strategic mode, 1 for the others."""
     values = F.when(F.col("mode") == strategic, F.array(*map(F.lit, betas))).otherwise(F.array(F.lit(1.0)))
-    return grid(spark, source=list(sources), mode=list(modes)).select("source", "mode", F.explode(values).alias("beta_s"))
+    found = runs.filter(F.col(source).isNotNull()).select(F.col(source).alias("source")).distinct()
+    return found.select("source", F.explode(F.array(*map(F.lit, modes))).alias("mode")).select("source", "mode", F.explode(values).alias("beta_s"))
 
 
 def missing(cells: DataFrame, observed: DataFrame, fallback: DataFrame, stamp: str, name: str) -> DataFrame:

@@ -206,7 +206,7 @@ def oracle_sql() -> dict[str, str]:
                   FROM (SELECT p_partkey, p_partkey % 50 + 2 AS k, p_size % 50 + 2 AS m FROM part), range({len(ALGEBRA)}) f(form))""",
         "q_student_grid": """
             SELECT source, mode, CASE mode WHEN 'naive' THEN 1 ELSE 3 END::BIGINT AS n, CASE mode WHEN 'naive' THEN 1.0 ELSE 3.5 END::DOUBLE AS sum_beta
-            FROM (VALUES ('teacher_standard'), ('teacher_ad'), ('teacher_poe')) s(source), (VALUES ('naive'), ('strategic_fd')) m(mode)""",
+            FROM (SELECT DISTINCT 'teacher_' || o_orderpriority AS source FROM orders WHERE o_orderpriority IS NOT NULL) s, (VALUES ('naive'), ('strategic_fd')) m(mode)""",
         "q_masked_loss": "SELECT l_returnflag, round(coalesce(sum(l_quantity) FILTER (l_linenumber % 2 = 0), 0) / greatest(count(*) FILTER (l_linenumber % 2 = 0), 1), 6) AS loss FROM lineitem GROUP BY l_returnflag",
         "q_problem_files": """
             SELECT CASE o_orderstatus WHEN 'P' THEN 'test' ELSE 'train' END AS split, CASE WHEN o_orderstatus IN ('F', 'P') THEN 0 ELSE 1 END::BIGINT AS subset_ord, o_orderpriority AS type,

@@ -405,9 +405,9 @@ def algebra(spark: SparkSession, d: str) -> DataFrame:
 
 
 def student_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Runs planned for each teacher; beta varies for one mode only."""
-    sources = [f"teacher_{x}" for x in ("standard", "ad", "poe")]
-    planned = runs.student_grid(spark, sources, ["naive", "strategic_fd"], [0.5, 1.0, 2.0])
+    """Runs planned for each teacher that has results; beta varies for one mode only."""
+    results = table(spark, d, "orders").select(F.concat(F.lit("teacher_"), "o_orderpriority").alias("teacher"))
+    planned = runs.students_of(results, "teacher", ["naive", "strategic_fd"], [0.5, 1.0, 2.0])
     return planned.groupBy("source", "mode").agg(F.count(F.lit(1)).alias("n"), F.sum("beta_s").alias("sum_beta"))
 
 
