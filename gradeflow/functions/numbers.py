@@ -42,8 +42,13 @@ def to_percent(x: Column) -> Column:
 
 
 def subsequence_index(seq: Column, template: Column) -> Column:
-    """Index after the first place where ``template`` lies in ``seq``; 0 if nowhere."""
-    m = F.size(template)
-    hits = F.transform(F.sequence(F.lit(1), F.greatest(F.size(seq) - m + 1, F.lit(1))), lambda i: F.slice(seq, i, m) == template)
-    at = F.array_position(hits, True)
-    return F.when(at > 0, at - 1 + m).otherwise(F.lit(0)).cast("long")
+    """Index after the first place where ``template`` lies in ``seq``; 0 if nowhere or if the template is empty. Null elements equal each other.
+
+    Elements are written as hex between commas, so one text search finds the place and the commas before it are the index.
+    """
+    text = lambda xs: F.concat(F.lit(","), F.array_join(F.transform(xs, lambda x: F.coalesce(F.hex(F.encode(x.cast("string"), "UTF-8")), F.lit("-"))), ","), F.lit(","))
+    whole, m = text(seq), F.size(template)
+    at = F.when((m > 0) & (F.size(seq) > 0), F.instr(whole, text(template)))
+    before = F.substring(whole, F.lit(1), at - 1)
+    commas = F.length(before) - F.length(F.replace(before, F.lit(","), F.lit("")))
+    return F.when(seq.isNotNull() & template.isNotNull(), F.when(at > 0, commas + m).otherwise(F.lit(0))).cast("long")

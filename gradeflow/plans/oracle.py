@@ -172,7 +172,7 @@ def oracle_sql() -> dict[str, str]:
                    strftime(o_orderdate, '%Y%m%d_%H%M%S') AS stamp FROM t""",
         "q_subsequence_index": """
             WITH t AS (SELECT conv_id, turn, list_filter(string_split(text, ' '), lambda w: w <> '') AS w FROM conversations)
-            SELECT conv_id, turn, (list_position([w[i:i + 1] = w[3:4] FOR i IN range(1, len(w))], true) + 1)::BIGINT AS at, 0::BIGINT AS nowhere FROM t WHERE len(w) >= 4""",
+            SELECT conv_id, turn, CASE WHEN len(w[3:4]) = 0 THEN 0 ELSE list_position([w[i:i + len(w[3:4]) - 1] = w[3:4] FOR i IN range(1, len(w) - len(w[3:4]) + 2)], true) + len(w[3:4]) - 1 END::BIGINT AS at, 0::BIGINT AS nowhere FROM t""",
         "q_json_roundtrip": """
             SELECT event_type, count(props) AS n, sum(len(json_keys(props)))::BIGINT AS n_keys, count(*) FILTER (len(json_keys(props)) > 0) AS n_full FROM events GROUP BY event_type""",
         "q_prompt_dictionary": f"""

@@ -289,9 +289,9 @@ def format_percent_duration(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subsequence_index(spark: SparkSession, d: str) -> DataFrame:
-    """Where the third and fourth words of a turn end."""
+    """Where the third and fourth words of a turn end, as many of them as it has."""
     words = F.filter(F.split("text", " "), lambda w: w != "")
-    rows = table(spark, d, "conversations").select("conv_id", "turn", words.alias("w")).filter(F.size("w") >= 4)
+    rows = table(spark, d, "conversations").select("conv_id", "turn", words.alias("w"))
     return rows.select("conv_id", "turn", numbers.subsequence_index(F.col("w"), F.slice("w", 3, 2)).alias("at"), numbers.subsequence_index(F.col("w"), F.array(F.lit("no"), F.lit("such"))).alias("nowhere"))
 
 
