@@ -62,7 +62,7 @@ def grid(spark: SparkSession, **values: Sequence) -> DataFrame:
     """All combinations of small parameter lists, as one row exploded."""
     out = spark.range(1).select()
     for name, xs in values.items():
-        out = out.select("*", F.explode(F.array(*(F.lit(x) for x in xs))).alias(name))
+        out = out.select("*", F.explode(F.array(*(F.lit(x) for x in xs)) if xs else F.array().cast("array<string>")).alias(name))
     return out
 
 

@@ -190,7 +190,7 @@ def oracle_sql() -> dict[str, str]:
             FROM stats WHERE label IN ('Base', 'Finished', 'Open')""",
         "q_flagship_run_report": f"WITH {_REPORT} SELECT dataset, label, round(mean, 6) AS mean, round(stderr, 6) AS stderr, n FROM stats",
         "q_inspection": r"""
-            WITH t AS (SELECT o_orderkey AS k, o_custkey % 3 = 0 AS forced, o_orderkey % 2 = 0 AS complete, o_orderkey % 3 AS gold FROM orders),
+            WITH t AS (SELECT o_orderkey AS k, o_orderstatus = 'F' AS forced, o_orderkey % 2 = 0 AS complete, o_orderkey % 3 AS gold FROM orders),
             g AS (SELECT *, CASE WHEN complete THEN CAST(k % 7 AS VARCHAR) END AS raw_extracted_answer, CASE WHEN forced AND k % 4 <> 0 THEN CAST(k % 3 AS VARCHAR) END AS af_extracted_answer,
                          complete AND k % 7 = gold AS raw_correct, CASE WHEN forced THEN k % 4 <> 0 END AS af_correct FROM t)
             SELECT CAST(k AS VARCHAR) AS example_id, complete, raw_correct, af_correct, raw_extracted_answer, af_extracted_answer,
@@ -220,6 +220,34 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'bad ' || '{"conv_id"' AS part, count(*) AS n, (12 * count(*))::BIGINT AS n_chars FROM conversations WHERE turn % 7 = 3 HAVING count(*) > 0""",
         "q_latest_stream": """
             SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id) AS r FROM events) WHERE r = 1""",
+        "q_run_summary": """
+            WITH o AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'claude' WHEN 'O' THEN 'gemini' ELSE 'openai' END AS provider, CASE WHEN o_orderpriority < '3' THEN 'math' ELSE 'gsm8k' END AS dataset,
+                              CAST(o_custkey % 5 AS INTEGER) AS seed, strftime(o_orderdate, '%Y%m01_000000') AS timestamp, month(o_orderdate) % 5 <> 0 AND o_custkey % 5 < 4 AS ended, o_orderkey AS k, o_custkey AS c FROM orders),
+            runs AS (SELECT dataset, provider, seed, timestamp, ended, avg((k % 100) / 100) AS base, avg((c % 100) / 100) AS qa, avg(CAST(k % 3 = 0 AS DOUBLE)) AS traces FROM o GROUP BY ALL),
+            named AS (SELECT *, 'real_' || provider || '_' || dataset || '_traces_seed' || seed || '_' || timestamp AS run FROM runs),
+            selected AS (SELECT * FROM named WHERE ended QUALIFY row_number() OVER (PARTITION BY dataset, provider, seed ORDER BY timestamp DESC) = 1),
+            fallback AS (SELECT CASE n_nationkey % 2 WHEN 0 THEN 'math' ELSE 'gsm8k' END AS dataset, ['claude', 'gemini', 'openai'][n_nationkey % 3 + 1] AS provider, CAST(n_nationkey + 4 AS INTEGER) AS seed FROM nation),
+            used AS (SELECT *, row_number() OVER (ORDER BY dataset, provider, seed) - 1 AS place FROM fallback ANTI JOIN selected USING (dataset, provider, seed)),
+            vals AS (SELECT dataset, provider, seed, unnest(['Base', 'SFT on Q&A', 'Trace SFT']) AS label, unnest([base, qa, traces]) AS x FROM selected
+                     UNION ALL SELECT dataset, provider, seed, unnest(['Base', 'Trace SFT']), unnest([0.25, 0.5]) FROM used),
+            inside AS (SELECT * FROM vals WHERE seed < 5),
+            points AS (SELECT dataset, label, avg(x) AS m FROM inside WHERE label <> 'Trace SFT' GROUP BY dataset, label, seed
+                       UNION ALL SELECT dataset, CASE provider WHEN 'claude' THEN 'Claude' WHEN 'gemini' THEN 'Gemini' ELSE 'GPT' END, x FROM inside WHERE label = 'Trace SFT'),
+            bars AS (SELECT dataset, label, avg(m) AS mean, CASE WHEN count(m) = 1 THEN 0.0 ELSE stddev_samp(m) / sqrt(count(m)) END AS stderr, count(m) AS n
+                     FROM (SELECT * FROM (VALUES ('gsm8k'), ('math')) d(dataset), (VALUES ('Base'), ('SFT on Q&A'), ('Claude'), ('Gemini'), ('GPT')) l(label)) g LEFT JOIN points USING (dataset, label) GROUP BY dataset, label),
+            cells AS (SELECT dataset, provider, CAST(seed AS INTEGER) AS seed FROM (VALUES ('gsm8k'), ('math')) d(dataset), (VALUES ('claude'), ('gemini'), ('openai')) p(provider), range(5) s(seed)),
+            newest AS (SELECT dataset, provider, seed, max(run) AS run FROM named GROUP BY ALL),
+            gaps AS (SELECT g.*, run FROM (SELECT * FROM cells ANTI JOIN selected USING (dataset, provider, seed)) g ANTI JOIN fallback USING (dataset, provider, seed) LEFT JOIN newest USING (dataset, provider, seed)),
+            leaves AS (
+                SELECT 'selected_runs' AS part, dataset || '/' || provider || '/seed' || seed || ' > ' || unnest(['timestamp', 'run_dir']) AS path, NULL::DOUBLE AS number, unnest([timestamp, 'runs/' || run]) AS text FROM selected
+                UNION ALL SELECT 'per_seed_provider', dataset || ' > ' || provider || ' > ' || seed || ' > ' || label, x, NULL FROM vals
+                UNION ALL SELECT 'plot_stats', dataset || ' > ' || label || ' > ' || unnest(['mean', 'stderr', 'n']), unnest([mean, stderr, n]), NULL FROM bars
+                UNION ALL SELECT 'used_fallbacks', place || ' > ' || unnest(['dataset', 'provider', 'seed']), unnest([NULL, NULL, seed]), unnest([dataset, provider, NULL]) FROM used
+                UNION ALL SELECT 'missing', dataset || ' > ' || provider || ' > ' || seed, NULL, run FROM gaps)
+            SELECT part, path, round(number, 6) AS number, text FROM leaves""",
+        "q_event_leaves": """
+            SELECT event_type, replace(substr(t.fullkey, 3), '"', '') AS path, count(*) AS n, min(t.atom ->> '$') AS first, max(t.atom ->> '$') AS last
+            FROM events, json_tree(props) t WHERE t.type NOT IN ('OBJECT', 'ARRAY') GROUP BY ALL""",
         "q_windowed_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
         "q_run_names": """
             SELECT ['gemini', 'claude', 'openai'][o_orderkey % 4 + 1] AS provider, CASE WHEN o_orderkey % 2 = 0 THEN 'math' ELSE 'gsm8k' END AS dataset, CAST(o_orderkey % 3 AS INTEGER) AS seed,

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats, numbers, prompts, text
-from ..operators import grading, metrics, ordering, report, runs
-from ..sources import scratch, sinks, tables
+from ..operators import cube, grading, metrics, ordering, report, runs, summary
+from ..sources import run_folders, scratch, sinks, tables
+from ..sources.settings import Report
 from ..sources.tables import table
 from ..streaming.incremental import keep_latest
 from ..streaming.incremental import windowed_counts as counts_by_window
@@ -342,11 +343,11 @@ def run_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def inspection(spark: SparkSession, d: str) -> DataFrame:
-    """Typed records of graded traces and forced answers joined by key; a forced grade counts even if nothing was extracted."""
+    """Typed records of graded traces and forced answers joined by key (finished orders have one); a forced grade counts even if nothing was extracted."""
     k = F.col("o_orderkey")
     box = F.concat(F.lit("so \\boxed{"), (k % 7).cast("string"), F.when(k % 2 == 0, F.lit("}")).otherwise(F.lit("")))
     traces = table(spark, d, "orders").select(k.cast("string").alias("example_id"), F.lit("test").alias("split"), F.lit("standard").alias("method"), F.lit("solve").alias("prompt"), box.alias("trace"), (k % 3).cast("string").alias("gold"))
-    forced = table(spark, d, "orders").filter("o_custkey % 3 = 0").select(k.cast("string").alias("example_id"), F.when(k % 4 == 0, F.lit("nothing")).otherwise(F.concat(F.lit("\\boxed{"), (k % 3).cast("string"), F.lit("}"))).alias("af_final_answer_only"))
+    forced = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(k.cast("string").alias("example_id"), F.when(k % 4 == 0, F.lit("nothing")).otherwise(F.concat(F.lit("\\boxed{"), (k % 3).cast("string"), F.lit("}"))).alias("af_final_answer_only"))
     rows = grading.with_forced(traces, forced, "example_id", "af_final_answer_only")
     graded = grading.grade(grading.grade(rows, "trace", "gold", "raw"), "af_final_answer_only", "gold", "af")
     full = grading.records(graded).withColumn("complete", text.has_complete_box(F.col("trace")))
@@ -463,6 +464,41 @@ def latest_stream(spark: SparkSession, d: str) -> DataFrame:
     return found.select("user_id", "event_type", "event_id", "value")
 
 
+def _run_folders(spark: SparkSession, d: str) -> DataFrame:
+    """Runs made of orders, one for each provider, dataset, seed and month; those of some months and of the last seed haven't ended."""
+    month = F.date_format("o_orderdate", "yyyyMM")
+    provider = F.when(F.col("o_orderstatus") == "F", "claude").when(F.col("o_orderstatus") == "O", "gemini").otherwise("openai")
+    rows = table(spark, d, "orders").select(
+        F.concat(F.lit("real_"), provider, F.lit("_"), F.when(F.col("o_orderpriority") < "3", "math").otherwise("gsm8k"), F.lit("_traces_seed"), F.col("o_custkey") % 5, F.lit("_"), month, F.lit("01_000000")).alias("run"),
+        ((F.month("o_orderdate") % 5 != 0) & (F.col("o_custkey") % 5 < 4)).alias("ended"), F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"),
+    )
+    row = lambda source, mode, x: F.struct(F.lit(source).alias("source"), F.lit(mode).cast("string").alias("mode"), F.lit(None).cast("double").alias("beta_s"), F.avg(x).alias("accuracy"))
+    results = F.array(row("base", None, F.col("k") % 100 / 100), row("qa", "naive", F.col("c") % 100 / 100), row("traces", "naive", (F.col("k") % 3 == 0).cast("double")), row("traces", "strategic_fd", F.lit(1.0)))
+    return rows.groupBy("run").agg(F.when(F.first("ended"), results).alias("results"))
+
+
+def run_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Run folders written by tasks, found, reported, and the leaves of the summary's JSON with the gaps."""
+    folder = scratch.folder(spark, "runs")
+    run_folders.write_runs(_run_folders(spark, d), folder)
+    key = F.concat(F.when(F.col("n_nationkey") % 2 == 0, "math").otherwise("gsm8k"), F.lit("/"), F.element_at(F.array(*map(F.lit, ("claude", "gemini", "openai"))), (F.col("n_nationkey") % 3 + 1).cast("int")), F.lit("/seed"), F.col("n_nationkey") + 4)
+    maps = table(spark, d, "nation").select(F.concat(F.lit('{"'), key, F.lit('":{"Base":0.25,"Trace SFT":0.5}}')).alias("j"))
+    asked = Report(runs_root=folder, providers=["claude", "gemini", "openai"], datasets=["gsm8k", "math"], seeds=[0, 1, 2, 3, 4])
+    found = summary.summarize(spark, asked, runs.read_fallbacks(maps, "j"))
+    texts = spark.createDataFrame(list(summary.summary_parts(found, folder).items()), "part string, j string")
+    number, said = F.try_variant_get("leaf", "$", "double"), F.replace(F.try_variant_get("leaf", "$", "string"), F.lit(folder), F.lit("runs"))
+    out = cube.leaves(texts, "j", 4).select("part", F.array_join("path", " > ").alias("path"), F.round(number, 6).alias("number"), F.when(number.isNull(), said).alias("text"))
+    gaps = found.gaps.select(F.lit("missing").alias("part"), F.concat_ws(" > ", "dataset", "provider", "seed").alias("path"), F.lit(None).cast("double").alias("number"), F.col("newest_run").alias("text"))
+    return out.unionByName(gaps)
+
+
+def event_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """J9 where labels aren't known ahead: leaves of events' properties by type and path."""
+    events = table(spark, d, "events").select("event_type", "props")
+    rows = cube.leaves(events, "props").withColumn("text", F.try_variant_get("leaf", "$", "string"))
+    return rows.groupBy("event_type", F.array_join("path", ".").alias("path")).agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("first"), F.max("text").alias("last"))
+
+
 def windowed_counts(spark: SparkSession, d: str) -> DataFrame:
     """Events by day and type: the stream's operator on a table, where the watermark does nothing."""
     events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -475,6 +511,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         accuracy_by_lang, accuracy_empty_group, seeded_split, ratio_split, split_counts, stratified_sample, simple_sample, slice_offset, resume_anti_join, capped_resume, subset_union, prompt_messages, chat_render,
         split_from_id, extract_boxed, numeric_fallback, gold_answer, trace_variants, final_answer_tail, grade, method_label, label_map, latest_per_key, mean_stderr, mean_of_means, pmf, moments_mass, transforms, fallback_fill,
         missing_grid, pivot_report, success_tally, format_percent_duration, subsequence_index, json_roundtrip, prompt_dictionary, markdown_examples, series, flagship_run_report, run_names,
-        inspection, judge_scores, answer_equality, algebra, student_grid, masked_loss, problem_files, trace_files, quarantine, latest_stream, windowed_counts,
+        inspection, judge_scores, answer_equality, algebra, student_grid, masked_loss, problem_files, trace_files, quarantine, latest_stream, run_summary, event_leaves, windowed_counts,
     ]
     return {f"q_{f.__name__}": f for f in own}
