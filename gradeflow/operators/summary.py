@@ -14,7 +14,7 @@ from ..sources.scratch import discard, written
 from ..sources.settings import Report
 from .cube import nested
 from .ordering import latest_per_key
-from .runs import BASELINES, KEY, ROW_LABELS, SERIES, TRACES, fill, grid, missing, plot_stats, row_label, series_label
+from .runs import BASELINES, KEY, ROW_LABELS, SERIES, TRACES, grid, missing, plot_stats, row_label, series_label
 
 # Fixed value: the summary's file name.
 SUMMARY = "llm_accuracy_summary.json"
@@ -56,15 +56,18 @@ def summarize(spark: SparkSession, asked: Report, fallbacks: DataFrame) -> RunSu
     found = written(read_runs(spark, asked.runs_root, asked.providers, asked.datasets, asked.seeds), "runs")
     seen = lambda name: sorted(r[0] for r in found.select(name).distinct().toLocalIterator())
     asked = asked.model_copy(update={k: getattr(asked, k) or seen(k.removesuffix("s")) for k in ("providers", "datasets", "seeds")})
-    selected = latest_per_key(found.filter("has_results"), KEY, "timestamp", "run")
-    free = fallbacks.select(*KEY, "label", "accuracy").join(selected.select(*KEY), KEY, "left_anti")
-    values = fill(_labelled(_values(selected)), free).drop("from_fallback")
+    # of the size of the grid, written once so that the frames made of them have short plans
+    selected = written(latest_per_key(found.filter("has_results"), KEY, "timestamp", "run"), "selected")
+    free = written(fallbacks.select(*KEY, "label", "accuracy").join(selected.select(*KEY), KEY, "left_anti"), "free")
+    values = written(_labelled(_values(selected)).unionByName(free), "values")
     inside = values.filter(F.col("dataset").isin(asked.datasets) & F.col("provider").isin(asked.providers) & F.col("seed").isin(asked.seeds))
     bars = [*BASELINES, *dict.fromkeys(SERIES.get(p, p.capitalize()) for p in asked.providers)]
     cells = grid(spark, dataset=asked.datasets, label=bars)
     stats = cells.join(plot_stats(inside, BASELINES, TRACES, SERIES), ["dataset", "label"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     keys = grid(spark, dataset=asked.datasets, provider=asked.providers, seed=asked.seeds)
-    return RunSummary(found, selected, free.select(*KEY).distinct(), values, stats, missing(keys, found, fallbacks, "timestamp", "run"), bars)
+    used = free.select(*KEY).distinct()
+    gaps = missing(keys, found, free, "timestamp", "run")  # a fallback that isn't free is of a key that has a completed run
+    return RunSummary(found, selected, used, values, written(stats, "stats"), gaps, bars)
 
 
 def summary_parts(report: RunSummary, root: str) -> dict[str, str]:
@@ -85,15 +88,13 @@ def write_report(spark: SparkSession, asked: Report, fallbacks: DataFrame, out:
     """Writes the summary and the bars (JSON lines) to ``out``; the lines for a terminal are returned. Stages are logged."""
     with sinks.stage("find and select runs", asked.runs_root):
         report = summarize(spark, asked, fallbacks)
-        stats, values = written(report.stats, "stats"), written(report.values, "values")
-        report.stats, report.values = stats, values
     with sinks.stage("write summary", out):
         payload = {k: json.loads(v) for k, v in summary_parts(report, asked.runs_root).items()}
         config = {"providers": asked.providers, "datasets": asked.datasets, "seeds": asked.seeds, "runs_root": asked.runs_root, "plot_dir": out}
         sinks.write_text(spark, json.dumps(payload | {"config": config}, indent=2, sort_keys=True), f"{out.rstrip('/')}/{SUMMARY}")
-    bars = sinks.Counted(sinks.series_table(stats, report.bars))
+    bars = sinks.Counted(sinks.series_table(report.stats, report.bars))
     with sinks.stage("write bars", counted=bars):
         sinks.write_json_lines(bars.df, f"{out.rstrip('/')}/bars")
-    lines = sinks.console_summary(report.selected.select(*KEY, "run"), report.used, report.gaps.select(*KEY, "newest_run"), stats)
-    discard(stats, values, report.found)
+    lines = sinks.console_summary(report.selected.select(*KEY, "run"), report.used, report.gaps.select(*KEY, "newest_run"), report.stats)
+    discard(report.found, report.selected, report.values, report.stats)
     return lines
