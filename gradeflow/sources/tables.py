@@ -119,6 +119,12 @@ def read_run_results(spark: SparkSession, root: str) -> DataFrame:
     return rows.withColumn("run", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
 
 
+def read_train_info(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of all train_info.json under ``root``, at any depth, with the name of the folder each is in; fields that a file lacks are null."""
+    rows = spark.read.schema(TRAIN_INFO).option("multiLine", True).option("pathGlobFilter", "train_info.json").option("recursiveFileLookup", True).json(root)
+    return rows.withColumn("tag", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+
+
 def list_runs(spark: SparkSession, root: str) -> DataFrame:
     """(run, has_results) of every directory under ``root``.
 

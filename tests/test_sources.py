@@ -103,3 +103,13 @@ def test_late_rows_of_windowed_counts_are_dropped(spark, tmp_path):
         counts.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(take).start().awaitTermination()
     # the row of 00:30 comes when its window is over: the count stays 2
     assert {k[0][11:16]: n for k, n in out.items()} == {"00:00": 2, "05:00": 2}
+
+
+def test_train_info_is_read_by_its_schema(spark, tmp_path):
+    for tag, more in (("a", {"beta_s": 0.5, "stats": {"mean_a": 1.0, "std_a": 0.25, "frac_mass_top20": 0.5}}), ("b", {"beta_s": None})):
+        (tmp_path / "run" / tag).mkdir(parents=True)
+        (tmp_path / "run" / tag / "train_info.json").write_text(json.dumps({"source": tag, "mode": "naive", "n_train": 512, "accuracy": 0.75, "unknown": 1} | more, indent=1))
+        (tmp_path / "run" / tag / "results.json").write_text("[]")
+    got = {r.tag: r for r in tables.read_train_info(spark, str(tmp_path)).collect()}
+    assert {k: (r.source, r.n_train, r.beta_s, r.accuracy) for k, r in got.items()} == {"a": ("a", 512, 0.5, 0.75), "b": ("b", 512, None, 0.75)}
+    assert got["a"].stats.frac_mass_top20 == 0.5 and got["b"].stats is None and got["b"].seed is None
