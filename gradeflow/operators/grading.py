@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.algebra import any_equal
+from ..sources import scratch
 
 PLAIN = r"^[-+]?(?:\d+(?:\.\d*)?|\.\d+)$"
 #: Short numbers and their ratios to whole numbers: products of two are exact decimals.
 RATIO = r"^[-+]?\d{1,9}(?:\.\d{0,9})?(?:\s*/\s*\d{1,9})?$"
 
+#: Compared pairs of so many bytes at most, with so many a pair besides its texts, are broadcast; more are joined by shuffle.
+BROADCAST_BYTES, PAIR_BYTES = 1 << 25, 64
+
 
 def canonical(plain: Column) -> Column:
     """A plain number without needless zeros and signs: equal numbers have equal forms, of any length."""
@@ -24,7 +28,8 @@ def canonical(plain: Column) -> Column:
 
 
 def _parts(ratio: Column) -> tuple[Column, Column]:
-    at = lambda k: F.trim(F.split_part(ratio, F.lit("/"), F.lit(k)))
+    """Of a text that is a ratio. An empty text isn't cast: each failing cast makes an exception with its stack."""
+    at = lambda k: F.nullif(F.trim(F.split_part(ratio, F.lit("/"), F.lit(k))), F.lit(""))
     return at(1).try_cast("decimal(18,9)"), F.coalesce(at(2).try_cast("decimal(9,0)"), F.lit(1).cast("decimal(9,0)"))
 
 
@@ -40,10 +45,9 @@ def wanted(gold: Column) -> Column:
     return T.comparable(gold)
 
 
-def _asked(known: list[Column], answers: list[Column], want: Column) -> Column:
-    """Answers that columns can't decide; null if there are none, or if one is known to be right: such rows don't leave the JVM."""
-    open_ = F.filter(F.array(*(F.when(k.isNull() & want.isNotNull(), a) for k, a in zip(known, answers, strict=True))), lambda a: a.isNotNull())
-    return F.when(~_right(known), F.nullif(open_, F.array().cast("array<string>")))
+def _asked(known: list[Column], answers: list[Column], want: Column) -> list[Column]:
+    """Answers that columns can't decide; all null if one is known to be right: such rows don't leave the JVM."""
+    return [F.when(~_right(known) & k.isNull() & want.isNotNull(), a) for k, a in zip(known, answers, strict=True)]
 
 
 def _right(known: list[Column]) -> Column:
@@ -53,7 +57,25 @@ def _right(known: list[Column]) -> Column:
 def same_answer(a: Column, b: Column) -> Column:
     """Whether two answers are equal; false if either is null."""
     known = decided(a, b)
-    return F.coalesce(known, any_equal(F.when(known.isNull() & b.isNotNull(), F.array(a)), b), F.lit(False))
+    return F.coalesce(known, any_equal(b, F.when(known.isNull() & b.isNotNull(), a)), F.lit(False))
+
+
+def with_same(df: DataFrame, a: str, b: str, out: str, turned: str | None = None) -> DataFrame:
+    """``df`` with whether two answers, as they are compared, are equal, and whether they are when ``turned``; false if either is null.
+
+    Each pair of different texts is brought to its compared form and compared once, however many rows have it: distinct pairs are written, then joined to
+    the rows by both texts. Comparing is dear for a text's few bytes, so pairs are dealt by number, not by size.
+    """
+    spark = df.sparkSession
+    pairs = df.select(F.col(a).alias("_a"), F.col(b).alias("_b")).dropna().distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = pairs.withColumns({"_x": T.kept(T.comparable(F.col("_a"))), "_y": T.kept(T.comparable(F.col("_b")))})
+    tests = {out: ("_x", "_y")} | ({turned: ("_y", "_x")} if turned else {})
+    rows = rows.withColumns({f"_k_{c}": T.kept(decided(F.col(x), F.col(y))) for c, (x, y) in tests.items()})
+    asked = {c: any_equal(F.col(y), F.when(F.col(f"_k_{c}").isNull(), F.col(x))) for c, (x, y) in tests.items()}
+    judged = scratch.written(rows.select("_a", "_b", *(F.coalesce(f"_k_{c}", test, F.lit(False)).alias(c) for c, test in asked.items())), "pairs")
+    size = judged.agg(F.sum(F.length("_a") + F.length("_b") + PAIR_BYTES)).first()[0] or 0
+    found = df.join(F.broadcast(judged) if size <= BROADCAST_BYTES else judged, (F.col(a) == F.col("_a")) & (F.col(b) == F.col("_b")), "left")
+    return found.withColumns({c: F.coalesce(c, F.lit(False)) for c in tests}).drop("_a", "_b")
 
 
 def grade(df: DataFrame, trace: str, gold: str, prefix: str) -> DataFrame:
@@ -69,9 +91,9 @@ def grade(df: DataFrame, trace: str, gold: str, prefix: str) -> DataFrame:
         rows = T.with_answer(rows, t, None if k else out, given=f"_g{k}", found=f"_s{k}")
     answers, known = [F.col(f"_g{k}") for k in range(3)], [F.col(f"_k{k}") for k in range(3)]
     rows = rows.withColumns({f"_k{k}": decided(a, F.col("_want")) for k, a in enumerate(answers)})
-    rows = rows.withColumn("_asked", T.kept(_asked(known, answers, F.col("_want")))).withColumn("_known", _right(known))
-    rows = rows.withColumn("_equal", T.kept(any_equal(F.col("_asked"), F.col("_want"))))
-    return rows.withColumn(f"{prefix}_correct", F.when(there, F.col("_known") | F.coalesce("_equal", F.lit(False)))).drop("_variants", "_want", "_asked", "_known", "_equal", *(f"_{c}{k}" for c in "gkst" for k in range(3)))
+    rows = rows.withColumns({f"_a{k}": T.kept(a) for k, a in enumerate(_asked(known, answers, F.col("_want")))} | {"_known": _right(known)})
+    rows = rows.withColumn("_equal", T.kept(any_equal(F.col("_want"), *(F.col(f"_a{k}") for k in range(3)))))
+    return rows.withColumn(f"{prefix}_correct", F.when(there, F.col("_known") | F.coalesce("_equal", F.lit(False)))).drop("_variants", "_want", "_known", "_equal", *(f"_{c}{k}" for c in "agkst" for k in range(3)))
 
 
 def is_correct(df: DataFrame, trace: str, gold: str, out: str = "correct") -> DataFrame:

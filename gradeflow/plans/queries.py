@@ -369,10 +369,10 @@ def answer_equality(spark: SparkSession, d: str) -> DataFrame:
         (t("\\frac{", k, "}{4}"), (k / 4).cast("decimal(20,4)").cast("string")), (t(k, "\\sqrt{3}"), t("\\sqrt{", k * k * 3, "}")), (t(k, "\\frac{1}{2}"), t(k * 2 + 1, "/2")), (t("\\frac{", k, "\\pi}{2}"), t(k * 2, "\\pi/4")),
         (t(k, " \\times 10^{3}"), t(k * 1000)), (t(k, "\\%"), t(k, "/100")), (t("-", k, " 1/4"), t("-", k * 4 + 1, "/4")), (t("x+", k), t("x+", k)),
     ]
-    rows = table(spark, d, "part").select("p_partkey", F.explode(F.array(*(F.struct(F.lit(n).alias("form"), a.alias("a"), b.alias("b")) for n, (a, b) in enumerate(forms)))).alias("f"))
-    equal = grading.same_answer(F.col("f.a"), F.col("f.b"))
-    other = grading.same_answer(F.col("f.a"), F.concat("f.b", F.lit("1")))
-    return rows.select("p_partkey", F.col("f.form").cast("long").alias("form"), equal.alias("equal"), other.alias("other"))
+    cases = F.array(*(F.struct(F.lit(n).cast("long").alias("form"), a.alias("a"), b.alias("b"), F.concat(b, F.lit("1")).alias("c")) for n, (a, b) in enumerate(forms)))
+    parts = table(spark, d, "part").select("p_partkey").repartition("p_partkey")  # few bytes make many rows
+    rows = parts.select("p_partkey", F.explode(cases).alias("f")).select("p_partkey", "f.*")
+    return grading.with_same(grading.with_same(rows, "a", "b", "equal"), "a", "c", "other").select("p_partkey", "form", "equal", "other")
 
 
 #: Pairs of answers made of two numbers k and m of a part, and when they are equal.
@@ -400,9 +400,9 @@ def algebra(spark: SparkSession, d: str) -> DataFrame:
         return F.concat(*(c for _, c in parts))
 
     cases = F.array(*(F.struct(F.lit(n).cast("long").alias("form"), made(a).alias("a"), made(b).alias("b")) for n, (a, b, _) in enumerate(ALGEBRA)))
-    rows = table(spark, d, "part").select("p_partkey", F.explode(cases).alias("c")).select("p_partkey", "c.*")
-    rows = rows.withColumns({"a": text.comparable(F.col("a")), "b": text.comparable(F.col("b"))})
-    return rows.select("p_partkey", "form", grading.same_answer(F.col("a"), F.col("b")).alias("equal"), grading.same_answer(F.col("b"), F.col("a")).alias("turned"))
+    parts = table(spark, d, "part").select("p_partkey", "p_size").repartition("p_partkey")  # few bytes make many rows
+    rows = parts.select("p_partkey", F.explode(cases).alias("c")).select("p_partkey", "c.*")
+    return grading.with_same(rows, "a", "b", "equal", "turned").select("p_partkey", "form", "equal", "turned")
 
 
 def student_grid(spark: SparkSession, d: str) -> DataFrame:

@@ -85,3 +85,28 @@ def test_many_boxes_take_linear_time(spark):
     seconds(10)
     assert seconds(20_000) < 5
     assert text.closed_boxes("\\boxed{" * 3000 + "x" + "}" * 3000)[-1] == "x"
+
+
+@pytest.mark.parametrize("most", [0, grading.BROADCAST_BYTES])
+def test_each_pair_of_texts_is_compared_once(spark, monkeypatch, most):
+    """However many rows have it, with and without a broadcast of the compared pairs."""
+    pairs = [("\\frac12", "0.5", True, True), ("\\sqrt8", "2\\sqrt2", True, True), ("x", "5", False, False), ("5", "5", True, True), (None, "5", False, False), ("5", None, False, False), (None, None, False, False)]
+    df = spark.createDataFrame(pairs * 300, "a string, b string, want boolean, want_turned boolean")
+    judged, written = [], grading.scratch.written
+    monkeypatch.setattr(grading.scratch, "written", lambda rows, name: judged.append(out := written(rows, name)) or out)
+    monkeypatch.setattr(grading, "BROADCAST_BYTES", most)
+    out = grading.with_same(df, "a", "b", "equal", "turned")
+    assert out.columns == [*df.columns, "equal", "turned"]
+    assert out.count() == len(pairs) * 300
+    assert out.filter("equal is distinct from want or turned is distinct from want_turned").count() == 0
+    assert [x.count() for x in judged] == [4]
+
+
+@pytest.mark.parametrize("name", ["q_algebra", "q_answer_equality"])
+def test_queries_of_answers_compare_each_pair_once(spark, data, monkeypatch, name):
+    import __spark_entry__ as registered
+
+    judged, written = [], grading.scratch.written
+    monkeypatch.setattr(grading.scratch, "written", lambda rows, name: judged.append(out := written(rows, name)) or out)
+    registered.queries()[name](spark, data)
+    assert judged and all(x.count() == x.select("_a", "_b").distinct().count() for x in judged)
