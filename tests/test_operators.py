@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from gradeflow.operators import metrics, ordering, report, runs
+from gradeflow.functions import text
+from gradeflow.operators import grading, metrics, ordering, report, runs
 from gradeflow.sources import settings, sinks, tables
 
 
@@ -138,3 +139,27 @@ def test_resume_stream(spark, tmp_path):
         (folder / f"{k}.json").write_text("".join(json.dumps({"k": x}) + "\n" for x in rows))
         resume_stream(spark, str(folder), schema, "k", str(tmp_path / "mark"), work).awaitTermination()
     assert sorted(seen) == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("name", ["q_inspection", "q_grade"])
+def test_graded_rows_meet_python_twice(spark, data, name):
+    """However many traces a row has: each step in Python keeps a worker for each core."""
+    import __spark_entry__ as registered
+
+    plan = registered.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2
+
+
+def test_traces_graded_together_are_graded_as_alone(spark):
+    deep = "\\boxed{" + "{" * 12 + "7" + "}" * 13
+    traces = [None, "", "so \\boxed{7}", "\\boxed{ANSWER}", "\\boxed{14/2} \\boxed{an$swer}", "\\boxed{7\\text{ cm}}", "\\boxed{\\sqrt{49}}", "\\boxed{8", "the answer is 7.0", deep, "\\boxed{1} **Final Answer**\n\\boxed{7}"]
+    rows = [(n, a, b, gold) for n, (a, b, gold) in enumerate((a, b, gold) for a in traces for b in traces for gold in ("7", "\\frac{14}{2}", None))]
+    df = spark.createDataFrame(rows, "id int, a string, b string, gold string")
+    out = grading.grades(df, {"raw": "a", "af": "b"}, "gold", "complete")
+    assert out.columns == [*df.columns, "raw_extracted_answer", "af_extracted_answer", "raw_correct", "af_correct", "complete"]
+    alone = {(r.a, r.gold): r for r in grading.grade(df.withColumn("complete", text.has_complete_box(F.col("a"))), "a", "gold", "x").collect()}
+    for r in out.collect():
+        a, b = alone[r.a, r.gold], alone[r.b, r.gold]
+        assert (r.raw_extracted_answer, r.raw_correct, r.af_extracted_answer, r.af_correct) == (a.x_extracted_answer, a.x_correct, b.x_extracted_answer, b.x_correct)
+        assert (None if r.a is None else r.complete) == (None if r.a is None else a.complete)
+    assert alone[deep, "7"].x_correct and alone[deep, "7"].complete and not alone["\\boxed{8", "7"].complete
