@@ -94,11 +94,15 @@ def normalize_answer(s: Column) -> Column:
 
 
 def strip_units(s: Column) -> Column:
-    """Without unit commands: closed ones of each kind first, then those left open to the end."""
-    for tail in (r"\}", "$"):
+    """Without unit commands: closed ones of each kind first, then those left open to the end. Without a backslash there is none to look for."""
+
+    def without(x: Column, tail: str) -> Column:
+        out = x
         for command in UNIT_COMMANDS:
-            s = F.regexp_replace(s, rf"(?i)\\{command}\{{[^}}]*{tail}", "")
-    return strip(s)
+            out = F.regexp_replace(out, rf"(?i)\\{command}\{{[^}}]*{tail}", "")
+        return F.when(F.contains(x, F.lit("\\")), out).otherwise(x)
+
+    return strip(bind(bind(s, lambda x: without(x, r"\}")), lambda x: without(x, "$")))
 
 
 def numeric_fallback(text: Column) -> Column:
@@ -107,9 +111,9 @@ def numeric_fallback(text: Column) -> Column:
 
 
 def is_placeholder(span: Column) -> Column:
-    """Whether a span's normal form is the placeholder; that form is made only where the letters allow it."""
+    """Whether a span's normal form is the placeholder; that form is made only where the letters allow it, and not where they are all there is."""
     may = F.contains(F.upper(F.translate(span, "$,", "")), F.lit(PLACEHOLDER))
-    return F.when(may, F.upper(normalize_answer(span)) == PLACEHOLDER).otherwise(F.lit(False))
+    return F.when(F.upper(span) == PLACEHOLDER, F.lit(True)).when(may, F.upper(normalize_answer(span)) == PLACEHOLDER).otherwise(F.lit(False))
 
 
 def real_spans(spans: Column) -> Column:

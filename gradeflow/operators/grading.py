@@ -34,10 +34,15 @@ def _parts(ratio: Column) -> tuple[Column, Column]:
 
 
 def decided(a: Column, b: Column) -> Column:
-    """Whether two answers are equal where columns can tell; null where they can't or one is null."""
+    """Whether two answers are equal where columns can tell; null where they can't or one is null. Numbers are compared in a lambda: where there are two, and
+    out of the compiled code, which the JVM doesn't compile further where it is long."""
+    return F.when(a == b, F.lit(True)).when(a.isNotNull() & b.isNotNull(), T.bind(F.struct(a.alias("a"), b.alias("b")), lambda x: _same_numbers(x["a"], x["b"])))
+
+
+def _same_numbers(a: Column, b: Column) -> Column:
     both = lambda pattern: F.regexp_like(a, F.lit(pattern)) & F.regexp_like(b, F.lit(pattern))
     (n, d), (m, e) = _parts(a), _parts(b)
-    return F.when(a == b, F.lit(True)).when(both(PLAIN), canonical(a) == canonical(b)).when(both(RATIO) & (d != 0) & (e != 0), n * e == m * d)
+    return F.when(both(PLAIN), canonical(a) == canonical(b)).when(both(RATIO) & (d != 0) & (e != 0), n * e == m * d)
 
 
 def wanted(gold: Column) -> Column:

@@ -79,3 +79,8 @@ def test_prompts(spark):
     assert [m.role for m in row.m] == ["system", "user"]
     assert row.m[1].content == "p\n"
     assert row.r == "<|system|>\ns<|end|>\n<|user|>\np<|end|>\n<|assistant|>\n"
+
+
+@pytest.mark.parametrize(("raw", "out"), [(r"5\text{ cm}\mbox{ a", "5"), (r"5 \te\mbox{}xt{cm}", r"5 \text{cm}"), (r"5\TEXT{a}", "5"), (r"\frac{1}{2}\mathrm{m} ", r"\frac{1}{2}"), (" 5 ", "5"), ("", ""), (None, None)])
+def test_units_are_stripped_kind_after_kind(spark, raw, out):
+    assert one(spark, raw, text.strip_units) == out
